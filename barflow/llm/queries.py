@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barflow.llm.ppm import ppm_scores
+
+    return ppm_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barflow.llm.packing import best_fit_packing
 
@@ -22,5 +28,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"], limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_ppm_scores, op4_best_fit_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
