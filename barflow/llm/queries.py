@@ -22,6 +22,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 2048)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barflow.llm.langid import language_id
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return language_id(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barflow.llm.topk import exact_top_k
 
@@ -34,7 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"], limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_ppm_scores, op4_best_fit_packing, op7_exact_top_k, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_ppm_scores, op4_best_fit_packing, op6_language_id, op7_exact_top_k, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": """
         WITH v AS (
