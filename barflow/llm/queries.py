@@ -35,13 +35,19 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barflow.llm.secretscan import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barflow.llm.tokencount import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"], limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_ppm_scores, op4_best_fit_packing, op6_language_id, op7_exact_top_k, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_ppm_scores, op4_best_fit_packing, op6_language_id, op7_exact_top_k, op9_secret_scan, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": """
         WITH v AS (
