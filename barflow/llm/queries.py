@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barflow.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barflow.llm.ppm import ppm_scores
 
@@ -47,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"], limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_ppm_scores, op4_best_fit_packing, op6_language_id, op7_exact_top_k, op9_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ppm_scores, op4_best_fit_packing, op6_language_id, op7_exact_top_k, op9_secret_scan, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": """
         WITH v AS (
