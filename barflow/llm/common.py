@@ -119,3 +119,32 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | first[1:])) + 1
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+CHUNKS = 64
+
+
+def chunked(dense: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A dense array as rows (chunk, data)."""
+    for k, part in enumerate(np.split(dense, CHUNKS)):
+        if part.any():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "data"])
+
+
+def dense_total(rows: DataFrame, dtype: str, size: int, into: str, union: bool = False) -> np.ndarray:
+    """The sum (or bitwise or) of arrays of a fixed size that tasks have sent as chunks: streamed, never grouped in memory."""
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(data.as_buffer(), dtype).astype(into)
+                held[k] = part if k not in held else held[k] | part if union else held[k] + part
+        for k, part in held.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "data"])
+
+    out = np.zeros(size, into)
+    step = size // CHUNKS
+    for k, data in zip(*(c.to_pylist() for c in rows.repartition(8, "chunk").mapInArrow(add, "chunk int, data binary").toArrow().columns), strict=True):
+        out[k * step : (k + 1) * step] = np.frombuffer(data, into)
+    return out

@@ -28,6 +28,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 2048)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barflow.llm.linededup import line_dedup
+
+    done = line_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"), F.array_join("__gone", ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barflow.llm.langid import language_id
 
@@ -53,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"], limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ppm_scores, op4_best_fit_packing, op6_language_id, op7_exact_top_k, op9_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ppm_scores, op4_best_fit_packing, op5_line_dedup, op6_language_id, op7_exact_top_k, op9_secret_scan, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": """
         WITH v AS (
