@@ -48,6 +48,14 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barflow.llm.minhash import near_duplicates, numbered
+
+    _, narrow = numbered(table(spark, sf_dir, "documents"))
+    null = F.lit(-(1 << 63))
+    return near_duplicates(narrow).select(F.nullif("d", null).alias("doc_id"), F.nullif("class_id", null).alias("class_id"), "kept")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barflow.llm.secretscan import digest, scan
 
@@ -60,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"], limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ppm_scores, op4_best_fit_packing, op5_line_dedup, op6_language_id, op7_exact_top_k, op9_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ppm_scores, op4_best_fit_packing, op5_line_dedup, op6_language_id, op7_exact_top_k, op8_near_duplicates, op9_secret_scan, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": """
         WITH v AS (
