@@ -22,6 +22,12 @@ def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barflow.llm.mixing import WEIGHTS, mix, tree
+
+    return mix(table(spark, sf_dir, "documents"), tree(), WEIGHTS).select("doc_id", "lang", "source", F.col("__epoch").alias("epoch"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barflow.llm.packing import best_fit_packing
 
@@ -68,8 +74,47 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"], limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ppm_scores, op4_best_fit_packing, op5_line_dedup, op6_language_id, op7_exact_top_k, op8_near_duplicates, op9_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ppm_scores, op3_source_mix, op4_best_fit_packing, op5_line_dedup, op6_language_id, op7_exact_top_k, op8_near_duplicates, op9_secret_scan, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {
+    "op3_source_mix": """
+        WITH docs AS (
+            SELECT doc_id, lang, source, regexp_extract(source, '^([A-Za-z]*)', 1) AS domain,
+                   greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+'))) AS tokens
+            FROM documents
+        ), leaf AS (
+            SELECT domain, lang, source, sum(tokens) AS tokens, 4.0 * sum(tokens) AS capacity FROM docs GROUP BY ALL
+        ), top AS (
+            SELECT domain, sum(capacity) AS capacity, 1.0 AS weight, (SELECT CAST(sum(tokens) AS DOUBLE) FROM leaf) AS given FROM leaf GROUP BY domain
+        ), top_full AS (
+            SELECT *, coalesce(sum(capacity) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                      + capacity / weight * sum(weight) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= given + 1e-6 AS is_full
+            FROM top
+        ), top_budget AS (
+            SELECT domain, CASE WHEN is_full THEN capacity ELSE (given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ()) * weight / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () END AS given FROM top_full
+        ), middle AS (
+            SELECT domain, lang, sum(capacity) AS capacity, CASE lang WHEN 'en' THEN 0.5 WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.2 WHEN 'es' THEN 0.1 ELSE 1.0 END AS weight, any_value(given) AS given
+            FROM leaf JOIN top_budget USING (domain) GROUP BY domain, lang
+        ), middle_full AS (
+            SELECT *, coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                      + capacity / weight * sum(weight) OVER (PARTITION BY domain ORDER BY capacity / weight, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= given + 1e-6 AS is_full
+            FROM middle
+        ), middle_budget AS (
+            SELECT domain, lang, CASE WHEN is_full THEN capacity ELSE (given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER (PARTITION BY domain)) * weight / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY domain) END AS given FROM middle_full
+        ), low_full AS (
+            SELECT *, coalesce(sum(capacity) OVER (PARTITION BY domain, lang ORDER BY capacity, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                      + capacity * sum(1.0) OVER (PARTITION BY domain, lang ORDER BY capacity, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= given + 1e-6 AS is_full
+            FROM leaf JOIN middle_budget USING (domain, lang)
+        ), quota AS (
+            SELECT domain, lang, source, tokens, CAST(floor(round(CASE WHEN is_full THEN capacity ELSE (given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER (PARTITION BY domain, lang)) / sum(CASE WHEN is_full THEN 0 ELSE 1.0 END) OVER (PARTITION BY domain, lang) END, 3)) AS BIGINT) AS quota
+            FROM low_full
+        ), placed AS (
+            SELECT d.*, quota // q.tokens AS epochs, quota % q.tokens AS rest, md5('7:' || CAST(quota // q.tokens AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS h
+            FROM docs d JOIN quota q USING (domain, lang, source)
+        ), taken AS (
+            SELECT *, epochs + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest THEN 1 ELSE 0 END AS copies FROM placed
+        )
+        SELECT doc_id, lang, source, CAST(unnest(range(CAST(copies AS BIGINT))) AS INTEGER) AS epoch FROM taken
+    """,
     "op7_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
