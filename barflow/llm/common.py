@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,8 +131,10 @@ def chunked(dense: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "data"])
 
 
-def dense_total(rows: DataFrame, dtype: str, size: int, into: str, union: bool = False) -> np.ndarray:
-    """The sum (or bitwise or) of arrays of a fixed size that tasks have sent as chunks: streamed, never grouped in memory."""
+def dense_total(rows: DataFrame, dtype: str, size: int, into: str, union: bool = False, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """The sum (or bitwise or) of arrays of a fixed size that tasks have sent as chunks: streamed, never grouped in memory.
+
+    finish: applied to each summed chunk before it is sent to the driver, to bytes."""
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -141,10 +143,11 @@ def dense_total(rows: DataFrame, dtype: str, size: int, into: str, union: bool =
                 part = np.frombuffer(data.as_buffer(), dtype).astype(into)
                 held[k] = part if k not in held else held[k] | part if union else held[k] + part
         for k, part in held.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "data"])
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([(part if finish is None else finish(part)).tobytes()], pa.binary())], names=["chunk", "data"])
 
-    out = np.zeros(size, into)
+    out = np.zeros(size, into if finish is None else np.uint8)
     step = size // CHUNKS
-    for k, data in zip(*(c.to_pylist() for c in rows.repartition(8, "chunk").mapInArrow(add, "chunk int, data binary").toArrow().columns), strict=True):
-        out[k * step : (k + 1) * step] = np.frombuffer(data, into)
+    got = rows.repartition(8, "chunk").mapInArrow(add, "chunk int, data binary").toArrow()
+    for k, data in zip(got["chunk"].to_pylist(), got["data"], strict=True):
+        out[k * step : (k + 1) * step] = np.frombuffer(data.as_buffer(), out.dtype)
     return out

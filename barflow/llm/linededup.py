@@ -65,7 +65,7 @@ def rarity(docs: DataFrame, text: str) -> np.ndarray:
             n[at[first]] += np.diff(np.append(first, len(at))).astype(np.int32)
         yield from chunked(np.minimum(n, 65535).astype(np.uint16))
 
-    return coded(dense_total(docs.select(text).mapInArrow(count, "chunk int, data binary"), "uint16", COUNTERS, "int64"))
+    return dense_total(docs.select(text).mapInArrow(count, "chunk int, data binary"), "uint16", COUNTERS, "int64", finish=coded)
 
 
 def line_words(raw: np.ndarray, offsets: np.ndarray, count: np.ndarray):
