@@ -23,10 +23,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts can be long: hand them to Python in batches of so many rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        small_batches(spark)
         self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/barflow-{name}-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -59,7 +68,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has about ``most`` bytes of text; a longer text stands alone, whole."""
     for batch in batches:
         if not batch.num_rows:
@@ -81,7 +90,7 @@ def _powers(n: int, inverse: bool) -> np.ndarray:
     key = "i" if inverse else "p"
     if key not in _POWERS or len(_POWERS[key]) < n:
         base = pow(_P, -1, 1 << 64) if inverse else _P
-        _POWERS[key] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 21), base, np.uint64)]).astype(np.uint64))
+        _POWERS[key] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20), base, np.uint64)]).astype(np.uint64))
     return _POWERS[key][:n]
 
 

@@ -39,6 +39,7 @@ COUNTERS = 1 << 24
 MARKS = 1 << 26
 BLOCK = 4096
 NAMED = 4
+GATHER = 50_000  # postings that are met at once
 _STEPS = 4  # counters above 127 keep a quarter of an octave
 
 
@@ -56,14 +57,14 @@ def rarity(docs: DataFrame, text: str) -> np.ndarray:
     """The coded counters of all words."""
 
     def count(batches):
-        n = np.zeros(COUNTERS, np.int32)
+        n = np.zeros(COUNTERS, np.uint16)
         for batch in slices(batches, text):
             raw, offsets = text_buffers(batch.column(0))
             starts, ends, _ = words(raw, offsets)
             at = np.sort(spans_hash(raw, starts, ends) & np.uint64(COUNTERS - 1)).astype(np.int64)
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
-            n[at[first]] += np.diff(np.append(first, len(at))).astype(np.int32)
-        yield from chunked(np.minimum(n, 65535).astype(np.uint16))
+            n[at[first]] = np.minimum(n[at[first]].astype(np.int64) + np.diff(np.append(first, len(at))), 65535)
+        yield from chunked(n)
 
     return dense_total(docs.select(text).mapInArrow(count, "chunk int, data binary"), "uint16", COUNTERS, "int64", finish=coded)
 
@@ -148,11 +149,11 @@ PAIRS = "late long, late_d long, early long, early_d long, more boolean"
 
 
 def meet(threshold: float, wanted=None):
-    """Candidates within groups (token, x, y) that arrive sorted; wanted: marks of the only later sets to tell of, with all theirs."""
+    """Candidates within groups of a key that arrive sorted; wanted: marks of the only later sets to tell of, with all theirs."""
 
     def group(p: dict[str, np.ndarray], out: list) -> None:
         n = len(p["set"])
-        whole = p["x"][0] == p["y"][0]
+        whole = not p["cross"][0]
         step = max(1, (1 << 20) // n)
         for s in range(0, n, step):
             i = np.arange(s, min(n, s + step))
@@ -191,7 +192,7 @@ def meet(threshold: float, wanted=None):
         for step in range(1, int(n.max(initial=1))):
             i = np.flatnonzero(left > step)
             j = i + step
-            ok = (p["set"][i] != p["set"][j]) & ((p["x"][i] == p["y"][i]) | (p["side"][i] != p["side"][j]))
+            ok = (p["set"][i] != p["set"][j]) & ((p["cross"][i] == 0) | (p["side"][i] != p["side"][j]))
             i, j = i[ok], j[ok]
             a, b = p["size"][i].astype(np.int64), p["size"][j].astype(np.int64)
             need = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
@@ -206,25 +207,30 @@ def meet(threshold: float, wanted=None):
             out.append((p["set"][j], p["d"][j], p["set"][i], p["d"][i], np.zeros(len(i), bool)))
             out.append((p["set"][i][same], p["d"][i][same], p["set"][j][same], p["d"][j][same], np.zeros(same.sum(), bool)))
 
-    names = ("token", "x", "y", "side", "d", "set", "size", "at", "a", "b")
+    names = ("key", "info", "d", "set", "a", "b")
 
     def run(batches):
         rest: dict[str, np.ndarray] | None = None
+        held: list = []
         for batch in _then_none(batches):
-            p = {k: batch.column(i).to_numpy() for i, k in enumerate(names)} if batch is not None else {k: np.zeros(0, np.int64) for k in names}
+            if batch is not None:
+                held.append(batch)
+                if sum(x.num_rows for x in held) < GATHER:
+                    continue
+            p = {k: np.concatenate([x.column(i).to_numpy() for x in held]) if held else np.zeros(0, np.int64) for i, k in enumerate(names)}
+            held = []
             p |= {k: p[k].view(np.uint64) for k in ("a", "b")}  # of a signed number the bits of its absolute value would be counted
             if rest is not None:
-                p = {k: np.concatenate([rest[k], p[k]]) for k in names} if batch is not None else rest
+                p = {k: np.concatenate([rest[k], p[k]]) for k in names}
             if not len(p["set"]):
-                rest = None
                 continue
-            change = (p["token"][1:] != p["token"][:-1]) | (p["x"][1:] != p["x"][:-1]) | (p["y"][1:] != p["y"][:-1])
-            start = np.flatnonzero(np.append(True, change))
+            start = np.flatnonzero(np.append(True, p["key"][1:] != p["key"][:-1]))
             n = np.diff(np.append(start, len(p["set"])))
             if batch is not None:  # the last group may go on
                 rest = {k: v[start[-1] :] for k, v in p.items()}
                 p = {k: v[: start[-1]] for k, v in p.items()}
                 start, n = start[:-1], n[:-1]
+            p["size"], p["at"], p["side"], p["cross"] = unpacked(p["info"])
             out: list = []
             big = n > 64
             for s, m in zip(start[big].tolist(), n[big].tolist(), strict=True):
@@ -245,6 +251,43 @@ def meet(threshold: float, wanted=None):
     return run
 
 
+def packed(size: np.ndarray, at: np.ndarray, side: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """size and at (24 bits each), side (14) and cross (1) in a long."""
+    return size.astype(np.int64) << 39 | at.astype(np.int64) << 15 | side.astype(np.int64) << 1 | cross
+
+
+def unpacked(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return info >> 39, info >> 15 & 0xFFFFFF, info >> 1 & 0x3FFF, info & 1
+
+
+POSTING = "key long, info long, d long, set long, a long, b long"
+
+
+def postings(count, only=None):
+    """A line's postings: (key, info, d, set, a, b); a frequent word's are dealt to all pairs of blocks with the line's own. only: marks of the words wanted."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(6)
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            token, at = lists.flatten().to_numpy(), batch.column(5).flatten().to_numpy()
+            if only is not None:
+                keep = marked(only.value, token)
+                token, at, of = token[keep], at[keep], of[keep]
+            hashed = token.view(np.uint64)
+            n = decoded(count.value[(hashed & np.uint64(COUNTERS - 1)).astype(np.int64)])
+            blocks = np.minimum(-(-n // BLOCK), 1 << 14)
+            own = (mix(batch.column(1).to_numpy()[of].view(np.uint64).copy()) % blocks.astype(np.uint64)).astype(np.int64)
+            k = np.repeat(np.arange(len(n)), blocks)
+            other = np.arange(len(k)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            x, y = np.minimum(own[k], other), np.maximum(own[k], other)
+            key = np.where(blocks[k] == 1, hashed[k], mix(hashed[k] + (x.astype(np.uint64) << np.uint64(32)) + y.astype(np.uint64)))
+            d, set_, size, a, b = (batch.column(i).to_numpy()[of[k]] for i in range(5))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), packed(size, at[k], own[k], x != y), d, set_, a, b)], names=["key", "info", "d", "set", "a", "b"])
+
+    return run
+
+
 def _then_none(batches):
     yield from batches
     yield None
@@ -277,23 +320,13 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> D
     place = F.struct("d", "u", "line")
     firsts = found.groupBy("set").agg(F.min(place).alias("first"))
 
-    def spread(batches):
-        table = count.value
-        for batch in batches:
-            n = decoded(table[(batch.column("token").to_numpy().view(np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64)])
-            blocks = np.maximum(1, -(-n // BLOCK))
-            own = (mix(batch.column("set").to_numpy().view(np.uint64).copy()) % blocks.astype(np.uint64)).astype(np.int64)
-            at = np.repeat(np.arange(len(n)), blocks)
-            other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            x, y = np.minimum(own[at], other), np.maximum(own[at], other)
-            cols = {k: batch.column(k).take(pa.array(at)) for k in ("token", "d", "set", "size", "at", "a", "b")} if len(at) > len(n) else {k: batch.column(k) for k in ("token", "d", "set", "size", "at", "a", "b")}
-            yield pa.RecordBatch.from_arrays([cols["token"], pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(own[at].astype(np.int32)), cols["d"], cols["set"], cols["size"], cols["at"], cols["a"], cols["b"]], names=["token", "x", "y", "side", "d", "set", "size", "at", "a", "b"])
-
-    entries = found.filter(F.size("tokens") > 0).select("d", "set", "size", "a", "b", F.explode(F.arrays_zip("tokens", "at")).alias("p")).select("d", "set", "size", "a", "b", F.col("p.tokens").alias("token"), F.col("p.at").alias("at"))
-    shape = "token long, x int, y int, side int, d long, set long, size int, at int, a long, b long"
-    postings = entries.mapInArrow(spread, shape)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_ = postings.repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "d")
+    posting = found.filter(F.size("tokens") > 0).select("d", "set", "size", "a", "b", "at", "tokens")
+
+    def candidates(rows: DataFrame, only=None, wanted=None) -> DataFrame:
+        grouped = rows.mapInArrow(postings(count, only), POSTING).repartition(parts, "key").sortWithinPartitions("key", "d")
+        named = grouped.mapInArrow(meet(threshold, wanted), PAIRS)
+        return scratch.keep(named.groupBy("late", "early").agg(F.min("late_d").alias("late_d"), F.min("early_d").alias("early_d"), F.max("more").alias("more")))
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         both = pairs.select(F.explode(F.array(F.struct(F.col("late").alias("set"), F.col("late_d").alias("d")), F.struct(F.col("early").alias("set"), F.col("early_d").alias("d")))).alias("e")).select("e.*")
@@ -321,13 +354,14 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> D
         ordered = alike.join(first("late"), "late").join(first("early"), "early").filter("early_first < late_first")
         return scratch.keep(ordered.select(F.col("late").alias("set")).distinct()), [bags]
 
-    pairs = scratch.keep(sorted_.mapInArrow(meet(threshold), PAIRS).groupBy("late", "early").agg(F.min("late_d").alias("late_d"), F.min("early_d").alias("early_d"), F.max("more").alias("more")))
+    pairs = candidates(posting)
     gone, used = verified(pairs)
     scratch.drop(*used)
     again = pairs.filter("more").select(F.col("late").alias("set")).distinct().join(gone, "set", "left_anti")
     again = scratch.keep(again)
     if not again.isEmpty():
-        all_pairs = scratch.keep(sorted_.mapInArrow(meet(threshold, share(marks_of(again))), PAIRS).groupBy("late", "early").agg(F.min("late_d").alias("late_d"), F.min("early_d").alias("early_d"), F.max("more").alias("more")))
+        tokens = found.join(again, "set").select(F.explode("tokens").alias("token"))
+        all_pairs = candidates(posting, share(marks_of(tokens)), share(marks_of(again)))
         late, used = verified(all_pairs)
         scratch.drop(all_pairs, *used)
         gone = gone.unionByName(late).distinct()

@@ -102,7 +102,7 @@ def sketch(registers: int, bands: int):
 
     def run(batches):
         seen: set[int] = set()
-        for whole in slices(batches, "text", 1 << 21):
+        for whole in slices(batches, "text"):
             for s in range(0, whole.num_rows, 1 << 15):
                 batch = whole.slice(s, 1 << 15)
                 shingle, of, times, c = shingles(*text_buffers(batch.column(2)))
@@ -130,7 +130,7 @@ def bags(of_docs, of_classes):
         told: set[int] = set()
         for batch in batches:
             batch = batch.filter(pa.array(marked(of_docs.value, batch.column(0).to_numpy())))
-            for whole in slices(iter([batch]), "text", 1 << 21):
+            for whole in slices(iter([batch]), "text"):
                 for s in range(0, whole.num_rows, 1 << 15):
                     part = whole.slice(s, 1 << 15)
                     shingle, of, _, c = shingles(*text_buffers(part.column(2)))
