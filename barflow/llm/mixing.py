@@ -103,10 +103,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     names = [f"__l{k}" for k in range(len(levels))]
     renamed = dict(zip(names, levels.values(), strict=True))
     chosen = selection(docs, renamed, key, text, {n: weights.get(own, {}) for n, own in zip(names, levels, strict=True)}, total, max_epochs, seed, scratch)
-    leaves = scratch.keep(chosen)
+    leaves = scratch.keep(chosen.select(*names, F.col("epochs").alias("__epochs"), F.col("last").alias("__last")))
     met = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("\0")).alias(n) for n, c in renamed.items()]).join(leaves, names)
-    in_next = F.coalesce(order_of(F.col(f"`{key}`"), F.col("epochs"), seed) <= F.col("last"), F.lit(False))
-    copies = F.col("epochs") + in_next.cast("int")
+    in_next = F.coalesce(order_of(F.col(f"`{key}`"), F.col("__epochs"), seed) <= F.col("__last"), F.lit(False))
+    copies = F.col("__epochs") + in_next.cast("int")
     return met.withColumn("__copies", copies).filter("__copies > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).select(*docs.columns, "__epoch")
 
 

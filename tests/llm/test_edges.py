@@ -1,0 +1,141 @@
+"""Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import pytest
+from pyspark.sql import functions as F
+
+LINE = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf today"
+ROWS = [
+    (1, LINE + "\n" + "a second line with quite a few more words in it for good measure", "en", "web1"),
+    (2, None, "en", "web1"),
+    (3, "", None, "web2"),
+    (4, LINE + "\n" + "a second line with quite a few more words in it for good measure", "en", None),
+    (4, LINE + "\n" + "a second line with quite a few more words in it for good measure", "en", None),
+    (None, "nur ein kurzer Satz\nauf Deutsch", "de", "web1"),
+    (6, "long " * 30000 + "password = 'abcdefgh12345'", "en", "web1"),
+    (7, "   \n\n \t", None, "web1"),
+    (8, "12345 67890 !!!", "fr", "web1"),
+    (9, "deadbeef" * 6, "en", "web2"),
+]
+EXTRA = ("d", "u", "c", "key", "score", "tokens", "h", "line", "set", "piece", "rules", "low", "range", "quota", "epochs", "last", "lang_pred", "held_out", "fingerprint", "n_tokens")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("docs") / "t")
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    df.select("*", *[F.lit("x").alias(c) for c in EXTRA]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, docs, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("empty") / "t")
+    docs.limit(0).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def both(docs, empty, f, rows=None):
+    assert f(empty).count() == 0
+    got = f(docs).collect()
+    if rows is not None:
+        assert len(got) == rows
+    return got
+
+
+def test_fingerprints(docs, empty):
+    from barflow.llm.fingerprints import edited_fingerprints, fingerprint
+
+    got = both(docs, empty, edited_fingerprints, len(ROWS))
+    by = {r.doc_id: r for r in got}
+    assert by[2].fingerprint == by[3].fingerprint == by[7].fingerprint and by[2].n_chars == 0
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert by[1].fingerprint == by[4].fingerprint
+    assert fingerprint(docs).columns == docs.columns[: docs.columns.index("fingerprint")] + ["fingerprint"] + docs.columns[docs.columns.index("fingerprint") + 1 :]
+
+
+def test_ppm(docs, empty):
+    from barflow.llm.ppm import ppm_scores
+
+    got = both(docs, empty, lambda x: ppm_scores(x, F.col("doc_id") != 1), len(ROWS))
+    by = {r.doc_id: r for r in got}
+    assert by[1].held_out and by[None].held_out and not by[2].held_out
+    assert by[2].n_tokens == 1 and by[2].score == by[3].score < 0
+    assert ppm_scores(docs, F.lit(False)).first().train_tokens == 0
+
+
+def test_mix(docs, empty):
+    from barflow.llm.mixing import WEIGHTS, mix, tree
+
+    got = both(docs, empty, lambda x: mix(x, tree(), WEIGHTS))
+    assert got and set(got[0].asDict()) == {*docs.columns, "__epoch"}
+
+
+def test_packing(docs, empty):
+    from barflow.llm.packing import best_fit_packing
+
+    got = both(docs, empty, lambda x: best_fit_packing(x, "byte_bpe_50k.json", 256))
+    assert sorted(r.length for r in got if r.doc_id in (2, 3)) == [1, 1]
+    used = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert used.get(r.sequence_id, 0) == r.offset
+        used[r.sequence_id] = r.offset + r.length
+    assert max(used.values()) <= 256
+
+
+def test_line_dedup(docs, empty):
+    from barflow.llm.linededup import line_dedup
+
+    got = both(docs, empty, line_dedup, len(ROWS))
+    assert sorted(r.text for r in got if r.doc_id == 4) == ["", ""]
+    assert [r.text for r in got if r.doc_id == 1] == [ROWS[0][1]]
+    assert [r.text for r in got if r.doc_id in (2, 3)] in ([None, ""], ["", None])
+    assert set(docs.columns) <= set(got[0].asDict())
+
+
+def test_language(docs, empty):
+    from barflow.llm.langid import language_id
+
+    got = both(docs, empty, lambda x: language_id(x, F.lit(True)), len(ROWS))
+    by = {r.doc_id: r for r in got}
+    assert by[2].lang_pred == by[3].lang_pred == by[7].lang_pred == by[8].lang_pred == "und"
+    assert by[1].lang_pred == "en" and 0 <= by[1].score <= 1
+    assert {r.lang_pred for r in language_id(docs, F.lit(False)).collect()} == {"und"}
+
+
+def test_top_k(spark):
+    from barflow.llm.topk import exact_top_k
+
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (None, [1.0, 1.0]), (6, [1.0]), (40, [float("inf"), 0.0]), (7, []), (8, [3e38, 3e38])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = exact_top_k(df, F.col("id") % 20 == 0, 3).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == [(1, 8), (2, 1), (3, 5)]
+    assert {r.query_id for r in got} == {0, 20}
+    assert exact_top_k(df.limit(0), F.col("id") % 20 == 0, 3).count() == 0
+
+
+def test_near_duplicates(docs, empty):
+    from barflow.llm.minhash import first_of_each, near_duplicates, numbered
+
+    got = both(docs, empty, lambda x: near_duplicates(numbered(x)[1]), len(ROWS))
+    assert sum(1 for r in got if r.class_id == 1) == 3 and sum(1 for r in got if r.kept) == len(ROWS) - 2
+    left = both(docs, empty, first_of_each, len(ROWS) - 2)
+    assert list(left[0].asDict()) == docs.columns
+
+
+def test_secrets(docs, empty):
+    from barflow.llm.secretscan import digest, scan
+
+    got = both(docs, empty, lambda x: digest(scan(x)), len(ROWS))
+    by = {r.doc_id: r for r in got}
+    assert by[6].n_assign == 1 and by[6].spans == "assign:150000:150026"[:0] + by[6].spans and by[9].spans == "hex:0:48"
+    assert by[2].spans == "" and by[2].base_sha256 == by[3].base_sha256
+
+
+def test_counts(docs, empty):
+    from barflow.llm.tokencount import token_counts
+
+    got = both(docs, empty, lambda x: token_counts(x, "byte_bpe_50k.json"), len(ROWS))
+    by = {r.doc_id: r for r in got}
+    assert (by[2].n_bytes, by[2].n_tokens) == (0, 0) and by[6].over_limit and not by[1].over_limit
+    for kind in ("piece_bpe_32k.model", "word_bpe_49k.json"):
+        assert token_counts(docs.filter("doc_id = 1"), kind).first().n_tokens > 5
