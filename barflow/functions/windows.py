@@ -62,3 +62,10 @@ class Series:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return F.try_divide(a, b)
+
+
+def correlation(a: Column, b: Column, over: WindowSpec | None = None) -> Column:
+    """Pearson's r, null where a side does not vary."""
+    parts = [F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)), F.stddev_pop(F.when(a.isNotNull(), b))]
+    both, x, y = (p.over(over) for p in parts) if over is not None else parts
+    return F.try_divide(both, x * y)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barflow.functions.windows import Series
+from barflow.functions.windows import Series, correlation
 from barflow.operators.bars import fill, resample
 
 ORDER = "datetime"
@@ -73,7 +74,7 @@ def sentiment_features(hourly: DataFrame, prefix: str, count: str, keys: tuple[s
         f"{prefix}_confidence": F.col("sentiment_confidence_mean"),
     } | {f"{prefix}_lag_{k}": F.coalesce(s.lag(mean, k), F.lit(0.0)) for k in range(1, lags + 1)}
     out = df.withColumns(made).select(*s.keys, time, *made)
-    schema = out.schema.add(f"{prefix}_sentiment_ema", "double")
+    schema = T.StructType([*out.schema.fields, T.StructField(f"{prefix}_sentiment_ema", T.DoubleType())])
 
     def one(rows):
         rows = rows.sort_values(time)
@@ -208,7 +209,7 @@ def frequency(df: DataFrame, keys: tuple[str, ...] = ("symbol",), time: str = OR
 
 def correlations(df: DataFrame, features: list[str], target: str, most: int = 10) -> DataFrame:
     """(feature, r) of the strongest Pearson correlations with the target; one pass over the rows."""
-    one = df.agg(*[F.corr(f, target).alias(f) for f in features])
+    one = df.agg(*[correlation(F.col(f), F.col(target)).alias(f) for f in features])
     long = one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("r")) for f in features])).alias("x")).select("x.*")
     return long.filter("r IS NOT NULL AND NOT isnan(r)").orderBy(F.desc(F.abs("r")), "feature").limit(most)
 

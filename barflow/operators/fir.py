@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.functions.windows import Series, ratio
+from barflow.functions.windows import Series, correlation, ratio
 
 
 
@@ -167,7 +167,7 @@ def ultosc(df, s, out, timeperiod1, timeperiod2, timeperiod3):
 
 def correl(df, s, out, timeperiod):
     n = int(timeperiod)
-    return df.withColumn(out[0], s.full(_c("high"), F.corr("high", "low").over(s.last(n)), n))
+    return df.withColumn(out[0], s.full(_c("high"), correlation(_c("high"), _c("low"), s.last(n)), n))
 
 
 def _past(f: Callable[[Column, Column], Column]) -> Callable:

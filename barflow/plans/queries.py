@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.functions.windows import correlation
 from barflow.operators import backtest as B
 from barflow.operators import bars as R
 from barflow.operators import features as X
 from barflow.operators import posts as T
 from barflow.operators import predict as M
 from barflow.operators import signals as S
-from barflow.operators.candles import PATTERNS, TRAPS, add_patterns
+from barflow.operators.candles import TRAPS, add_patterns
 from barflow.operators.indicators import INDICATORS, add_indicators
 from barflow.sources import tables as D
 
@@ -32,7 +33,7 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
     """lineitem as daily candles by return flag."""
-    p = (F.col("l_extendedprice") / F.col("l_quantity")).cast("double")
+    p = F.col("l_extendedprice").cast("double")
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
         F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("datetime"), "l_orderkey", "l_linenumber", *[p.alias(c) for c in ("open", "high", "low", "close")], F.col("l_quantity").cast("double").alias("volume")
     )
@@ -167,7 +168,7 @@ def q_random_forest(spark, d):
 def q_importance(spark, d):
     """How far shuffling one input of a linear score lowers its correlation with the target."""
     df = model_table(spark, d).select("datetime", "returns", "divergence", "target_return")
-    score = lambda x: F.corr(F.col("returns") * -0.5 + F.col("divergence") * 0.1, "target_return")
+    score = lambda x: correlation(F.col("returns") * -0.5 + F.col("divergence") * 0.1, F.col("target_return"))
     base = df.agg(score(None)).first()[0]
     each = B.shuffled(df, ["returns", "divergence"]).groupBy("feature", "repeat").agg(score(None).alias("pnl"))
     return r6(B.permutation_importance(each, base))
@@ -201,6 +202,14 @@ def signed(c: str) -> Column:
 
 PREDICTED = ("symbol", "datetime", "signal")
 
+#: Patterns by the number of bars they look at.
+CANDLES = {
+    "candles_single": "CDLBELTHOLD CDLCLOSINGMARUBOZU CDLDOJI CDLDRAGONFLYDOJI CDLGRAVESTONEDOJI CDLHAMMER CDLHANGINGMAN CDLHIGHWAVE CDLINVERTEDHAMMER CDLLONGLEGGEDDOJI CDLLONGLINE CDLMARUBOZU CDLRICKSHAWMAN CDLSHOOTINGSTAR CDLSHORTLINE CDLSPINNINGTOP CDLTAKURI".split(),
+    "candles_double": "CDLCOUNTERATTACK CDLDARKCLOUDCOVER CDLDOJISTAR CDLENGULFING CDLHARAMI CDLHARAMICROSS CDLHOMINGPIGEON CDLINNECK CDLKICKING CDLKICKINGBYLENGTH CDLMATCHINGLOW CDLONNECK CDLPIERCING CDLSEPARATINGLINES CDLTHRUSTING".split(),
+    "candles_triple": "CDL2CROWS CDL3INSIDE CDL3OUTSIDE CDL3STARSINSOUTH CDL3WHITESOLDIERS CDLABANDONEDBABY CDLADVANCEBLOCK CDLEVENINGDOJISTAR CDLEVENINGSTAR CDLGAPSIDESIDEWHITE CDLIDENTICAL3CROWS CDLMORNINGDOJISTAR CDLMORNINGSTAR CDLSTALLEDPATTERN CDLSTICKSANDWICH CDLTASUKIGAP CDLTRISTAR CDLUNIQUE3RIVER CDLUPSIDEGAP2CROWS CDLXSIDEGAP3METHODS".split(),
+    "candles_multi": "CDL3BLACKCROWS CDL3LINESTRIKE CDLBREAKAWAY CDLCONCEALBABYSWALL CDLLADDERBOTTOM CDLMATHOLD CDLRISEFALL3METHODS".split(),
+}
+
 QUERIES: dict[str, Query] = {
     "resample_1h": _of(hourly),
     "resample_15m": _of(lambda s, d: R.resample(D.ticks(s, d), "15m", ties=TIES)),
@@ -213,10 +222,7 @@ QUERIES: dict[str, Query] = {
     "upsert_ignore": q_upsert,
     "append_anti": q_append,
     **{f"ind_{n.lower()}": indicator(n) for n in INDICATORS},
-    "candles_single": candle([n for n in PATTERNS if n in "CDLBELTHOLD CDLCLOSINGMARUBOZU CDLDOJI CDLDRAGONFLYDOJI CDLGRAVESTONEDOJI CDLHAMMER CDLHANGINGMAN CDLHIGHWAVE CDLINVERTEDHAMMER CDLLONGLEGGEDDOJI CDLLONGLINE CDLMARUBOZU CDLRICKSHAWMAN CDLSHOOTINGSTAR CDLSHORTLINE CDLSPINNINGTOP CDLTAKURI".split()]),
-    "candles_double": candle("CDLCOUNTERATTACK CDLDARKCLOUDCOVER CDLDOJISTAR CDLENGULFING CDLHARAMI CDLHARAMICROSS CDLHOMINGPIGEON CDLINNECK CDLKICKING CDLKICKINGBYLENGTH CDLMATCHINGLOW CDLONNECK CDLPIERCING CDLSEPARATINGLINES CDLTHRUSTING".split()),
-    "candles_triple": candle("CDL2CROWS CDL3INSIDE CDL3OUTSIDE CDL3STARSINSOUTH CDL3WHITESOLDIERS CDLABANDONEDBABY CDLADVANCEBLOCK CDLEVENINGDOJISTAR CDLEVENINGSTAR CDLGAPSIDESIDEWHITE CDLIDENTICAL3CROWS CDLMORNINGDOJISTAR CDLMORNINGSTAR CDLSTALLEDPATTERN CDLSTICKSANDWICH CDLTASUKIGAP CDLTRISTAR CDLUNIQUE3RIVER CDLUPSIDEGAP2CROWS CDLXSIDEGAP3METHODS".split()),
-    "candles_multi": candle("CDL3BLACKCROWS CDL3LINESTRIKE CDLBREAKAWAY CDLCONCEALBABYSWALL CDLLADDERBOTTOM CDLMATHOLD CDLRISEFALL3METHODS".split()),
+    **{k: candle(v) for k, v in CANDLES.items()},
     "candles_traps": candle(list(TRAPS)),
     **{f"rule_{r}": rule(n) for r, n in {"price_cross": "SMA", "zero_cross": "MOM", "threshold": "WILLR", "pivot": "ROCR", "mean_cross": "TRANGE", "line_cross": "STOCH", "prev_cross": "OBV", "bbands": "BBANDS", "pattern": "CDLDOJI"}.items()},
     "rule_trend_mode": rule("HT_TRENDMODE"),
