@@ -318,7 +318,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> D
     count = share(rarity(docs, "text"))
     found = scratch.keep(lines(docs, threshold, least, count))
     place = F.struct("d", "u", "line")
-    firsts = found.groupBy("set").agg(F.min(place).alias("first"))
+    firsts = scratch.keep(found.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("n")))
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     posting = found.filter(F.size("tokens") > 0).select("d", "set", "size", "a", "b", "at", "tokens")
@@ -366,7 +366,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> D
         scratch.drop(all_pairs, *used)
         gone = gone.unionByName(late).distinct()
     scratch.drop(pairs, again)
-    twins = found.join(firsts, "set").filter(place > F.col("first")).select("u", "line")
+    twins = found.join(firsts.filter("n > 1"), "set").filter(place > F.col("first")).select("u", "line")
     return twins.unionByName(found.join(gone, "set").select("u", "line")).distinct()
 
 
