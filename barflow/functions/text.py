@@ -48,13 +48,22 @@ def decode_entities(x: Column) -> Column:
 def expand_prices(x: Column) -> Column:
     """50k to 50000, 2.5M to 2500000: the text is cut at the prices and joined again with their values."""
     for pattern, factor in ((r"\$?([\d,]+\.?\d*)[kK]\b", 1_000), (r"\$?([\d,]+\.?\d*)[mM]\b", 1_000_000)):
-        gaps = F.split(x, pattern, -1)
-        found = F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
-        value = lambda v, f=factor: F.coalesce((F.regexp_replace(v, ",", "").try_cast("double") * f).cast("decimal(38,0)").cast("string"), v)
-        x = F.array_join(F.flatten(F.transform(gaps, lambda g, i, n=found, f=value: F.when(F.get(n, i).isNotNull(), F.array(g, f(F.get(n, i)))).otherwise(F.array(g)))), "")
+        x = _replaced(x, pattern, factor)
     return x
 
 
+def _replaced(x: Column, pattern: str, factor: int) -> Column:
+    gaps, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+
+    def value(v: Column) -> Column:
+        return F.coalesce((F.regexp_replace(v, ",", "").try_cast("double") * factor).cast("decimal(38,0)").cast("string"), v)
+
+    def one(gap: Column, i: Column) -> Column:
+        return F.when(F.get(found, i).isNotNull(), F.array(gap, value(F.get(found, i)))).otherwise(F.array(gap))
+
+    return F.array_join(F.flatten(F.transform(gaps, one)), "")
+
+
 def strip_markdown(x: Column) -> Column:
     for pattern, to in MARKDOWN:
         x = F.regexp_replace(x, pattern, to)
