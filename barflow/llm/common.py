@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+pa.set_memory_pool(pa.system_memory_pool())  # an own pool keeps what it has had
+_TRIM = [ctypes.CDLL(None).malloc_trim] if hasattr(ctypes.CDLL(None), "malloc_trim") else []
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -55,6 +58,13 @@ class Scratch:
                 at.getFileSystem(hadoop).delete(at, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process lives on, and its next task may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM[0](0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; null texts have no bytes."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
@@ -79,6 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barflow.llm.common import slices, text_buffers
+from barflow.llm.common import slices, small_batches, text_buffers
 
 BITS = 16
 NONE = 1 << BITS  # the column of what is no n-gram
@@ -81,7 +81,7 @@ def frequencies(text: str):
 
     def run(batches):
         df, texts, seen = np.zeros(NONE + 1, np.int64), 0, np.zeros(NONE + 1, bool)
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, 1 << 19):
             points, offsets, _ = code_points(batch.column(text))
             grams = [columns(points, offsets, n) for n in SIZES]
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -101,7 +101,7 @@ def vectors(text: str, label: str):
     """Sparse term frequencies of labelled texts."""
 
     def run(batches):
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, 1 << 19):
             points, offsets, _ = code_points(batch.column(text))
             grams = np.concatenate([columns(points, offsets, n) for n in SIZES])
             of = np.tile(np.repeat(np.arange(batch.num_rows), np.diff(offsets)), len(SIZES))
@@ -180,6 +180,7 @@ SCALE = 30.0  # TF-IDF values are small shares; this brings them near one
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", per_class: int = 1500, max_classes: int = 256, seed: int = 7) -> Model | None:
     """Fit on rows with a label; statistics over all of them, weights on the bounded sample."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{text}`").alias("__text"), F.col(f"`{label}`").cast("string").alias("__label")).filter(F.col("__label").isNotNull() & F.col("__text").isNotNull())
     sizes = {r[0]: r[1] for r in own.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(max_classes).collect()}
     if not sizes:
@@ -216,13 +217,14 @@ def hash_of(values: list[int]) -> int:
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) with lang_pred and score; input columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        for batch in slices(batches, "__text", 1 << 20):
+        for batch in slices(batches, "__text", 1 << 19):
             column = batch.column(batch.num_columns - 1)
             names, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             if m is not None:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import Scratch, chunked, dense_total, mix, slices, spans_hash, text_buffers, words
+from barflow.llm.common import Scratch, chunked, dense_total, give_back, mix, slices, spans_hash, text_buffers, words
 
 COUNTERS = 1 << 24
 MARKS = 1 << 26
@@ -291,6 +291,7 @@ def postings(count, only=None):
 def _then_none(batches):
     yield from batches
     yield None
+    give_back()
 
 
 def marked(marks: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barflow.llm.bpe import encoder
-from barflow.llm.common import slices, spans_hash, text_buffers
+from barflow.llm.common import slices, small_batches, spans_hash, text_buffers
 
 
 def hot_table(docs: DataFrame, tokenizer: str, text: str = "text", hot_rows: int = 4000, hot_size: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and token lengths of the ``hot_size`` most frequent chunks of about ``hot_rows`` sampled texts."""
+    small_batches(docs.sparkSession)
     rows = docs.count()
     none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
     if not rows:
