@@ -16,6 +16,7 @@ texts get equal results; ties between languages go to the first in order.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -194,12 +195,17 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_class: i
     drawn = own.filter(F.rand(seed) < F.try_element_at(share, F.col("__label")))
     rows = drawn.mapInArrow(vectors("__text", "__label"), T.StructType([T.StructField("label", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])).toArrow()
     classes = sorted(sizes)
-    samples, order = [], np.argsort([hash_of(x.as_py()) for x in rows["at"]], kind="stable")
-    labels, cols, counts = rows["label"].to_pylist(), rows["at"].to_pylist(), rows["n"].to_pylist()
-    for k in order.tolist():
-        if cols[k]:
-            a, c = np.array(cols[k]), np.array(counts[k], float)
-            samples.append((np.append(a, NONE), np.append(c / c.sum() * idf[a] * SCALE, 1.0), classes.index(labels[k])))
+    samples, order = [], []
+    at_, n_ = (rows[c].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "n"))
+    ends = np.append(0, np.cumsum(at_.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    cols, counts, labels = at_.flatten().to_numpy(), n_.flatten().to_numpy(), rows["label"].to_pylist()
+    for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        order.append((zlib.crc32(cols[i:j]), zlib.crc32(counts[i:j]), k))  # does not depend on where a row came from
+    for *_, k in sorted(order):
+        a, c = cols[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]]
+        if len(a):
+            samples.append((np.append(a, NONE), np.append(c / c.sum() * idf[a] * SCALE, 1.0).astype(np.float32), classes.index(labels[k])))
+    del rows, at_, n_, cols, counts
     if not samples:
         return None
     held = samples[::5] if len(samples) >= 50 else []
@@ -210,11 +216,6 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_class: i
     return Model(classes, w.astype(np.float32), heat)
 
 
-def hash_of(values: list[int]) -> int:
-    """An order of the sample that does not depend on where its rows came from."""
-    return hash(tuple(values))
-
-
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) with lang_pred and score; input columns of these names are replaced."""
     small_batches(docs.sparkSession)
