@@ -1,17 +1,21 @@
 """Prediction by partial matching over bytes, trained on the whole corpus.
 
 Every task counts its own byte n-grams (a context of up to ``order`` bytes and the
-symbol after it), one exchange adds them up, and what occurs often enough becomes
-the trie: an n-gram of an order stays if it makes up at least ``share`` of that
-order's symbols, so an order never has more than 1/share nodes however large the
-corpus is - that is the proven bound of the broadcast.  What falls below goes into
-its context's escape weight, so probabilities still add up to one.
-
-A symbol is coded at the longest context the trie has.  Escape estimation: each
-distinct symbol gives ESCAPE of its count to the escape (method D has a half), to
-which comes the weight of what the trie left out.  Symbol exclusion: after an escape, symbols of the longer context are taken
-out of the shorter one.  Because a longer context's symbols are always among its
-shorter one's, the excluded weight is one number a context and is prepared once.
+symbol after it) and one exchange adds them up into a written table.  All counted
+n-grams are the model, none is left out, whatever the size of the corpus.
+
+A symbol is coded at the longest context that was seen.  Escape estimation: each
+distinct symbol gives ESCAPE of its count to the escape (method D has a half).
+Symbol exclusion: after an escape, symbols of the longer context are taken out of
+the shorter one.  Because a longer context's symbols are always among its shorter
+one's, the excluded weight is one number a context.
+
+Scores come in three tiers that give the same value.  N-grams that make up at least
+``share`` of all symbols are looked up in a broadcast table, which never has more
+than 1/share rows; ``share`` decides speed only.  All others go with their text's
+number through a join with the written table of the longest n-grams.  Those that
+training never saw, which only held-out texts have, are looked up once each at all
+their shorter contexts.  ``Trie`` is the same model in memory, for tests.
 
 The model reads the text with A-Z in lower case, preceded by a start symbol and
 followed by an end symbol.  The word base of ``score`` is a unigram model with
@@ -81,7 +85,7 @@ def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """What is left of the counts, by order: sorted n-grams and their contexts."""
+    """The model in memory, of counts by order: sorted n-grams and their contexts; what was left out of them is escape weight."""
 
     def __init__(self, order: int, tables: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.order, self.levels = order, []
@@ -176,34 +180,86 @@ def count_task(order: int, text: str) -> Callable:
     return run
 
 
-def trie_of(counts: DataFrame, order: int, share: float) -> Trie:
-    """The n-grams that make up at least ``share`` of their order: at most 2/share rows an order reach the driver."""
-    symbols = counts.filter((F.col("level") == 0) & (F.col("gram") == START)).agg(F.sum("n")).first()[0] or 0
-    kept = counts.filter((F.col("level") >= 0) & (F.col("n") >= max(1, int(share * symbols)))).toArrow()
-    level, gram, n = kept["level"].to_numpy(), kept["gram"].to_numpy().view(np.uint64), kept["n"].to_numpy()
-    total = (gram & np.uint64(0xFF)) == START
-    pick = lambda k, t: (gram[(level == k) & (total == t)], n[(level == k) & (total == t)])
-    return Trie(order, [pick(k, False) for k in range(order + 1)], [(g >> np.uint64(8), m) for g, m in (pick(k, True) for k in range(order + 1))])
-
+def longest(counts: DataFrame, order: int) -> DataFrame:
+    """(gram, n, log) of every n-gram of the longest order: log10 of its probability, which needs no escape."""
+    own = counts.filter(F.col("level") == order)
+    is_total = F.col("gram").bitwiseAND(0xFF) == START
+    totals = own.filter(is_total).select(F.shiftright("gram", 8).alias("context"), F.col("n").alias("total"))
+    met = own.filter(~is_total).select("gram", "n", F.shiftright("gram", 8).alias("context")).join(totals, "context")
+    return met.select("gram", "n", (F.log10(F.col("n") - F.lit(ESCAPE)) - F.log10("total")).alias("log"))
+
+
+def escapes(counts: DataFrame, absent: DataFrame, order: int, scratch: Scratch) -> DataFrame:
+    """(gram, log) of n-grams that were never seen whole, from all their shorter contexts."""
+    symbol = F.col("gram").bitwiseAND(0xFF)
+    paths = absent.select("gram", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("level"))
+    paths = paths.withColumn("context", F.expr(f"shiftright(gram, 8 * ({order + 1} - level))")).withColumn("key", F.shiftleft("context", 8).bitwiseOR(symbol))
+    paths = scratch.keep(paths)
+    grams = counts.filter((F.col("level") >= 0) & (symbol != START)).select(F.col("level").cast("int").alias("level"), "gram", "n")
+    own = grams.withColumn("context", F.shiftright("gram", 8)).join(paths.select("level", "context").distinct(), ["level", "context"], "left_semi")
+    own = scratch.keep(own.withColumn("shorter", F.shiftleft(F.shiftright("gram", 16), 8).bitwiseOR(symbol)))
+    below = grams.select((F.col("level") + 1).alias("level"), F.col("gram").alias("shorter"), F.col("n").alias("shared"))
+    below = below.join(own.select("level", "shorter").distinct(), ["level", "shorter"])  # tables as small as this one are joined without moving the counts
+    own = own.join(below, ["level", "shorter"], "left")
+    stats = scratch.keep(own.groupBy("level", "context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.coalesce(F.sum("shared"), F.lit(0)).alias("shared")))
+    single = scratch.keep(grams.withColumnRenamed("gram", "key").join(paths.select("level", "key").distinct(), ["level", "key"]))
+
+    def look(part: str, small) -> DataFrame:
+        return paths.filter(part).join(small(stats.filter(part)), ["level", "context"]).join(small(single.filter(part)), ["level", "key"], "left")
+
+    # a context of at most one byte is everyone's: its at most 257 rows and 65,792 n-grams are broadcast
+    met = look("level < 2", F.broadcast).unionByName(look("level >= 2", lambda x: x))
+    values = ("n", "total", "distinct", "shared")
+    wide = met.groupBy("gram").agg(*(F.coalesce(F.max(F.when(F.col("level") == k, F.col(v))), F.lit(0)).alias(f"{v}{k}") for k in range(order + 1) for v in values))
+    # without any training text there is no context at all
+    wide = absent.join(wide, "gram", "left").na.fill(0)
 
-def text_scores(trie: Trie, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each text; at most 65,536 texts a call.
+    def run(batches):
+        for batch in batches:
+            n, total, distinct, shared = (np.stack([batch.column(f"{v}{k}").to_numpy(zero_copy_only=False) for k in range(order + 1)]).astype(float) for v in values)
+            out, gone, took, todo = *(np.zeros(batch.num_rows) for _ in range(3)), np.ones(batch.num_rows, bool)
+            for k in range(order, -1, -1):
+                here = todo & (total[k] > 0)
+                left = distinct[k] - gone
+                escape = ESCAPE * np.maximum(left, 1)
+                weight = np.log10(np.maximum(total[k] - took - ESCAPE * left, 0) + escape)
+                out += np.where(here, np.log10(np.where(n[k] > 0, n[k] - ESCAPE, escape)) - weight, 0)
+                gone, took = np.where(here, distinct[k], gone), np.where(here, shared[k], took)
+                todo &= n[k] == 0
+            out -= np.where(todo, np.log10(np.maximum(256 - distinct[0], 1)), 0)
+            yield pa.record_batch([batch.column("gram"), pa.array(out)], names=["gram", "log"])
+
+    return wide.mapInArrow(run, "gram long, log double")
+
+
+def text_scores(keys: np.ndarray, logs: np.ndarray, order: int, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """(log10 of the probability of each text's n-grams among keys, its other n-grams, each as often as it is there); at most 65,536 texts a call.
 
     The text's number stands below its n-grams' bits, so that one plain sort brings equal n-grams together."""
-    order, n = trie.order, len(offsets) - 1
+    n = len(offsets) - 1
     data, at = framed(raw, offsets, order)
     of = np.repeat(np.arange(n, dtype=np.uint64), np.diff(offsets) + 1)
     both = np.sort((grams(data, at, order) << np.uint64(16)) | of)
-    keys = both >> np.uint64(16)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    each = np.repeat(trie.log10(keys[first]), np.diff(np.append(first, len(keys))))
-    return np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), each, n).astype(float)
+    own = both >> np.uint64(16)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    times = np.diff(np.append(first, len(own)))
+    log, hit = np.zeros(len(first)), np.zeros(len(first), bool)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, own[first]), len(keys) - 1)
+        hit = keys[at] == own[first]
+        log[hit] = logs[at[hit]]
+    score = np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), np.repeat(log, times), n).astype(float)
+    rest = both[np.repeat(~hit, times)]
+    of = (rest & np.uint64(0xFFFF)).astype(np.int64)
+    by = np.argsort(of, kind="stable")
+    ends = pa.array(np.searchsorted(of[by], np.arange(n + 1)).astype(np.int32))
+    return score, pa.ListArray.from_arrays(ends, pa.array((rest[by] >> np.uint64(16)).view(np.int64)))
 
 
 def ppm_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", order: int = 5, share: float = 4e-7, word_share: float = 2.5e-7) -> DataFrame:
     """Per document: ``key``, held_out (not ``learn``), n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    order: at most 5, so that an n-gram and a text's number fit 64 bits."""
+    share: n-grams this frequent are looked up, all others joined, with equal results.  order: at most 5, so that an n-gram and a text's number fit 64 bits."""
     if not 0 <= order <= 5:
         raise ValueError("order must be 0 to 5")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ppm")
@@ -215,12 +271,17 @@ def ppm_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     often = counts.filter(is_word & (F.col("n") >= max(1, int(word_share * seen)))).select("gram", "n").toArrow()
     often_keys, often_n = often["gram"].to_numpy().view(np.uint64), often["n"].to_numpy()
     by = np.argsort(often_keys)
-    model = spark.sparkContext.broadcast((trie_of(counts, order, share), often_keys[by], often_n[by]))
-    out = T.StructType([own.schema[0], T.StructField("held_out", T.BooleanType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("rare_n", T.ArrayType(T.IntegerType()))])
+    symbols = counts.filter((F.col("level") == 0) & (F.col("gram") == START)).agg(F.sum("n")).first()[0] or 0
+    whole_grams = scratch.keep(longest(counts, order))
+    tier = whole_grams.filter(F.col("n") >= max(1, int(share * symbols))).select("gram", "log").toArrow()
+    tier_keys, tier_logs = tier["gram"].to_numpy().view(np.uint64), tier["log"].to_numpy()
+    sorted_ = np.argsort(tier_keys)
+    model = spark.sparkContext.broadcast((tier_keys[sorted_], tier_logs[sorted_], often_keys[by], often_n[by]))
+    out = T.StructType([own.schema[0], T.StructField("held_out", T.BooleanType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("rare_n", T.ArrayType(T.IntegerType())), T.StructField("missed", T.ArrayType(T.LongType()))])
 
     def score(batches):
-        trie, keys, n = model.value
-        for whole in slices(batches, "__text", 1 << 22):
+        top, logs_of, keys, n = model.value
+        for whole in slices(batches, "__text"):
             for s in range(0, whole.num_rows, 1 << 16):
                 batch = whole.slice(s, 1 << 16)
                 raw, offsets = lowered(batch.column(2))
@@ -242,22 +303,28 @@ def ppm_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
                 first = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1]))) if len(rare) else np.zeros(0, np.int64)
                 ends = pa.array(np.searchsorted(rare_of[first], np.arange(rows + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (rare[first].view(np.int64), np.diff(np.append(first, len(rare))).astype(np.int32))]
-                made = [np.diff(offsets), np.bincount(of, minlength=rows), np.bincount(of[hits], minlength=rows), logs, text_scores(trie, raw, offsets)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(~batch.column(1).to_numpy(zero_copy_only=False)), *map(pa.array, made), *lists], names=out.names)
+                known_score, missed = text_scores(top, logs_of, order, raw, offsets)
+                made = [np.diff(offsets), np.bincount(of, minlength=rows), np.bincount(of[hits], minlength=rows), logs, known_score]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(~batch.column(1).to_numpy(zero_copy_only=False)), *map(pa.array, made), *lists, missed], names=out.names)
 
     scored = scratch.keep(own.mapInArrow(score, out).withColumn("__row", F.monotonically_increasing_id()))
     rare = scored.select("__row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("__row", F.col("w.rare").alias("gram"), F.col("w.rare_n").alias("times"))
     met = rare.join(counts.filter(is_word).select("gram", "n"), "gram", "left")
     c = F.coalesce("n", F.lit(0))
     sums = met.groupBy("__row").agg(F.sum(F.col("times") * F.log10(c + 0.1)).alias("rare_logs"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    absent = scratch.keep(scored.filter("held_out").select(F.explode("missed").alias("gram")).distinct().join(whole_grams, "gram", "left_anti"))
+    logs = whole_grams.select("gram", "log").unionByName(escapes(counts, absent, order, scratch))
+    missed = scored.select("__row", F.explode("missed").alias("gram"))
+    joined = missed.join(logs, "gram").groupBy("__row").agg(F.sum("log").alias("missed_score"))
+    score_ = F.col("score") + F.coalesce("missed_score", F.lit(0.0))
     z = float(np.log10(seen + 0.1 * (distinct + 1)))
-    return scored.join(sums, "__row", "left").select(
+    return scored.join(sums, "__row", "left").join(joined, "__row", "left").select(
         F.col("__key").alias(key),
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(seen).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * z).alias("base_score"),
-        "score",
-        (-F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        score_.alias("score"),
+        (-score_ / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
