@@ -106,10 +106,13 @@ LINES = "d long, u long, line int, set long, size int, a long, b long, at array<
 
 
 def lines(docs: DataFrame, threshold: float, least: int, count) -> DataFrame:
-    """Lines that may have a match: place, set hash, size, sketch and the words of the prefix with their positions (once a task and set)."""
+    """Lines that may have a match: place, set hash, size, sketch and the words of the prefix with their positions.
+
+    A task tells a set's words once, and again where it meets the set at a smaller d: rows may come in any order, and
+    of the places told the smallest must be the set's first."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         for batch in slices(batches, "text"):
             raw, offsets = text_buffers(batch.column(2))
             h, nth, first, of, number, c = line_words(raw, offsets, count.value)
@@ -125,9 +128,9 @@ def lines(docs: DataFrame, threshold: float, least: int, count) -> DataFrame:
             post = (place < np.repeat(prefix(size, threshold), size)) & (c > 1)
             twin = np.minimum.reduceat(c, first) > 1
             new = np.zeros(len(first), bool)
-            for k, s in enumerate(sets.tolist()):
-                if s not in seen:
-                    seen.add(s)
+            for k, (s, d) in enumerate(zip(sets.tolist(), batch.column(0).to_numpy()[of].tolist(), strict=True)):
+                if d < seen.get(s, d + 1):
+                    seen[s] = d
                     new[k] = True
             if len(seen) > 2_000_000:  # memory; a set told twice is only told twice
                 seen.clear()

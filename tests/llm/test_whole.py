@@ -26,3 +26,19 @@ def test_op2_scores_with_all_ngrams(spark, tmp_path):
     for share in (0.02, 1e-9):
         got = {x.doc_id: x.score for x in ppm.ppm_scores(docs, F.col("doc_id") % 5 != 0, share=share).collect()}
         assert got == {k: pytest.approx(x) for k, x in want.items()}
+
+
+def test_op5_rows_out_of_order(spark, tmp_path):
+    """Repeated lines met late before early in one task: the earlier doc_id counts, not the place in the file."""
+    from barflow.llm.linededup import line_dedup
+
+    r = random.Random(7)
+    rows = []
+    for g in range(30):
+        x = [f"w{g}x{k}" for k in range(10)]
+        y = [*x[:9], f"own{g}"]
+        rows += [(1000 * g + 100, " ".join(x)), (1000 * g + 5, " ".join(x)), (1000 * g + 50, " ".join(y))]
+    rows = [rows[0], *rows[1:3], *r.sample(rows[3:], len(rows) - 3)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    got = line_dedup(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert {x.doc_id for x in got if not x["__gone"]} == {1000 * g + 5 for g in range(30)}
