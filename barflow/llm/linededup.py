@@ -2,15 +2,16 @@
 
 A line is the set of its words (maximal runs of other than ASCII white space).  A
 line goes if an earlier line - smaller doc_id, then row, then line number - has a
-Jaccard similarity of at least ``threshold`` to it; lines of fewer than ``least``
-words, blank ones too, always stay.
+Jaccard similarity of at least ``threshold`` to it; blank lines always stay, and so
+do, if ``least`` is given, lines of fewer distinct words than that (off by default).
 
 1. Rarity: how often each word occurs, over all texts, as a table of 2**24
    counters indexed by word hash (an upper bound; its size is fixed).
 2. Each line's words in order of rarity.  Equal sets meet by hash and all but the
    first go.  For the others the prefix filter applies: two lines that are similar
    share a word among the first |x| - ceil(t |x|) + 1, and words that occur once in
-   the corpus need no posting.  A posting carries its position, the line's size and
+   the corpus need no posting, nor do lines so short that only an equal set can be
+   similar (below four words at 0.8).  A posting carries its position, the line's size and
    a 128-bit parity sketch of the set.
 3. Postings of a word meet in blocks of bounded size (frequent words are split,
    every pair of blocks is a group of its own).  Length and positional filters and
@@ -125,7 +126,8 @@ def lines(docs: DataFrame, threshold: float, least: int, count) -> DataFrame:
             a = np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), first).view(np.int64)
             b = np.bitwise_xor.reduceat(np.where(side, np.uint64(0), bit), first).view(np.int64)
             place = np.arange(len(h)) - np.repeat(first, size)
-            post = (place < np.repeat(prefix(size, threshold), size)) & (c > 1)
+            # another set is at best a set of one word more: size / (size + 1)
+            post = (place < np.repeat(prefix(size, threshold), size)) & (c > 1) & np.repeat(size >= threshold * (size + 1) - 1e-9, size)
             twin = np.minimum.reduceat(c, first) > 1
             new = np.zeros(len(first), bool)
             for k, (s, d) in enumerate(zip(sets.tolist(), batch.column(0).to_numpy()[of].tolist(), strict=True)):
@@ -315,7 +317,7 @@ def marks_of(rows: DataFrame) -> np.ndarray:
     return dense_total(rows.mapInArrow(run, "chunk int, data binary"), "uint8", MARKS >> 3, "uint8", union=True)
 
 
-def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFrame:
     """(u, line) of every line that goes; docs: d (order), u (row), text."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lines")
     share = spark.sparkContext.broadcast
@@ -374,7 +376,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> D
     return twins.unionByName(found.join(gone, "set").select("u", "line")).distinct()
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, least: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, least: int = 1) -> DataFrame:
     """All columns of docs with ``text`` less the lines that go, and __lines (before) and __gone (their numbers, sorted)."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must be 0.5 to 1")

@@ -42,3 +42,46 @@ def test_op5_rows_out_of_order(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
     got = line_dedup(spark.read.parquet(str(tmp_path / "t"))).collect()
     assert {x.doc_id for x in got if not x["__gone"]} == {1000 * g + 5 for g in range(30)}
+
+
+def test_op5_short_lines(spark, tmp_path):
+    """Every non-blank line takes part, against brute force without a least number of words."""
+    from barflow.llm.linededup import line_dedup
+
+    r = random.Random(11)
+    texts = ["\n".join(" ".join(r.choice("abcdefg") * r.choice((1, 1, 2)) for _ in range(r.randint(0, 6))) for _ in range(5)) for _ in range(60)]
+    texts += ["Les.\n \n\nLes. Les.", "head head head\nhead"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    want, before = {k: [] for k in range(len(texts))}, []
+    for k, text in enumerate(texts):
+        for line, x in enumerate(text.split("\n")):
+            if s := set(x.split()):
+                if any(len(s & q) >= 0.8 * len(s | q) - 1e-9 for q in before):
+                    want[k].append(line)
+                before.append(s)
+    got = line_dedup(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert {x.doc_id: x["__gone"] for x in got} == want
+
+
+def test_op5_query_whole(spark):
+    """The query against brute force over every non-blank line."""
+    import collections
+
+    import pyarrow.parquet as pq
+
+    from barflow.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    t = pq.read_table(f"{sf}/documents.parquet")
+    sizes, post, want = [], collections.defaultdict(list), collections.defaultdict(set)
+    for d, text in sorted(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True)):
+        for k, line in enumerate(text.split("\n")):
+            s = set(line.encode().split())
+            both = collections.Counter(j for w in s for j in post[w])
+            if any(n >= 0.8 * (len(s) + sizes[j] - n) - 1e-9 for j, n in both.items()):
+                want[d].add(k)
+            for w in s:
+                post[w].append(len(sizes))
+            sizes.append(len(s))
+    got = {r.doc_id: {int(x) for x in r.removed.split(",") if x} for r in QUERIES["op5_line_dedup"](spark, sf).collect()}
+    assert got == {d: want[d] for d in got}
