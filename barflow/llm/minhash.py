@@ -1,14 +1,16 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and exact verification.
 
 A text is its set of five-word shingles (words: runs of other than ASCII white
-space; a shorter text is one shingle), weighted by 1 + ln of how often each occurs.
+space; a shorter text is one shingle).  All shingles weigh the same however often
+they occur, because links are decided on plain sets and the bands must find those.
 Every shingle is a Poisson process of its weight's rate: its next arrival comes an
 exponential waiting time later and hits a random register; a register keeps the
 shingle that came first.  A shingle stops as soon as its next arrival is later than
 all registers of its text, so a long text costs little more than its length.  Two
-signatures agree in a register with the probability Jaccard of the weighted sets.
+signatures agree in a register with the probability Jaccard, here that of the sets.
 
-128 registers make 32 bands of four: a pair at 0.8 is missed once in 20 million.
+128 registers make 32 bands of four: a pair at 0.8 of the sets is missed once in 20
+million, repeated passages or not.
 Texts with equal words are one class, and only classes go on.  A bucket gives one
 edge from each member to its smallest, so the candidate groups are components of
 as many edges as members; within a group all shingle sets meet through the group's
@@ -105,7 +107,7 @@ def sketch(registers: int, bands: int):
         for whole in slices(batches, "text"):
             for s in range(0, whole.num_rows, 1 << 15):
                 batch = whole.slice(s, 1 << 15)
-                shingle, of, times, c = shingles(*text_buffers(batch.column(2)))
+                shingle, of, _, c = shingles(*text_buffers(batch.column(2)))
                 n = np.bincount(of, minlength=batch.num_rows)
                 new = np.zeros(batch.num_rows, bool)
                 for k, x in enumerate(c.tolist()):
@@ -116,7 +118,7 @@ def sketch(registers: int, bands: int):
                     seen.clear()
                 pick = new[of]
                 nth = np.cumsum(new) - 1
-                keys = band_keys(signatures(shingle[pick], nth[of[pick]], 1 + np.log(times[pick]), int(new.sum()), registers), bands)
+                keys = band_keys(signatures(shingle[pick], nth[of[pick]], np.ones(int(pick.sum())), int(new.sum()), registers), bands)
                 ends = pa.array(np.append(0, np.cumsum(new * bands)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=["d", "u", "c", "n", "keys"])
 

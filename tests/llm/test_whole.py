@@ -85,3 +85,19 @@ def test_op5_query_whole(spark):
             sizes.append(len(s))
     got = {r.doc_id: {int(x) for x in r.removed.split(",") if x} for r in QUERIES["op5_line_dedup"](spark, sf).collect()}
     assert got == {d: want[d] for d in got}
+
+
+def test_op8_repeated_passages(spark, tmp_path):
+    """Near copies whose own passages are repeated often: alike as sets, far apart by how often shingles occur."""
+    from barflow.llm.minhash import near_duplicates, numbered
+
+    rows = []
+    for g in range(40):
+        common = " ".join(f"c{g}x{k}" for k in range(404))
+        rows += [(2 * g + side, f"{common} " + " ".join([" ".join(f"o{g}s{side}x{k}" for k in range(32))] * 3000)) for side in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    got = {r.d: r.class_id for r in near_duplicates(numbered(spark.read.parquet(str(tmp_path / "t")))[1]).collect()}
+    bag = lambda t: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)}
+    a, b = bag(rows[0][1]), bag(rows[1][1])
+    assert len(a & b) >= 0.8 * len(a | b)
+    assert got == {d: d - d % 2 for d, _ in rows}
