@@ -86,28 +86,29 @@ def hamming_pairs(df: DataFrame, key: str, bits: str = "simhash", most: int = 3)
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "distance").distinct()
 
 
-def near_dedup(df: DataFrame, key: str, bits: str = "simhash", most: int = 3, rounds: int = 50) -> DataFrame:
+def near_dedup(df: DataFrame, key: str, bits: str = "simhash", most: int = 3) -> DataFrame:
     """Greedy: in key order a row goes if it is within ``most`` bits of an earlier row that stays.
 
     Equal hashes fold into their first row; then in every round a row whose earlier neighbours have all
-    gone stays, and one with an earlier neighbour that stays goes, until all are decided.
+    gone stays, and one with an earlier neighbour that stays goes, until all are decided. A round decides the
+    first open row at least, so this ends; checkpoints keep the plan of a round from holding all before it.
     """
+    reliable = df.sparkSession.sparkContext.getCheckpointDir() is not None
+    cut = lambda x: x.checkpoint() if reliable else x.localCheckpoint()
     firsts = df.groupBy(bits).agg(F.min(key).alias(key))
-    pairs = hamming_pairs(firsts, key, bits, most).select("a", "b").persist()
-    open_ = pairs.select(F.col("b").alias("id")).distinct().persist()
-    stays = pairs.select(F.col("a").alias("id")).distinct().join(open_, "id", "left_anti")
+    pairs = hamming_pairs(firsts, key, bits, most).select("a", "b").transform(cut)
+    open_ = pairs.select(F.col("b").alias("id")).distinct().transform(cut)
+    stays = pairs.select(F.col("a").alias("id")).distinct().join(open_, "id", "left_anti").transform(cut)
     gone = None
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         lost = pairs.join(stays.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(open_, "id", "left_semi")
         gone = lost if gone is None else gone.unionByName(lost).distinct()
-        gone = gone.persist()
+        gone = cut(gone)
         left = open_.join(gone, "id", "left_anti")
         waiting = pairs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(stays.withColumnRenamed("id", "a"), "a", "left_anti").select(F.col("b").alias("id")).distinct()
         free = left.join(waiting, "id", "left_anti")
-        stays = stays.unionByName(free).distinct().persist()
-        open_ = left.join(free, "id", "left_anti").persist()
+        stays = cut(stays.unionByName(free).distinct())
+        open_ = cut(left.join(free, "id", "left_anti"))
     kept = firsts.select(key) if gone is None else firsts.select(key).join(gone.withColumnRenamed("id", key), key, "left_anti")
     return df.join(kept, key, "left_semi")
 
