@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 pa.set_memory_pool(pa.system_memory_pool())  # an own pool keeps what it has had
 _TRIM = [ctypes.CDLL(None).malloc_trim] if hasattr(ctypes.CDLL(None), "malloc_trim") else []
@@ -18,11 +19,13 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The shared folder named by ``spark.checkpoint.dir`` (or set on the context); without one only a local master goes on, in a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="barflow-")
-        spark.sparkContext.setCheckpointDir(root)
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barflow-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -58,6 +61,31 @@ class Scratch:
                 at.getFileSystem(hadoop).delete(at, True)
 
 
+HOT = 1024  # a key with at least this part of all rows is a hot one: there are never more such keys than that
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys that hold at least 1/HOT of ``total`` rows; counts are summed on the map side first."""
+    return rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") >= max(2, -(-total // HOT))).select(key)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, left: bool = False) -> DataFrame:
+    """rows joined with ``table`` (one row a key, a long) without a task for a hot key.
+
+    The at most HOT hot keys' rows of ``table`` are broadcast; rows that have met one are dealt by chance in the
+    exchange for all others, and every other key holds less than 1/HOT of the rows.
+    """
+    added = [c for c in table.columns if c != key]
+    both = F.struct(*added)
+    near = table.join(F.broadcast(hot), key, "left_semi").select(F.col(key), both.alias("__near"))
+    far = table.select(F.col(key).alias("__k"), both.alias("__far"))
+    met = rows.join(F.broadcast(near), key, "left")
+    met = met.withColumn("__k", F.when(F.col("__near").isNull(), F.col(key)).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    met = met.join(far, "__k", "left").withColumn("__both", F.coalesce("__near", "__far"))
+    met = met if left else met.filter("__both IS NOT NULL")
+    return met.select(*rows.columns, *[F.col(f"__both.{c}").alias(c) for c in added])
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker process lives on, and its next task may be another operator's."""
     pa.default_memory_pool().release_unused()

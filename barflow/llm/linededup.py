@@ -5,19 +5,21 @@ line goes if an earlier line - smaller doc_id, then row, then line number - has
 Jaccard similarity of at least ``threshold`` to it; blank lines always stay, and so
 do, if ``least`` is given, lines of fewer distinct words than that (off by default).
 
-1. Rarity: how often each word occurs, over all texts, as a table of 2**24
-   counters indexed by word hash (an upper bound; its size is fixed).
+1. Rarity: about how often each word occurs, over all texts, as a table of 2**24
+   counters indexed by word hash; it only orders the words, the same for all lines.
 2. Each line's words in order of rarity.  Equal sets meet by hash and all but the
    first go.  For the others the prefix filter applies: two lines that are similar
    share a word among the first |x| - ceil(t |x|) + 1, and words that occur once in
    the corpus need no posting, nor do lines so short that only an equal set can be
-   similar (below four words at 0.8).  A posting carries its position, the line's size and
-   a 128-bit parity sketch of the set.
-3. Postings of a word meet in blocks of bounded size (frequent words are split,
-   every pair of blocks is a group of its own).  Length and positional filters and
-   the sketches' distance, which never exceeds the sets' difference, leave
-   candidates; each line names its few nearest earlier ones, and lines whose named
-   candidates all fail are met again with all of theirs.
+   similar (below four words at 0.8).  Frequent words post together with a second word
+   of a prefix one word longer, so groups stay small where words are everywhere.  A
+   posting carries its position, the line's size and a 128-bit parity sketch of the set.
+3. Postings of a key meet; a group that is still large is told in full and met in
+   blocks of bounded size, every pair of blocks a group of its own.  Length and
+   positional filters and the sketches' distance, which never exceeds the sets'
+   difference, leave candidates; each line of a larger group names its few nearest
+   earlier ones, and lines whose named candidates all fail are met again with all of
+   theirs.
 4. The words of candidate lines are read again and Jaccard is verified exactly.
 
 Nothing but fixed-size tables is broadcast, and no group emits all its pairs.
@@ -34,11 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import Scratch, chunked, dense_total, give_back, mix, slices, spans_hash, text_buffers, words
+from barflow.llm.common import Scratch, chunked, dense_total, give_back, hot_keys, join_hot, mix, slices, spans_hash, text_buffers, words
 
 COUNTERS = 1 << 24
 MARKS = 1 << 26
-BLOCK = 4096
+OFTEN = 4096  # words above this count are keys only together with another word
+WIDE = 32  # distinct words up to which a line's frequent words post in pairs
+DIRECT = 4096  # a larger group is met in blocks
+BLOCK = 2048
 NAMED = 4
 GATHER = 50_000  # postings that are met at once
 _STEPS = 4  # counters above 127 keep a quarter of an octave
@@ -55,7 +60,7 @@ def decoded(c: np.ndarray) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, text: str) -> np.ndarray:
-    """The coded counters of all words."""
+    """The coded counters of all words; a task counts a word up to 65,535 times, which is enough to order them."""
 
     def count(batches):
         n = np.zeros(COUNTERS, np.uint16)
@@ -127,7 +132,8 @@ def lines(docs: DataFrame, threshold: float, least: int, count) -> DataFrame:
             b = np.bitwise_xor.reduceat(np.where(side, np.uint64(0), bit), first).view(np.int64)
             place = np.arange(len(h)) - np.repeat(first, size)
             # another set is at best a set of one word more: size / (size + 1)
-            post = (place < np.repeat(prefix(size, threshold), size)) & (c > 1) & np.repeat(size >= threshold * (size + 1) - 1e-9, size)
+            upto = prefix(size, threshold) + (size <= wide(threshold))  # one word more where words post in pairs
+            post = (place < np.repeat(upto, size)) & (c > 1) & np.repeat(size >= threshold * (size + 1) - 1e-9, size)
             twin = np.minimum.reduceat(c, first) > 1
             new = np.zeros(len(first), bool)
             for k, (s, d) in enumerate(zip(sets.tolist(), batch.column(0).to_numpy()[of].tolist(), strict=True)):
@@ -150,11 +156,15 @@ def lines(docs: DataFrame, threshold: float, least: int, count) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
-PAIRS = "late long, late_d long, early long, early_d long, more boolean"
+#: What a group yields: candidate pairs, or (key not null) the postings of a group that is too large, set and sketch in the places of late and early.
+MET = "late long, late_d long, early long, early_d long, more boolean, key long, info long"
+_MET = [c.split()[0] for c in MET.split(", ")]
 
 
-def meet(threshold: float, wanted=None):
-    """Candidates within groups of a key that arrive sorted; wanted: marks of the only later sets to tell of, with all theirs."""
+def meet(threshold: float, wanted=None, direct: int | None = None):
+    """Candidates within groups of a key that arrive sorted by d; wanted: marks of the only later sets to tell of, with all theirs.
+
+    A group of more than ``direct`` postings is handed on as it is, a batch at a time, so no group has to fit into memory."""
 
     def group(p: dict[str, np.ndarray], out: list) -> None:
         n = len(p["set"])
@@ -199,7 +209,7 @@ def meet(threshold: float, wanted=None):
             j = i + step
             ok = (p["set"][i] != p["set"][j]) & ((p["cross"][i] == 0) | (p["side"][i] != p["side"][j]))
             i, j = i[ok], j[ok]
-            a, b = p["size"][i].astype(np.int64), p["size"][j].astype(np.int64)
+            a, b = p["size"][i], p["size"][j]
             need = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
             ok = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
             ok &= np.minimum(a - p["at"][i], b - p["at"][j]) + np.minimum(p["at"][i], p["at"][j]) >= need
@@ -214,9 +224,18 @@ def meet(threshold: float, wanted=None):
 
     names = ("key", "info", "d", "set", "a", "b")
 
+    def told(late, late_d, early, early_d, more) -> pa.RecordBatch:
+        none = pa.nulls(len(late), pa.int64())
+        return pa.record_batch([*map(pa.array, (late, late_d, early, early_d, more)), none, none], names=_MET)
+
+    def handed_on(p: dict[str, np.ndarray]) -> pa.RecordBatch:
+        own = [p[k].view(np.int64) for k in ("set", "d", "a", "b")]
+        return pa.record_batch([*map(pa.array, own), pa.nulls(len(own[0]), pa.bool_()), pa.array(p["key"]), pa.array(p["info"])], names=_MET)
+
     def run(batches):
         rest: dict[str, np.ndarray] | None = None
         held: list = []
+        large = None  # the key of the group that is being handed on
         for batch in _then_none(batches):
             if batch is not None:
                 held.append(batch)
@@ -227,11 +246,23 @@ def meet(threshold: float, wanted=None):
             p |= {k: p[k].view(np.uint64) for k in ("a", "b")}  # of a signed number the bits of its absolute value would be counted
             if rest is not None:
                 p = {k: np.concatenate([rest[k], p[k]]) for k in names}
+                rest = None
+            if large is not None and len(p["key"]):
+                own = int(np.searchsorted(p["key"] != large, True))
+                if own:
+                    yield handed_on({k: v[:own] for k, v in p.items()})
+                    p = {k: v[own:] for k, v in p.items()}
+                large = large if not len(p["key"]) else None
             if not len(p["set"]):
                 continue
             start = np.flatnonzero(np.append(True, p["key"][1:] != p["key"][:-1]))
             n = np.diff(np.append(start, len(p["set"])))
-            if batch is not None:  # the last group may go on
+            if direct is not None:
+                for s, m in zip(start[n > direct].tolist(), n[n > direct].tolist(), strict=True):
+                    yield handed_on({k: v[s : s + m] for k, v in p.items()})
+                if batch is not None and n[-1] > direct:
+                    large = int(p["key"][-1])
+            if batch is not None and large is None:  # the last group may go on
                 rest = {k: v[start[-1] :] for k, v in p.items()}
                 p = {k: v[: start[-1]] for k, v in p.items()}
                 start, n = start[:-1], n[:-1]
@@ -239,6 +270,8 @@ def meet(threshold: float, wanted=None):
             out: list = []
             big = n > 64
             for s, m in zip(start[big].tolist(), n[big].tolist(), strict=True):
+                if direct is not None and m > direct:
+                    continue
                 own = {k: v[s : s + m] for k, v in p.items()}
                 _, one = np.unique(own["set"], return_index=True)  # sorted by d: the first of a set is its earliest
                 own = {k: v[np.sort(one)] for k, v in own.items()}
@@ -251,48 +284,76 @@ def meet(threshold: float, wanted=None):
             if out:
                 late, late_d, early, early_d, more = map(np.concatenate, zip(*out, strict=True))
                 if len(late):
-                    yield pa.record_batch([*map(pa.array, (late, late_d, early, early_d, more))], names=["late", "late_d", "early", "early_d", "more"])
+                    yield told(late, late_d, early, early_d, more)
 
     return run
 
 
-def packed(size: np.ndarray, at: np.ndarray, side: np.ndarray, cross: np.ndarray) -> np.ndarray:
-    """size and at (24 bits each), side (14) and cross (1) in a long."""
-    return size.astype(np.int64) << 39 | at.astype(np.int64) << 15 | side.astype(np.int64) << 1 | cross
+def packed(size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """size and at (30 bits each) in a long, above two bits: the side (2) a posting is on and whether only the other side's are to be met (1)."""
+    return size.astype(np.int64) << 32 | at.astype(np.int64) << 2
 
 
 def unpacked(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return info >> 39, info >> 15 & 0xFFFFFF, info >> 1 & 0x3FFF, info & 1
+    return info >> 32, info >> 2 & 0x3FFFFFFF, info >> 1 & 1, info & 1
 
 
 POSTING = "key long, info long, d long, set long, a long, b long"
 
 
-def postings(count, only=None):
-    """A line's postings: (key, info, d, set, a, b); a frequent word's are dealt to all pairs of blocks with the line's own. only: marks of the words wanted."""
+def wide(threshold: float) -> int:
+    """Up to this size lines have postings by two words; similar lines share two words only above a threshold of a half."""
+    return WIDE if threshold > 0.5 else 0
+
+
+def postings(count, threshold: float, only=None):
+    """A line's postings: (key, info, d, set, a, b). only: marks of the keys wanted.
+
+    Similar lines share the first of their common words within both prefixes, and the second of them within prefixes
+    that are one word longer.  So a rare word is a key by itself, and a frequent one only together with each later word
+    of the longer prefix.  Lines above ``wide`` words, whose pairs would be too many, post frequent words alone, and so
+    do, besides, the lines that are long enough to be similar to one of these."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column(6)
-            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            token, at = lists.flatten().to_numpy(), batch.column(5).flatten().to_numpy()
+            many = lists.value_lengths().to_numpy(zero_copy_only=False)
+            of, end = np.repeat(np.arange(batch.num_rows), many), np.repeat(np.cumsum(many), many)
+            token, at = lists.flatten().to_numpy().view(np.uint64), batch.column(5).flatten().to_numpy()
+            size = batch.column(2).to_numpy()[of].astype(np.int64)
+            begins = at < prefix(size, threshold)
+            often = decoded(count.value[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]) > OFTEN
+            alone = np.flatnonzero(begins & (~often | (size > threshold * wide(threshold))))
+            first = np.flatnonzero(begins & often & (size <= wide(threshold)))
+            where, keys = [alone], [token[alone]]
+            for step in range(1, WIDE):
+                first = first[first + step < end[first]]
+                if not len(first):
+                    break
+                where.append(first)
+                keys.append(mix(token[first] * np.uint64(3) + mix(token[first + step].copy())))
+            where, key = np.concatenate(where), np.concatenate(keys).view(np.int64)
             if only is not None:
-                keep = marked(only.value, token)
-                token, at, of = token[keep], at[keep], of[keep]
-            hashed = token.view(np.uint64)
-            n = decoded(count.value[(hashed & np.uint64(COUNTERS - 1)).astype(np.int64)])
-            blocks = np.minimum(-(-n // BLOCK), 1 << 14)
-            own = (mix(batch.column(1).to_numpy()[of].view(np.uint64).copy()) % blocks.astype(np.uint64)).astype(np.int64)
-            k = np.repeat(np.arange(len(n)), blocks)
-            other = np.arange(len(k)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            x, y = np.minimum(own[k], other), np.maximum(own[k], other)
-            key = np.where(blocks[k] == 1, hashed[k], mix(hashed[k] + (x.astype(np.uint64) << np.uint64(32)) + y.astype(np.uint64)))
-            d, set_, size, a, b = (batch.column(i).to_numpy()[of[k]] for i in range(5))
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), packed(size, at[k], own[k], x != y), d, set_, a, b)], names=["key", "info", "d", "set", "a", "b"])
+                keep = marked(only.value, key)
+                where, key = where[keep], key[keep]
+            d, set_, _, a, b = (batch.column(i).to_numpy()[of[where]] for i in range(5))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key, packed(size[where], at[where]), d, set_, a, b)], names=["key", "info", "d", "set", "a", "b"])
 
     return run
 
 
+def in_blocks(large: DataFrame) -> DataFrame:
+    """Postings of large groups (of ``meet``) dealt to all pairs of their group's blocks, each a key of its own."""
+    own = large.select("key", "info", F.col("late_d").alias("d"), F.col("late").alias("set"), F.col("early").alias("a"), F.col("early_d").alias("b"))
+    own = own.groupBy("key", "set").agg(F.min_by(F.struct("info", "d", "a", "b"), "d").alias("p")).select("key", "set", "p.*")  # a set that many tasks told
+    sizes = own.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    met = join_hot(own, sizes, "key", hot_keys(own, "key", large.count()))
+    met = met.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.least("own", "other"), F.greatest("own", "other")
+    info = F.col("info").bitwiseOR(F.when(x == y, 0).otherwise(F.when(F.col("own") == x, 1).otherwise(3)).cast("long"))
+    return met.select(F.xxhash64("key", x, y).alias("key"), info.alias("info"), "d", "set", "a", "b")
+
+
 def _then_none(batches):
     yield from batches
     yield None
@@ -330,9 +391,14 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> D
     posting = found.filter(F.size("tokens") > 0).select("d", "set", "size", "a", "b", "at", "tokens")
 
     def candidates(rows: DataFrame, only=None, wanted=None) -> DataFrame:
-        grouped = rows.mapInArrow(postings(count, only), POSTING).repartition(parts, "key").sortWithinPartitions("key", "d")
-        named = grouped.mapInArrow(meet(threshold, wanted), PAIRS)
-        return scratch.keep(named.groupBy("late", "early").agg(F.min("late_d").alias("late_d"), F.min("early_d").alias("early_d"), F.max("more").alias("more")))
+        dealt = lambda x: x.repartition(parts, "key").sortWithinPartitions("key", "d")
+        met = scratch.keep(dealt(rows.mapInArrow(postings(count, threshold, only), POSTING)).mapInArrow(meet(threshold, wanted, DIRECT), MET))
+        named, large = met.filter("key IS NULL"), met.filter("key IS NOT NULL")
+        if not large.isEmpty():
+            named = named.unionByName(dealt(in_blocks(large)).mapInArrow(meet(threshold, wanted), MET))
+        out = scratch.keep(named.groupBy("late", "early").agg(F.min("late_d").alias("late_d"), F.min("early_d").alias("early_d"), F.max("more").alias("more")))
+        scratch.drop(met)
+        return out
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         both = pairs.select(F.explode(F.array(F.struct(F.col("late").alias("set"), F.col("late_d").alias("d")), F.struct(F.col("early").alias("set"), F.col("early_d").alias("d")))).alias("e")).select("e.*")
@@ -354,7 +420,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> D
         bags = scratch.keep(docs.mapInArrow(tokens, "set long, words array<long>").groupBy("set").agg(F.first("words").alias("words")))
         pick = lambda c: bags.select(F.col("set").alias(c), F.col("words").alias(f"{c}_words"))
         first = lambda c: firsts.select(F.col("set").alias(c), F.col("first").alias(f"{c}_first"))
-        met = pairs.join(pick("late"), "late").join(pick("early"), "early")
+        met = join_hot(pairs.join(pick("late"), "late"), pick("early"), "early", hot_keys(pairs, "early", pairs.count()))
         common = F.size(F.array_intersect("late_words", "early_words"))
         alike = met.filter(common >= F.lit(threshold) * (F.size("late_words") + F.size("early_words") - common) - 1e-9).select("late", "early")
         ordered = alike.join(first("late"), "late").join(first("early"), "early").filter("early_first < late_first")
@@ -366,14 +432,16 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> D
     again = pairs.filter("more").select(F.col("late").alias("set")).distinct().join(gone, "set", "left_anti")
     again = scratch.keep(again)
     if not again.isEmpty():
-        tokens = found.join(again, "set").select(F.explode("tokens").alias("token"))
-        all_pairs = candidates(posting, share(marks_of(tokens)), share(marks_of(again)))
+        keys = posting.join(again, "set", "left_semi").select(*posting.columns).mapInArrow(postings(count, threshold), POSTING).select("key")
+        all_pairs = candidates(posting, share(marks_of(keys)), share(marks_of(again)))
         late, used = verified(all_pairs)
         scratch.drop(all_pairs, *used)
         gone = gone.unionByName(late).distinct()
     scratch.drop(pairs, again)
-    twins = found.join(firsts.filter("n > 1"), "set").filter(place > F.col("first")).select("u", "line")
-    return twins.unionByName(found.join(gone, "set").select("u", "line")).distinct()
+    # one row a set: every line of a set that goes, all but the first of another one
+    decided = scratch.keep(firsts.join(gone.withColumn("gone", F.lit(True)), "set", "left").filter("gone OR n > 1").select("set", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
+    met = join_hot(found.select("set", "d", "u", "line"), decided, "set", hot_keys(found, "set", found.count()))
+    return met.filter(F.col("gone") | (place > F.col("first"))).select("u", "line")
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, least: int = 1) -> DataFrame:
@@ -383,7 +451,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     numbered = docs.withColumn("__u", F.monotonically_increasing_id())
     own = numbered.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("d"), F.col("__u").alias("u"), F.col(f"`{text}`").alias("text"))
     lost = repeated_lines(own, threshold, least).groupBy(F.col("u").alias("__u")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
-    met = numbered.join(lost, "__u", "left").drop("__u")
+    met = numbered.join(lost.hint("shuffle_hash"), "__u", "left").drop("__u")  # no sort of texts: what is hashed are a few numbers a row
     t = F.col(f"`{text}`")
     split = F.split(t, "\n", -1)
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")

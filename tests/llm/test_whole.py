@@ -116,3 +116,28 @@ def test_near_dedup_long_chain(spark):
             chain.append(new)
     df = spark.createDataFrame(list(enumerate(chain)), "id long, simhash long").coalesce(1)
     assert sorted(x.id for x in near_dedup(df, "id").collect()) == list(range(0, 106, 2))
+
+
+@pytest.mark.parametrize("often, direct, block", [(0, 30, 10), (0, 10**6, 10), (10**9, 30, 10), (5, 60, 40)])
+def test_op5_keys_and_blocks(spark, tmp_path, monkeypatch, often, direct, block):
+    """Rare and frequent words, short and long lines, groups met at once and in blocks: always what brute force finds."""
+    from barflow.llm import linededup
+
+    r = random.Random(9)
+    bases = [[f"w{r.randrange(90)}" for _ in range(n)] for n in (4, 5, 6, 9, 12, 20, 26, 31, 32, 33, 38, 41, 60)]
+    texts = []
+    for k in range(400):
+        own = list(bases[k % len(bases)])
+        for _ in range(r.randint(0, max(1, len(own) // 6))):
+            own[r.randrange(len(own))] = f"w{r.randrange(90)}"
+        texts.append(" ".join(own[: len(own) - r.randint(0, len(own) // 10)]))
+    sets = [set(t.split()) for t in texts]
+    want = {k for k, s in enumerate(sets) if any(len(s & q) >= 0.8 * len(s | q) - 1e-9 for q in sets[:k])}
+    monkeypatch.setattr(linededup, "OFTEN", often)
+    monkeypatch.setattr(linededup, "DIRECT", direct)
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    monkeypatch.setattr(linededup, "NAMED", 1)
+    monkeypatch.setattr(linededup, "GATHER", 100)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    got = linededup.line_dedup(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert {x.doc_id for x in got if x["__gone"]} == want
