@@ -1,22 +1,27 @@
 """Language identification by sparse multinomial logistic regression.
 
-Features are character 1- to 3-grams of the lower-cased text (everything but
-letters counts as a space), hashed to 2**16 columns and weighted by TF-IDF: the
-share of the text's n-grams times log((1 + N) / (1 + df)) + 1, with document
-frequencies over every training document.  The regression is trained by
-follow-the-regularised-leader-proximal with elastic-net penalties on a bounded
-sample (about ``per_class`` documents a language at most, drawn with a seed); a fifth of it is held back to fit the temperature that makes the scores
-probabilities.  The model is one dense matrix of fixed size, broadcast.
-
-Defined cases: a null text or one without letters is ``und`` with score 0; so is
-every text if there is nothing to learn from; long texts are read whole; equal
-texts get equal results; ties between languages go to the first in order.
+Features are character 1- to 3-grams of the lower-cased text (everything but letters
+and the marks on them counts as a space), hashed to 2**16 columns and weighted by
+TF-IDF: the share of the text's n-grams times log((1 + N) / (1 + df)) + 1, with
+document frequencies over every training document.  The regression is trained by
+follow-the-regularised-leader-proximal with elastic-net penalties on a bounded sample:
+about ``per_class`` different texts a language, and with more languages than
+``sample`` / ``per_class`` evenly fewer, ``sample`` in all.  The texts with the smallest
+hashes are drawn, so the sample does not depend on partitions, and copies count once.
+Every language with a training document is learned, however many there are.  A fifth
+of the sample is held back to fit the temperature that makes the scores probabilities.
+The model is one dense matrix of 2**16 + 1 rows and a column a language, broadcast; the
+sample's vectors pass through the driver in parts of at most PART terms.
+
+Defined cases: a null text or one without a letter (Unicode category L) is ``und`` with
+score 0; so is every text if there is nothing to learn from; rows without a label are
+not learned from; long texts are read whole; equal texts get equal results; ties between
+languages go to the first in order; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barflow.llm.common import slices, small_batches, text_buffers
+from barflow.llm.common import Scratch, slices, small_batches, text_buffers
 
 BITS = 16
 NONE = 1 << BITS  # the column of what is no n-gram
@@ -33,22 +38,22 @@ _LETTER: list[np.ndarray] = []
 _MULTIPLY = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
-def letters() -> np.ndarray:
-    """Which code points of the basic plane are letters (others above it count as letters)."""
+def kinds() -> np.ndarray:
+    """Of each code point: 2 for a letter, 1 for a mark, 0 for all else."""
     if not _LETTER:
-        _LETTER.append(np.array([unicodedata.category(chr(k))[0] in "LM" for k in range(1 << 16)]))
+        _LETTER.append(np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(k))[0], 0) for k in range(0x110000)], np.uint8))
     return _LETTER[0]
 
 
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points with 32 for all but letters, offsets, letters in each text)."""
+    """(code points with 32 for all but letters and marks, offsets, letters in each text)."""
     raw, offsets = text_buffers(pc.utf8_lower(column.cast(pa.large_string())))
     points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
     before = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
     offsets = before[offsets]
-    plain = np.append(letters(), True)[np.minimum(points, 1 << 16)]
-    points[~plain] = 32
-    total = np.append(0, np.cumsum(plain))
+    kind = kinds()[points]
+    points[kind == 0] = 32
+    total = np.append(0, np.cumsum(kind == 2))
     return points, offsets, np.diff(total[offsets])
 
 
@@ -98,42 +103,57 @@ def frequencies(text: str):
     return run
 
 
-def vectors(text: str, label: str):
-    """Sparse term frequencies of labelled texts."""
+def vectors(text: str):
+    """Sparse term frequencies of labelled texts (label, h, text), each (label, h) once a task."""
 
     def run(batches):
+        told: set[tuple[str, int]] = set()
         for batch in slices(batches, text, 1 << 19):
+            new = [k for k, x in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if not (x in told or told.add(x))]
+            batch = batch.take(pa.array(new, pa.int64()))
+            if not batch.num_rows:
+                continue
             points, offsets, _ = code_points(batch.column(text))
             grams = np.concatenate([columns(points, offsets, n) for n in SIZES])
             of = np.tile(np.repeat(np.arange(batch.num_rows), np.diff(offsets)), len(SIZES))
             key, n = np.unique(of[grams != NONE].astype(np.int64) << 17 | grams[grams != NONE], return_counts=True)
             ends = pa.array(np.searchsorted(key >> 17, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key & ((1 << 17) - 1), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(label), *lists], names=["label", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["label", "h", "at", "n"])
 
     return run
 
 
-def ftrl(samples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, seed: int = 7) -> np.ndarray:
-    """Weights (columns + 1 for the intercept, classes) of (columns, values, class) samples."""
-    z, n = np.zeros((NONE + 1, classes)), np.zeros((NONE + 1, classes))
-    rng = np.random.default_rng(seed)
+Sample = tuple[np.ndarray, np.ndarray, int]  # columns, values, class
 
-    def weights(at):
-        zz = z[at]
-        return np.where(np.abs(zz) <= l1, 0.0, (np.sign(zz) * l1 - zz) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
-    for _ in range(epochs):
-        for k in rng.permutation(len(samples)):
-            at, x, y = samples[k]
-            w = weights(at)
-            p = _softmax(x @ w)
-            p[y] -= 1
-            g = x[:, None] * p
-            n_at = n[at]
-            z[at] += g - (np.sqrt(n_at + g * g) - np.sqrt(n_at)) / alpha * w
-            n[at] = n_at + g * g
-    return weights(np.arange(NONE + 1))
+class Ftrl:
+    """Follow the regularised leader, proximal: per-coordinate rates, elastic net."""
+
+    def __init__(self, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> None:
+        self.z, self.n = np.zeros((NONE + 1, classes)), np.zeros((NONE + 1, classes))
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+
+    def weights(self, at) -> np.ndarray:
+        z = self.z[at]
+        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
+
+    def matrix(self) -> np.ndarray:
+        """All weights, made in stretches so that no second table of this size is needed."""
+        out = np.empty(self.z.shape, np.float32)
+        for k in range(0, len(out), 4096):
+            out[k : k + 4096] = self.weights(slice(k, k + 4096))
+        return out
+
+    def learn(self, sample: Sample) -> None:
+        at, x, y = sample
+        w = self.weights(at)
+        p = _softmax(x @ w)
+        p[y] -= 1
+        g = x[:, None] * p
+        n = self.n[at]
+        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+        self.n[at] = n + g * g
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -179,41 +199,62 @@ class Model:
 SCALE = 30.0  # TF-IDF values are small shares; this brings them near one
 
 
-def train(docs: DataFrame, text: str = "text", label: str = "lang", per_class: int = 1500, max_classes: int = 256, seed: int = 7) -> Model | None:
-    """Fit on rows with a label; statistics over all of them, weights on the bounded sample."""
-    small_batches(docs.sparkSession)
-    own = docs.select(F.col(f"`{text}`").alias("__text"), F.col(f"`{label}`").cast("string").alias("__label")).filter(F.col("__label").isNotNull() & F.col("__text").isNotNull())
-    sizes = {r[0]: r[1] for r in own.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(max_classes).collect()}
+def to_samples(rows: pa.Table, idf: np.ndarray, classes: list[str]) -> list[tuple[int, Sample]]:
+    """(hash, sample) of each vector with a term, in the order of hash and label."""
+    at_, n_ = (rows[c].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "n"))
+    ends = np.append(0, np.cumsum(at_.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    cols, counts = at_.flatten().to_numpy(), n_.flatten().to_numpy()
+    number = {c: k for k, c in enumerate(classes)}
+    order = sorted(zip(rows["h"].to_pylist(), rows["label"].to_pylist(), range(rows.num_rows), strict=True))
+    out = []
+    for h, label, k in order:
+        a, c = cols[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]]
+        if len(a):
+            out.append((h, (np.append(a, NONE), np.append(c / c.sum() * idf[a] * SCALE, 1.0).astype(np.float32), number[label])))
+    return out
+
+
+PART = 4_000_000  # terms of sampled texts that the driver holds at once
+EPOCHS = 4
+
+
+def train(docs: DataFrame, text: str = "text", label: str = "lang", per_class: int = 1500, sample: int = 24_000, seed: int = 7) -> Model | None:
+    """Fit on rows with a label; statistics over all of them, weights on the bounded sample. None: there is none."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "langid")
+    own = docs.select(F.col(f"`{label}`").cast("string").alias("__label"), F.xxhash64(F.col(f"`{text}`")).alias("__h"), F.col(f"`{text}`").alias("__text")).filter(F.col("__label").isNotNull() & F.col("__text").isNotNull())
+    sizes = {r[0]: (r[1], r[2]) for r in own.groupBy("__label").agg(F.approx_count_distinct("__h", 0.02), F.min("__h")).collect()}  # a row a language
     if not sizes:
         return None
+    classes = sorted(sizes)
     df = own.select("__text").mapInArrow(frequencies("__text"), "column int, df long").groupBy("column").agg(F.sum("df").alias("df")).toArrow()
     at, n = df["column"].to_numpy(), df["df"].to_numpy()
     texts = int(n[at == -1].sum())
     idf = np.full(NONE + 1, np.log(1 + texts) + 1)
     idf[at[at >= 0]] = np.log((1 + texts) / (1 + n[at >= 0])) + 1
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, per_class / v))])
-    drawn = own.filter(F.rand(seed) < F.try_element_at(share, F.col("__label")))
-    rows = drawn.mapInArrow(vectors("__text", "__label"), T.StructType([T.StructField("label", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])).toArrow()
-    classes = sorted(sizes)
-    samples, order = [], []
-    at_, n_ = (rows[c].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "n"))
-    ends = np.append(0, np.cumsum(at_.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
-    cols, counts, labels = at_.flatten().to_numpy(), n_.flatten().to_numpy(), rows["label"].to_pylist()
-    for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-        order.append((zlib.crc32(cols[i:j]), zlib.crc32(counts[i:j]), k))  # does not depend on where a row came from
-    for *_, k in sorted(order):
-        a, c = cols[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]]
-        if len(a):
-            samples.append((np.append(a, NONE), np.append(c / c.sum() * idf[a] * SCALE, 1.0).astype(np.float32), classes.index(labels[k])))
-    del rows, at_, n_, cols, counts
-    if not samples:
+    each = max(1, min(per_class, sample // len(classes)))
+    # hashes are spread evenly over the longs, so about ``each`` of v lie below this; the smallest one always does
+    below = lambda v, least: (1 << 63) - 1 if v <= each else max(least, int(-(1 << 63) + each / v * ((1 << 64) - 1024)))
+    upto = spark.createDataFrame([(c, below(*v)) for c, v in sizes.items()], "__label string, __upto long")
+    drawn = own.join(F.broadcast(upto), "__label").filter("__h <= __upto").select("__label", "__h", "__text")
+    made = drawn.mapInArrow(vectors("__text"), "label string, h long, at array<int>, n array<int>")
+    rows = scratch.keep(made.groupBy("label", "h").agg(F.first("at").alias("at"), F.first("n").alias("n")))
+    count, terms = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("at").cast("long")), F.lit(0))).first()
+    parts = max(1, -(-terms // PART))
+    read = lambda k: to_samples(rows.filter(F.pmod("h", F.lit(parts)) == k).toArrow(), idf, classes)
+    held_back = lambda h: h // parts % 5 == 0 and count >= 50
+    model, rng, only = Ftrl(len(classes)), np.random.default_rng(seed), read(0) if parts == 1 else None
+    for _ in range(EPOCHS):
+        for k in rng.permutation(parts).tolist():
+            fit = [x for h, x in (only or read(k)) if not held_back(h)]
+            for j in rng.permutation(len(fit)):
+                model.learn(fit[j])
+    if not model.n.any():
         return None
-    held = samples[::5] if len(samples) >= 50 else []
-    fit = [x for k, x in enumerate(samples) if k % 5] if held else samples
-    w = ftrl(fit, len(classes), seed=seed)
-    heat = temperature(np.array([x @ w[a] for a, x, _ in held]), np.array([y for *_, y in held])) if held else 1.0
-    w[:NONE] *= idf[:NONE, None]
-    return Model(classes, w.astype(np.float32), heat)
+    w = model.matrix()
+    held = [(x @ w[a], y) for k in range(parts) for h, (a, x, y) in (only or read(k)) if held_back(h)]
+    heat = temperature(np.array([x for x, _ in held]), np.array([y for _, y in held])) if held else 1.0
+    w[:NONE] *= idf[:NONE, None].astype(np.float32)
+    return Model(classes, w, heat)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import Scratch, chunked, dense_total, give_back, hot_keys, join_hot, mix, slices, spans_hash, text_buffers, words
+from barflow.llm.common import HOT, Scratch, batches_of, chunked, dense_total, give_back, hot_keys, join_hot, mix, slices, spans_hash, text_buffers, words
 
 COUNTERS = 1 << 24
 MARKS = 1 << 26
@@ -162,7 +162,7 @@ _MET = [c.split()[0] for c in MET.split(", ")]
 
 
 def meet(threshold: float, wanted=None, direct: int | None = None):
-    """Candidates within groups of a key that arrive sorted by d; wanted: marks of the only later sets to tell of, with all theirs.
+    """Candidates within groups of a key, whose rows arrive together; wanted: marks of the only later sets to tell of, with all theirs.
 
     A group of more than ``direct`` postings is handed on as it is, a batch at a time, so no group has to fit into memory."""
 
@@ -215,6 +215,8 @@ def meet(threshold: float, wanted=None, direct: int | None = None):
             ok &= np.minimum(a - p["at"][i], b - p["at"][j]) + np.minimum(p["at"][i], p["at"][j]) >= need
             ok &= np.bitwise_count(p["a"][i] ^ p["a"][j]).astype(np.int64) + np.bitwise_count(p["b"][i] ^ p["b"][j]) <= a + b - 2 * need
             i, j = i[ok], j[ok]
+            after = p["d"][i] > p["d"][j]
+            i, j = np.where(after, j, i), np.where(after, i, j)  # j is the later one
             if wanted is not None:
                 ok = marked(wanted.value, p["set"][j]) | (p["d"][i] == p["d"][j])
                 i, j = i[ok], j[ok]
@@ -272,9 +274,9 @@ def meet(threshold: float, wanted=None, direct: int | None = None):
             for s, m in zip(start[big].tolist(), n[big].tolist(), strict=True):
                 if direct is not None and m > direct:
                     continue
-                own = {k: v[s : s + m] for k, v in p.items()}
-                _, one = np.unique(own["set"], return_index=True)  # sorted by d: the first of a set is its earliest
-                own = {k: v[np.sort(one)] for k, v in own.items()}
+                by = s + np.argsort(p["d"][s : s + m], kind="stable")
+                _, one = np.unique(p["set"][by], return_index=True)  # sorted by d: the first of a set is its earliest
+                own = {k: v[by[np.sort(one)]] for k, v in p.items()}
                 if len(one) > 1:
                     group(own, out)
             some = np.repeat(~big & (n > 1), n)
@@ -343,9 +345,8 @@ def postings(count, threshold: float, only=None):
 
 
 def in_blocks(large: DataFrame) -> DataFrame:
-    """Postings of large groups (of ``meet``) dealt to all pairs of their group's blocks, each a key of its own."""
+    """Postings of large groups (of ``meet``, a set once a key) dealt to all pairs of their group's blocks, each a key of its own."""
     own = large.select("key", "info", F.col("late_d").alias("d"), F.col("late").alias("set"), F.col("early").alias("a"), F.col("early_d").alias("b"))
-    own = own.groupBy("key", "set").agg(F.min_by(F.struct("info", "d", "a", "b"), "d").alias("p")).select("key", "set", "p.*")  # a set that many tasks told
     sizes = own.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     met = join_hot(own, sizes, "key", hot_keys(own, "key", large.count()))
     met = met.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -391,14 +392,15 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> D
     posting = found.filter(F.size("tokens") > 0).select("d", "set", "size", "a", "b", "at", "tokens")
 
     def candidates(rows: DataFrame, only=None, wanted=None) -> DataFrame:
-        dealt = lambda x: x.repartition(parts, "key").sortWithinPartitions("key", "d")
-        met = scratch.keep(dealt(rows.mapInArrow(postings(count, threshold, only), POSTING)).mapInArrow(meet(threshold, wanted, DIRECT), MET))
-        named, large = met.filter("key IS NULL"), met.filter("key IS NOT NULL")
-        if not large.isEmpty():
-            named = named.unionByName(dealt(in_blocks(large)).mapInArrow(meet(threshold, wanted), MET))
-        out = scratch.keep(named.groupBy("late", "early").agg(F.min("late_d").alias("late_d"), F.min("early_d").alias("early_d"), F.max("more").alias("more")))
-        scratch.drop(met)
-        return out
+        dealt = lambda x: x.repartition(parts, "key").sortWithinPartitions("key")
+        once = lambda x: x.groupBy("late", "early", "key").agg(F.min("late_d").alias("late_d"), F.min("early_d").alias("early_d"), F.max("more").alias("more"), F.min("info").alias("info"))
+        with batches_of(spark, 20_000):
+            met = scratch.keep(once(dealt(rows.mapInArrow(postings(count, threshold, only), POSTING)).mapInArrow(meet(threshold, wanted, DIRECT), MET)))
+            named, large = met.filter("key IS NULL"), met.filter("key IS NOT NULL")
+            if large.isEmpty():
+                return named
+            found_in = dealt(in_blocks(large)).mapInArrow(meet(threshold, wanted), MET)
+            return scratch.keep(once(named.unionByName(found_in)))
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         both = pairs.select(F.explode(F.array(F.struct(F.col("late").alias("set"), F.col("late_d").alias("d")), F.struct(F.col("early").alias("set"), F.col("early_d").alias("d")))).alias("e")).select("e.*")
@@ -426,7 +428,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> D
         ordered = alike.join(first("late"), "late").join(first("early"), "early").filter("early_first < late_first")
         return scratch.keep(ordered.select(F.col("late").alias("set")).distinct()), [bags]
 
-    pairs = candidates(posting)
+    pairs = candidates(posting).select("late", "early", "late_d", "early_d", "more")
     gone, used = verified(pairs)
     scratch.drop(*used)
     again = pairs.filter("more").select(F.col("late").alias("set")).distinct().join(gone, "set", "left_anti")
@@ -435,12 +437,12 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> D
         keys = posting.join(again, "set", "left_semi").select(*posting.columns).mapInArrow(postings(count, threshold), POSTING).select("key")
         all_pairs = candidates(posting, share(marks_of(keys)), share(marks_of(again)))
         late, used = verified(all_pairs)
-        scratch.drop(all_pairs, *used)
+        scratch.drop(*used)
         gone = gone.unionByName(late).distinct()
-    scratch.drop(pairs, again)
     # one row a set: every line of a set that goes, all but the first of another one
     decided = scratch.keep(firsts.join(gone.withColumn("gone", F.lit(True)), "set", "left").filter("gone OR n > 1").select("set", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
-    met = join_hot(found.select("set", "d", "u", "line"), decided, "set", hot_keys(found, "set", found.count()))
+    hot = firsts.filter(F.col("n") >= max(2, -(-found.count() // HOT))).select("set")
+    met = join_hot(found.select("set", "d", "u", "line"), decided, "set", hot)
     return met.filter(F.col("gone") | (place > F.col("first"))).select("u", "line")
 
 

@@ -44,7 +44,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barflow.llm.langid import language_id
 
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    # a document without an id has no remainder: it is held out, as in op2
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)))
     return language_id(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
 
 

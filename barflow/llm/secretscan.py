@@ -9,7 +9,8 @@ one of its clauses is full.  Candidates are verified with the expression itself;
 a rule without mandatory trigrams (bare hexadecimal runs) scans every text.
 
 Texts are keyed by a 64-bit hash in the index, so a copied text is one entry of it;
-a collision could only add a candidate, never lose or change a finding.
+a collision could only add a candidate, never lose or change a finding.  Texts that
+hold 1/1024 or more of all rows meet their entry by a broadcast of at most 1024 rows.
 
 Defined cases: a null text is an empty one and has no findings; texts are scanned
 whole; repeated rows give repeated rows; an empty table gives none.
@@ -24,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barflow.llm.common import hot_keys, join_hot
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -157,7 +160,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     own = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     listed = candidates(own.select("key", "text"), rules).hint("shuffle_hash")
     none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
-    met = own.join(listed, "key", "left")
+    met = join_hot(own, listed, "key", hot_keys(own.select("key"), "key", docs.count()), left=True)
     parts = []
     for k, r in enumerate(rules):
         may = F.coalesce(F.array_contains("rules", k), F.lit(False)) if trigram_query(r.pattern) != [[]] else F.col("text").rlike(r.pattern)
