@@ -187,8 +187,9 @@ def train_window(df: DataFrame, split: str, rows: int, keys: tuple[str, ...] = (
 
 
 def concat_keep_last(first: DataFrame, second: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Both tables' rows, one a key: the second's before the first's, and of a table's own repeated keys the largest row by its other columns."""
     both = first.withColumn("__o", F.lit(0)).unionByName(second.withColumn("__o", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(F.desc("__o"))
+    w = Window.partitionBy(*by).orderBy(F.desc("__o"), *[F.desc(c) for c in both.columns if c not in (*by, "__o")])
     return both.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__o")
 
 

@@ -8,19 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions import text as X
+from barflow.functions.rounding import round_exact
 
-# What names a coin.
+# The pattern that names a coin (in either case) and the forums where every post is about it.
 COINS = {
-    "btc": (r"\b(?:btc|bitcoin|sats?|satoshi)\b", ("Bitcoin", "BitcoinMarkets")),
-    "eth": (r"\b(?:eth|ethereum|ether|vitalik)\b", ("ethereum", "ethtrader")),
-    "sol": (r"\b(?:sol|solana)\b", ("solana",)),
-    "ada": (r"\b(?:ada|cardano)\b", ("cardano",)),
-    "xrp": (r"\b(?:xrp|ripple)\b", ("Ripple", "XRP")),
-    "doge": (r"\b(?:doge|dogecoin)\b", ("dogecoin",)),
-    "bnb": (r"\b(?:bnb|binance coin)\b", ("binance",)),
-    "dot": (r"\b(?:dot|polkadot)\b", ("dot", "polkadot")),
-    "ltc": (r"\b(?:ltc|litecoin)\b", ("litecoin",)),
-    "link": (r"\b(?:link|chainlink)\b", ("chainlink",)),
+    "btc": (r"\b(btc|bitcoin)\b|\$btc", ("bitcoin", "bitcoinmarkets", "satoshistreetbets")),
+    "eth": (r"\b(eth|ethereum)\b|\$eth", ("ethereum", "ethtrader")),
+    "bnb": (r"\b(bnb|binance\s*coin)\b|\$bnb", ()),
+    "sol": (r"\b(sol|solana)\b|\$sol", ("solana",)),
+    "xrp": (r"\b(xrp|ripple)\b|\$xrp", ("ripple", "xrp")),
+    "ada": (r"\b(ada|cardano)\b|\$ada", ("cardano",)),
+    "doge": (r"\b(doge|dogecoin)\b|\$doge", ("dogecoin",)),
+    "dot": (r"\b(dot|polkadot)\b|\$dot", ("polkadot",)),
+    "avax": (r"\b(avax|avalanche)\b|\$avax", ("avax",)),
+    "link": (r"\b(link|chainlink)\b|\$link", ()),
 }
 POSITIVE = ("up", "bull", "bullish", "moon", "gain", "gains", "good", "great", "buy", "long", "profit", "win", "pump", "strong")
 NEGATIVE = ("down", "bear", "bearish", "dump", "loss", "losses", "bad", "sell", "short", "scam", "crash", "weak", "rekt", "fear")
@@ -43,7 +44,7 @@ def text_features(df: DataFrame, raw: str, clean: str) -> DataFrame:
     df = df.withColumns(
         {
             "emoji_count": n(c, X.EMOJI),
-            "caps_ratio": F.when(letters > 0, F.bround(n(c, r"\p{Lu}") / letters, 4)).otherwise(0.0),
+            "caps_ratio": F.when(letters > 0, round_exact(n(c, r"\p{Lu}") / letters, 4)).otherwise(0.0),
             "punct_intensity": n(c, X.INTENSE),
             "exclamations": n(c, "!"),
             "questions": n(c, r"\?"),
@@ -62,7 +63,7 @@ def text_features(df: DataFrame, raw: str, clean: str) -> DataFrame:
         + F.when((F.col("caps_ratio") > 0.8) & (F.col("token_count") > 5), 0.2).otherwise(0.0)
         + F.when(F.try_divide(F.col("punct_intensity"), F.col("token_count")) > 0.4, 0.3).otherwise(0.0)
     )
-    return df.withColumn("spam_score", F.bround(F.least(spam, F.lit(1.0)), 4))
+    return df.withColumn("spam_score", round_exact(F.least(spam, F.lit(1.0)), 4))
 
 
 def simhash(df: DataFrame, text: str, out: str = "simhash") -> DataFrame:
@@ -76,16 +77,26 @@ def exact_dedup(df: DataFrame, by: str = "content_hash", order: tuple[str, ...]
 
 
 def hamming_pairs(df: DataFrame, key: str, bits: str = "simhash", most: int = 3) -> DataFrame:
-    """(a, b, distance) of different rows within ``most`` bits, a < b: a pair that differs in most + 1 blocks or fewer agrees in one."""
+    """(a, b, distance) between the first rows of different hashes within ``most`` bits, a < b: a pair that differs in most + 1 blocks or fewer agrees in one.
+
+    Rows of equal hashes are one class, so a hash that many rows share is one entry: ``hamming_classes`` tells the members.
+    """
     blocks = most + 1
     width = 64 // blocks
-    cut = lambda k: F.shiftrightunsigned(F.col(bits), k * width).bitwiseAND(F.lit((1 << width) - 1))
-    banded = df.select(F.col(key).alias("id"), F.col(bits).alias("h"), F.posexplode(F.array(*[cut(k) for k in range(blocks)])).alias("band", "part"))
+    firsts = df.groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("id"))
+    cut = lambda k: F.shiftrightunsigned("h", k * width).bitwiseAND(F.lit((1 << width) - 1))
+    banded = firsts.select("id", "h", F.posexplode(F.array(*[cut(k) for k in range(blocks)])).alias("band", "part"))
     a, b = (banded.select(*[F.col(c).alias(f"{c}_{s}") if c in ("id", "h") else F.col(c) for c in banded.columns]) for s in "ab")
     near = a.join(b, ["band", "part"]).filter("id_a < id_b").withColumn("distance", X.hamming(F.col("h_a"), F.col("h_b"))).filter(F.col("distance") <= most)
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "distance").distinct()
 
 
+def hamming_classes(df: DataFrame, key: str, bits: str = "simhash") -> DataFrame:
+    """(key, first): each row with the first row of its hash."""
+    firsts = df.groupBy(bits).agg(F.min(key).alias("first"))
+    return df.join(firsts, bits).select(key, "first")
+
+
 def near_dedup(df: DataFrame, key: str, bits: str = "simhash", most: int = 3) -> DataFrame:
     """Greedy: in key order a row goes if it is within ``most`` bits of an earlier row that stays.
 
@@ -119,17 +130,29 @@ def estimated_votes(df: DataFrame) -> DataFrame:
     return df.withColumn("estimated_upvotes", up).withColumn("estimated_downvotes", F.col("estimated_upvotes") - F.col("score"))
 
 
-def coin_filter(df: DataFrame, coin: str, text: str, subreddit: str = "subreddit", blocked: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that name the coin or come from its own forums, less blocked ones."""
+def about(coin: str, text: Column, subreddit: Column) -> Column:
+    """Whether a text names the coin or comes from its own forums; forums are compared in lower case, null is neither."""
     pattern, own = COINS[coin.lower()]
-    match = F.coalesce(F.col(text).rlike(f"(?i){pattern}"), F.lit(False)) | F.coalesce(F.col(subreddit).isin(*own), F.lit(False))
-    return df.filter(match & ~F.coalesce(F.col(subreddit).isin(*blocked), F.lit(False)) if blocked else match)
+    named = F.coalesce(text.rlike(f"(?iU){pattern}"), F.lit(False))
+    return named | F.coalesce(F.lower(subreddit).isin(*own), F.lit(False)) if own else named
+
+
+def coin_filter(df: DataFrame, coin: str, text: str, subreddit: str = "subreddit", blocked: tuple[str, ...] = ()) -> DataFrame:
+    """Rows about the coin, less those of blocked forums."""
+    rows = df.filter(~F.coalesce(F.lower(subreddit).isin(*[b.lower() for b in blocked]), F.lit(False))) if blocked else df
+    return rows.filter(about(coin, F.col(text), F.col(subreddit)))
+
+
+def coin_mentions(df: DataFrame, text: str, subreddit: str = "subreddit", blocked: tuple[str, ...] = ()) -> DataFrame:
+    """A row for every coin that a row is about, named in ``coin``: all coins in one pass."""
+    rows = df.filter(~F.coalesce(F.lower(subreddit).isin(*[b.lower() for b in blocked]), F.lit(False))) if blocked else df
+    coins = F.array(*[F.when(about(c, F.col(text), F.col(subreddit)), F.lit(c)) for c in COINS])
+    return rows.withColumn("coin", F.explode(F.array_compact(coins)))
 
 
 def lexicon(text: Column) -> tuple[Column, Column]:
     """(sentiment -1..1, confidence 0.5..1) by counted words: the built-in scorer where no model is plugged in; empty is neutral at 0.5."""
-    tokens = F.split(F.lower(text), r"[^a-z]+")
-    count = lambda words: F.size(F.filter(tokens, lambda t: t.isin(*words)))
+    count = lambda words: F.regexp_count(F.lower(text), F.lit(f"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"))
     up, down = count(POSITIVE), count(NEGATIVE)
     return F.signum(up - down), 0.5 + 0.5 * F.coalesce(F.try_divide(F.abs(up - down), up + down), F.lit(0.0))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from barflow.operators.candles import PATTERNS, TRAPS, confirmation
-from barflow.plans.queries import CANDLES
+from barflow.plans import candle_sql
+from barflow.plans.queries import CANDLES, TRAPS
 
 TICKS = "ticks AS (SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS datetime, event_id, CAST(value AS DOUBLE) AS price FROM events)"
 
@@ -204,24 +204,6 @@ RECURSIVE_SQL = {
     "ADOSC": shown({"adosc": "CASE WHEN b.rn >= 10 THEN osc.f - osc.s END"}, ["osc"], _ADOSC),
 }
 
-_STATS = """p AS (SELECT *, open AS o0, high AS h0, low AS l0, close AS c0, abs(close - open) AS b0, high - low AS r0, high - greatest(open, close) AS u0, least(open, close) - low AS d0,
-    greatest(open, close) AS top0, least(open, close) AS bot0, close >= open AS w0 FROM b),
-    q AS (SELECT *, CASE WHEN rn > 10 THEN avg(b0) OVER t END AS avb0, CASE WHEN rn > 10 THEN avg(r0) OVER t END AS avr0, CASE WHEN rn > 10 THEN avg((u0 + d0) / 2) OVER t END AS avs0,
-    CASE WHEN rn > 5 THEN avg(r0) OVER (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS av50 FROM p WINDOW t AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))"""
-_PARTS = ("o", "h", "l", "c", "b", "r", "u", "d", "top", "bot", "w", "avb", "avr", "avs", "av5")
-_LAGGED = _STATS + ", z AS (SELECT *, " + ", ".join(f"lag({x}0, {k}) OVER (PARTITION BY symbol ORDER BY datetime) AS {x}{k}" for k in range(1, 5) for x in _PARTS) + " FROM q)"
-
-
-def candle_sql(names: list[str]) -> str:
-    return f"WITH {BARS}, {_LAGGED} SELECT symbol, datetime, " + ", ".join(f"{PATTERNS[n]} AS {n}" for n in names) + " FROM z"
-
-
-def trap_sql(names: list[str]) -> str:
-    raw = ", ".join(f"{TRAPS[n]} AS {n}_raw" for n in names)
-    before = ", ".join(f"coalesce(lag({n}_raw, {k}) OVER (PARTITION BY symbol ORDER BY datetime), 0) AS {n}_raw_{k}" for n in names for k in (1, 2, 3))
-    return f"WITH {BARS}, {_LAGGED}, raw AS (SELECT *, {raw} FROM z), y AS (SELECT *, {before} FROM raw) SELECT symbol, datetime, " + ", ".join(f"{confirmation(n + '_raw')} AS {n}" for n in names) + " FROM y"
-
-
 def rule_sql(expression: str, ctes: str = "", source: str = "b") -> str:
     return f"WITH {BARS}{', ' + ctes if ctes else ''} SELECT symbol, datetime, CAST({expression} AS INTEGER) AS signal FROM {source}"
 
@@ -243,7 +225,7 @@ RULES_SQL = {
     "rule_line_cross": rule_sql(f"CASE WHEN d_v IS NOT NULL THEN {_SE} END", f"{_STOCH}, {_SX.replace('FROM d)', 'FROM (SELECT * REPLACE (CASE WHEN d_v IS NOT NULL THEN slow_v END AS slow_v) FROM d))')}", "xx"),
     "rule_prev_cross": rule_sql(f"sign(round(v - {lag('v')}, 9))", _OBV, "obv"),
     "rule_bbands": rule_sql("CASE WHEN hi IS NOT NULL THEN CASE WHEN dl > 0 AND pl <= 0 THEN 1 WHEN du < 0 AND pu >= 0 THEN -1 ELSE 0 END END", _BB, "bx"),
-    "rule_pattern": f"WITH {BARS}, {_LAGGED} SELECT symbol, datetime, CAST(sign({PATTERNS['CDLDOJI']}) AS INTEGER) AS signal FROM z",
+    "rule_pattern": f"SELECT symbol, datetime, CAST(sign(CDLENGULFING) AS INTEGER) AS signal FROM ({candle_sql.select(['CDLENGULFING'], BARS)})",
 }
 
 _SIG3 = f"""s3 AS (SELECT symbol, datetime, rn, sign(round(close, 9) - round({mean(_C, 5)}, 9)) AS a, sign(round(100 * (close / nullif({lag('close', 3)}, 0) - 1), 9)) AS c,
@@ -383,7 +365,11 @@ ORACLE_SQL: dict[str, str] = {
     "return_summary": f"""WITH {_PRED}, t AS (SELECT *, CASE WHEN volume % 2 = 0 THEN 1 ELSE -1 END * pred AS r FROM pr), c AS (SELECT *, sum(r) OVER (PARTITION BY symbol ORDER BY datetime) AS cum FROM t), k AS (SELECT *, cum - max(cum) OVER (PARTITION BY symbol ORDER BY datetime) AS dd FROM c)
         SELECT symbol, round(sum(r), 6) AS total, round(avg(r), 6) + 0.0 AS mean, round(stddev_samp(r), 6) AS std, round(avg(r) / stddev_samp(r), 6) AS sharpe, round(min(dd), 6) AS max_drawdown FROM k GROUP BY symbol""",
     "dedup_exact": f"WITH {_POSTS} SELECT arg_min(post_id, (post_time, post_id)) AS post_id, md5(text) AS content_hash FROM posts GROUP BY 2",
-    "coin_filter": f"WITH {_POSTS} SELECT post_id FROM posts WHERE (regexp_matches(text, '\\b(?:dot|polkadot)\\b', 'i') OR subreddit IN ('dot', 'polkadot')) AND subreddit <> 'src3'",
+    "coin_filter": f"""WITH {_POSTS}, p AS (SELECT post_id, concat_ws(' ', substr(text, 1, 20), (['$BTC now', 'Ethereum', 'binance  coin', 'she sat down', 'SOL!', 'ripples', '(ada)', 'doge', 'dots', '$dot', 'Avalanche', 'chainlink', 'linked', 'bnbs', 'solana-beach', 'BTC'])[post_id % 16 + 1]) AS title,
+            lower((['Bitcoin', 'SatoshiStreetBets', 'EthTrader', 'news', 'Solana', 'XRP', 'Avax', 'Polkadot', 'memes', 'CARDANO', 'dogecoin'])[(post_id * 7 + 3) % 11 + 1]) AS forum FROM posts),
+        k(coin, names, dollar, forums) AS (VALUES ('btc', 'btc|bitcoin', 'btc', ['bitcoin', 'bitcoinmarkets', 'satoshistreetbets']), ('eth', 'eth|ethereum', 'eth', ['ethereum', 'ethtrader']), ('bnb', 'bnb|binance\\s*coin', 'bnb', []), ('sol', 'sol|solana', 'sol', ['solana']),
+            ('xrp', 'xrp|ripple', 'xrp', ['ripple', 'xrp']), ('ada', 'ada|cardano', 'ada', ['cardano']), ('doge', 'doge|dogecoin', 'doge', ['dogecoin']), ('dot', 'dot|polkadot', 'dot', ['polkadot']), ('avax', 'avax|avalanche', 'avax', ['avax']), ('link', 'link|chainlink', 'link', []))
+        SELECT coin, post_id FROM p, k WHERE forum <> 'memes' AND (list_contains(forums, forum) OR regexp_matches(lower(title), '\\b(' || names || ')\\b') OR contains(lower(title), '$' || dollar))""",
     "hourly_sentiment": f"WITH {_POSTS}, {_HP} SELECT time_window, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('mean_sentiment', 'std_sentiment', 'sentiment_confidence_mean', 'emoji_count_mean', 'caps_ratio_mean', 'punct_intensity_mean', 'spam_score_mean', 'token_count_mean'))}, post_id_count FROM hp",
     "combine_outer": f"WITH {_COMBINED} SELECT time_window, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('sentiment_combined', 'volume_total', 'sentiment_disagreement', 'confidence_combined'))} FROM comb",
     "market_features": f"WITH {BARS}, {_MARKET} SELECT symbol, datetime, {_OHLCV}, {', '.join(f'{r(c)} AS {c}' for c in ('returns', 'volume_change', 'price_momentum', 'volatility'))} FROM mk",
@@ -396,5 +382,5 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 
-ORACLE_SQL |= {k: candle_sql(v) for k, v in CANDLES.items()}
-ORACLE_SQL["candles_traps"] = trap_sql(list(TRAPS))
+ORACLE_SQL |= {k: candle_sql.select(v, BARS) for k, v in CANDLES.items()}
+ORACLE_SQL["candles_traps"] = candle_sql.traps(TRAPS, BARS)

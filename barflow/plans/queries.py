@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.functions.rounding import round_exact
 from barflow.functions.windows import correlation
 from barflow.operators import backtest as B
 from barflow.operators import bars as R
@@ -14,7 +15,7 @@ from barflow.operators import features as X
 from barflow.operators import posts as T
 from barflow.operators import predict as M
 from barflow.operators import signals as S
-from barflow.operators.candles import TRAPS, add_patterns
+from barflow.operators.candles import add_patterns
 from barflow.operators.indicators import INDICATORS, add_indicators
 from barflow.sources import tables as D
 
@@ -108,8 +109,8 @@ def plain_features(df: DataFrame, text: str) -> DataFrame:
     letters = F.regexp_count(text, F.lit("[A-Za-z]"))
     df = df.withColumns(
         {
-            "token_count": F.size(F.filter(F.split(text, r"\s+"), lambda t: t != "")),
-            "caps_ratio": F.coalesce(F.bround(F.try_divide(F.regexp_count(text, F.lit("[A-Z]")), letters), 4), F.lit(0.0)),
+            "token_count": F.regexp_count(text, F.lit(r"\S++")),
+            "caps_ratio": F.coalesce(round_exact(F.try_divide(F.regexp_count(text, F.lit("[A-Z]")), letters), 4), F.lit(0.0)),
             "punct_intensity": F.regexp_count(text, F.lit("[!?]{2,}")),
             "emoji_count": F.lit(0),
             "spam_score": F.lit(0.0),
@@ -158,6 +159,15 @@ def q_near_dedup(spark, d):
     return T.near_dedup(T.simhash(posts(spark, d).filter("text IS NOT NULL"), "text"), "post_id").select("post_id")
 
 
+def q_coins(spark, d):
+    """Titles that end in a name, or nearly one, and forums in mixed case; all ten coins."""
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    forums = ("Bitcoin", "SatoshiStreetBets", "EthTrader", "news", "Solana", "XRP", "Avax", "Polkadot", "memes", "CARDANO", "dogecoin")
+    named = ("$BTC now", "Ethereum", "binance  coin", "she sat down", "SOL!", "ripples", "(ada)", "doge", "dots", "$dot", "Avalanche", "chainlink", "linked", "bnbs", "solana-beach", "BTC")
+    rows = posts(spark, d).select("post_id", F.concat_ws(" ", F.substring("text", 1, 20), pick(named, F.col("post_id"))).alias("title"), pick(forums, F.col("post_id").cast("long") * 7 + 3).alias("subreddit"))
+    return T.coin_mentions(rows, "title", blocked=("MEMES",)).select("coin", "post_id")
+
+
 def q_random_forest(spark, d):
     features = ["returns", "volatility", "volume_change", "sentiment_combined", "divergence"]
     parts = X.split_by_position(model_table(spark, d), (0.7, 0.3))
@@ -210,6 +220,8 @@ CANDLES = {
     "candles_multi": "CDL3BLACKCROWS CDL3LINESTRIKE CDLBREAKAWAY CDLCONCEALBABYSWALL CDLLADDERBOTTOM CDLMATHOLD CDLRISEFALL3METHODS".split(),
 }
 
+TRAPS = ["CDLHIKKAKE", "CDLHIKKAKEMOD"]
+
 QUERIES: dict[str, Query] = {
     "resample_1h": _of(hourly),
     "resample_15m": _of(lambda s, d: R.resample(D.ticks(s, d), "15m", ties=TIES)),
@@ -223,8 +235,8 @@ QUERIES: dict[str, Query] = {
     "append_anti": q_append,
     **{f"ind_{n.lower()}": indicator(n) for n in INDICATORS},
     **{k: candle(v) for k, v in CANDLES.items()},
-    "candles_traps": candle(list(TRAPS)),
-    **{f"rule_{r}": rule(n) for r, n in {"price_cross": "SMA", "zero_cross": "MOM", "threshold": "WILLR", "pivot": "ROCR", "mean_cross": "TRANGE", "line_cross": "STOCH", "prev_cross": "OBV", "bbands": "BBANDS", "pattern": "CDLDOJI"}.items()},
+    "candles_traps": candle(TRAPS),
+    **{f"rule_{r}": rule(n) for r, n in {"price_cross": "SMA", "zero_cross": "MOM", "threshold": "WILLR", "pivot": "ROCR", "mean_cross": "TRANGE", "line_cross": "STOCH", "prev_cross": "OBV", "bbands": "BBANDS", "pattern": "CDLENGULFING"}.items()},
     "rule_trend_mode": rule("HT_TRENDMODE"),
     "vote": voted,
     "vote_with_model": lambda s, d: S.vote(S.signals(hourly(s, d), list(VOTED), VOTED), model=model_signal(s, d)),
@@ -265,7 +277,7 @@ QUERIES: dict[str, Query] = {
     "hamming_pairs": lambda s, d: T.hamming_pairs(T.simhash(posts(s, d), "text"), "post_id"),
     "dedup_exact": lambda s, d: T.exact_dedup(posts(s, d).withColumn("content_hash", F.md5(F.col("text").cast("binary")))).select("post_id", "content_hash"),
     "dedup_near": q_near_dedup,
-    "coin_filter": lambda s, d: T.coin_filter(posts(s, d), "dot", "text", blocked=("src3",)).select("post_id"),
+    "coin_filter": q_coins,
     "hourly_sentiment": _of(hourly_posts),
     "sentiment_features": _of(source_features),
     "combine_outer": _of(combined, "time_window", "sentiment_combined", "volume_total", "sentiment_disagreement", "confidence_combined"),
