@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,15 +95,36 @@ def shorten(x: Column, most: int) -> Column:
     return F.when(F.length(x) > most, F.regexp_replace(F.substring(x, 1, most), r" [^ ]*$", "")).otherwise(x)
 
 
-def simhash_bits(tokens: Column) -> Column:
-    """64-bit SimHash of an array of tokens: each votes with the low 64 bits of its MD5; bits with more yes than no are set."""
-    hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 17, 16), 16, -10).cast("long"))
-    votes = lambda b: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.getbit(h, F.lit(b)) == 1, 1).otherwise(-1))
-    out = F.lit(0).cast("long")
-    for b in range(64):
-        bit = 1 << b if b < 63 else -(1 << 63)
-        out = out.bitwiseOR(F.when(votes(b) > 0, F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+LANES = 21  # bits apart that a long counts at once: each of its three counters holds two million votes
+
+
+def token_hashes(tokens: Column) -> Column:
+    """The low 64 bits of each token's MD5."""
+    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 17, 16), 16, -10).cast("long"))
+
+
+def simhash_bits(hashes: Column, sums: list[Column]) -> Column:
+    """64-bit SimHash: bits with more votes for than against are set. sums: ``lane_sums`` of the hashes, each a column of its own.
+
+    Texts of more than two million tokens, beyond a lane's counter, count bit by bit.
+    """
+    n = F.size(hashes)
+    lane = lambda j, k: F.shiftrightunsigned(sums[j], LANES * k).bitwiseAND(F.lit((1 << LANES) - 1))
+    single = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.getbit(h, F.lit(b)))
+    set_ = lambda b, votes: F.when(votes * 2 > n, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    either = lambda bits: reduce(lambda x, y: x.bitwiseOR(y), bits)
+    fast = either([set_(j + LANES * k, lane(j, k)) for j in range(LANES) for k in range(3)] + [set_(63, single(63))])
+    return F.when(n < (1 << LANES), fast).otherwise(either([set_(b, single(b)) for b in range(64)]))
+
+
+def lane_sums(hashes: Column) -> list[Column]:
+    """For each of 21 shifts the votes of three bits, 21 apart, in one sum."""
+    mask = F.lit(sum(1 << (LANES * k) for k in range(3)))
+
+    def one(shift: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.shiftrightunsigned(h, shift).bitwiseAND(mask))
+
+    return [one(j) for j in range(LANES)]
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -219,8 +219,11 @@ def sar(h: np.ndarray, lo: np.ndarray, step: float, most: float, signed: bool =
     return out
 
 
-def hilbert(x: np.ndarray, fast: float = 0.5, slow: float = 0.05) -> dict[str, np.ndarray]:
-    """Ehlers' homodyne discriminator: dominant cycle, phasor, phase, sine, trend line and mode, MAMA and FAMA."""
+def hilbert(x: np.ndarray, fast: float = 0.5, slow: float = 0.05, first: int = 12) -> dict[str, np.ndarray]:
+    """Ehlers' homodyne discriminator: dominant cycle, phasor, phase, sine, trend line and mode, MAMA and FAMA.
+
+    first: the bar the state starts from (all 0 before it): 12 for what shows after 32 bars, 37 for what shows after 63.
+    """
     n = len(x)
     names = ("dcperiod", "inphase", "quadrature", "dcphase", "sine", "leadsine", "trendline", "trendmode", "mama", "fama")
     out = {k: np.full(n, NAN) for k in names}
@@ -233,7 +236,7 @@ def hilbert(x: np.ndarray, fast: float = 0.5, slow: float = 0.05) -> dict[str, n
     def quad(s: np.ndarray, i: int, adjust: float) -> float:
         return (0.0962 * s[i] + 0.5769 * s[i - 2] - 0.5769 * s[i - 4] - 0.0962 * s[i - 6]) * adjust
 
-    for i in range(12, n):
+    for i in range(first, n):
         price[i] = weights @ x[i - np.arange(4)]
         adjust = 0.075 * period + 0.54
         detrend[i] = quad(price, i, adjust)
@@ -265,10 +268,10 @@ def hilbert(x: np.ndarray, fast: float = 0.5, slow: float = 0.05) -> dict[str, n
         dc = dc + 180 if imag < 0 else dc
         dc = dc - 360 if dc > 315 else dc
         sine, lead = math.sin(math.radians(dc)), math.sin(math.radians(dc + 45))
-        trend[i] = x[max(0, i - size + 1) : i + 1].mean() if size else x[i]
+        trend[i] = x[max(0, i - size + 1) : i + 1].mean() if size else 0.0
         line = (4 * trend[i] + 3 * trend[i - 1] + 2 * trend[i - 2] + trend[i - 3]) / 10
         crossed = sine > lead and last_sine <= last_lead or sine < lead and last_sine >= last_lead
-        days = 0 if crossed else days + 1
+        days = 1 if crossed else days + 1
         mode = 0 if crossed or days < 0.5 * smooth_period[i] else 1
         turn = dc - last_phase
         if smooth_period[i] and 0.67 * 360 / smooth_period[i] < turn < 1.5 * 360 / smooth_period[i]:
@@ -314,14 +317,14 @@ RECURSIVE: dict[str, tuple[tuple[str, ...], dict[str, float], tuple[str, ...], C
     "SAREXT": (("high", "low"), {}, ("sarext",), lambda h, lo: (sar(h, lo, 0.02, 0.2, signed=True),)),
     "MAMA": (("close",), {"fastlimit": 0.5, "slowlimit": 0.05}, ("mama", "fama"), lambda c, fastlimit, slowlimit: tuple(hilbert(c, fastlimit, slowlimit)[k] for k in ("mama", "fama"))),
     **{
-        name: (("close",), {}, outs, lambda c, keys=keys: tuple(hilbert(c)[k] for k in keys))
-        for name, outs, keys in (
-            ("HT_TRENDLINE", ("ht_trendline",), ("trendline",)),
-            ("HT_DCPERIOD", ("ht_dcperiod",), ("dcperiod",)),
-            ("HT_DCPHASE", ("ht_dcphase",), ("dcphase",)),
-            ("HT_PHASOR", ("ht_inphase", "ht_quadrature"), ("inphase", "quadrature")),
-            ("HT_SINE", ("ht_sine", "ht_leadsine"), ("sine", "leadsine")),
-            ("HT_TRENDMODE", ("ht_trendmode",), ("trendmode",)),
+        name: (("close",), {}, outs, lambda c, keys=keys, first=first: tuple(hilbert(c, first=first)[k] for k in keys))
+        for name, outs, keys, first in (
+            ("HT_TRENDLINE", ("ht_trendline",), ("trendline",), 37),
+            ("HT_DCPERIOD", ("ht_dcperiod",), ("dcperiod",), 12),
+            ("HT_DCPHASE", ("ht_dcphase",), ("dcphase",), 37),
+            ("HT_PHASOR", ("ht_inphase", "ht_quadrature"), ("inphase", "quadrature"), 12),
+            ("HT_SINE", ("ht_sine", "ht_leadsine"), ("sine", "leadsine"), 37),
+            ("HT_TRENDMODE", ("ht_trendmode",), ("trendmode",), 37),
         )
     },
 }

@@ -67,8 +67,11 @@ def text_features(df: DataFrame, raw: str, clean: str) -> DataFrame:
 
 
 def simhash(df: DataFrame, text: str, out: str = "simhash") -> DataFrame:
+    """Add the SimHash of a text's words; a text without any has 0."""
     tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda t: t != "")
-    return df.withColumn("__tokens", tokens).withColumn(out, X.simhash_bits(F.col("__tokens"))).drop("__tokens")
+    hashed = df.withColumn("__hashes", X.token_hashes(tokens))
+    hashed = hashed.withColumns({f"__v{j}": c for j, c in enumerate(X.lane_sums(F.col("__hashes")))})
+    return hashed.withColumn(out, X.simhash_bits(F.col("__hashes"), [F.col(f"__v{j}") for j in range(X.LANES)])).drop("__hashes", *[f"__v{j}" for j in range(X.LANES)])
 
 
 def exact_dedup(df: DataFrame, by: str = "content_hash", order: tuple[str, ...] = ("post_time", "post_id")) -> DataFrame:

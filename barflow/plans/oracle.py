@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barflow.plans import candle_sql
+from barflow.plans import candle_sql, more_sql
 from barflow.plans.queries import CANDLES, TRAPS
 
 TICKS = "ticks AS (SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS datetime, event_id, CAST(value AS DOUBLE) AS price FROM events)"
@@ -384,3 +384,30 @@ ORACLE_SQL: dict[str, str] = {
 
 ORACLE_SQL |= {k: candle_sql.select(v, BARS) for k, v in CANDLES.items()}
 ORACLE_SQL["candles_traps"] = candle_sql.traps(TRAPS, BARS)
+ORACLE_SQL |= {
+    "ind_sar": more_sql.sar(BARS, "sar", False),
+    "ind_sarext": more_sql.sar(BARS, "sarext", True),
+    "ind_mama": more_sql.hilbert(BARS, {"mama": "h.mama", "fama": "h.fama"}, 13, 32),
+    "ind_ht_dcperiod": more_sql.hilbert(BARS, {"ht_dcperiod": "h.sp"}, 13, 32),
+    "ind_ht_phasor": more_sql.hilbert(BARS, {"ht_inphase": "h.i[1]", "ht_quadrature": "h.q[1]"}, 13, 32),
+    "ind_ht_dcphase": more_sql.phase(BARS, {"ht_dcphase": "n.dc"}),
+    "ind_ht_sine": more_sql.phase(BARS, {"ht_sine": "n.sine", "ht_leadsine": "n.lead"}),
+    "ind_ht_trendline": more_sql.phase(BARS, {"ht_trendline": "n.line"}),
+    "ind_ht_trendmode": more_sql.phase(BARS, {"ht_trendmode": "CAST(n.mode AS DOUBLE)"}),
+    "rule_trend_mode": more_sql.phase(BARS, {"signal": "n.mode"}, "CAST(CASE WHEN {x} = 1 THEN 1 ELSE -1 END AS INTEGER)"),
+    "simhash": f"WITH {_POSTS}, {more_sql.SIMHASH} SELECT post_id, simhash FROM sh",
+    "hamming_pairs": f"WITH {_POSTS}, {more_sql.SIMHASH} SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM fh a JOIN fh b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 3",
+    "dedup_near": f"""WITH RECURSIVE {_POSTS}, {more_sql.SIMHASH}, o AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM fh),
+        g AS (SELECT n, id, [h] AS kept, true AS stays FROM o WHERE n = 1 UNION ALL SELECT n, id, CASE WHEN near THEN kept ELSE list_append(kept, h) END, NOT near
+            FROM (SELECT o.n, o.id, o.h, g.kept, len(list_filter(g.kept, lambda x: bit_count(xor(x, o.h)) <= 3)) > 0 AS near FROM g JOIN o ON o.n = g.n + 1)) SELECT id AS post_id FROM g WHERE stays""",
+    "landing_candles": f"""WITH {TICKS}, ms AS (SELECT symbol, date_trunc('millisecond', datetime) AS datetime, min(price) AS close FROM ticks GROUP BY 1, 2)
+        SELECT symbol, count(*) AS n, min(datetime) AS first_time, max(datetime) AS last_time, round(sum(close), 6) AS total FROM ms GROUP BY symbol""",
+    "signed_log_diff": f"""WITH {BARS}, g AS (SELECT *, close - open AS change, min(close) OVER s AS lc, min(close - open) OVER s AS lo FROM b WINDOW s AS (PARTITION BY symbol)),
+        y AS (SELECT symbol, datetime, CASE WHEN lc <= 0 THEN sign(close) * ln(1 + abs(close)) ELSE ln(close) END AS a, CASE WHEN lo <= 0 THEN sign(change) * ln(1 + abs(change)) ELSE ln(change) END AS c FROM g),
+        e AS (SELECT symbol, datetime, a - {lag('a')} AS a, c - {lag('c')} AS c FROM y) SELECT symbol, datetime, {r('a')} AS close, {r('c')} AS change, {r('a')} AS log_return FROM e WHERE a IS NOT NULL AND c IS NOT NULL""",
+    "sentiment_features": f"""WITH RECURSIVE {_POSTS}, {_HP}, o AS (SELECT *, row_number() OVER (ORDER BY time_window) AS n FROM hp),
+        em AS (SELECT n, mean_sentiment AS v FROM o WHERE n = 1 UNION ALL SELECT o.n, e.v + (o.mean_sentiment - e.v) / 3 FROM em e JOIN o ON o.n = e.n + 1)
+        SELECT time_window, {r('mean_sentiment')} AS post_sentiment_mean, {r('std_sentiment')} AS post_sentiment_volatility, CAST(post_id_count AS DOUBLE) AS post_volume, {r('coalesce(mean_sentiment - lag(mean_sentiment) OVER w, 0)')} AS post_sentiment_momentum,
+            {r('mean_sentiment * sentiment_confidence_mean')} AS post_confidence_weighted, {r('sentiment_confidence_mean')} AS post_confidence, {', '.join(f'{r(f"coalesce(lag(mean_sentiment, {k}) OVER w, 0)")} AS post_lag_{k}' for k in range(1, 6))}, {r('v')} AS post_sentiment_ema
+        FROM o JOIN em USING (n) WINDOW w AS (ORDER BY time_window)""",
+}

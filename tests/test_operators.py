@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -144,3 +145,38 @@ def test_append(spark, tmp_path):
     path = str(tmp_path / "t")
     assert append(df.limit(1), path) == 1 and append(df, path) == 1 and append(df, path) == 0
     assert last_time(spark, path) == START + dt.timedelta(hours=1) and last_time(spark, str(tmp_path / "none")) is None
+
+
+def test_near_dedup_long_chain(spark):
+    """A chain that takes more than 50 rounds is decided to its end."""
+    from barflow.operators.posts import near_dedup
+
+    r, chain = random.Random(2), [0]
+    while len(chain) < 106:
+        new = chain[-1]
+        for bit in r.sample(range(63), 3):
+            new ^= 1 << bit
+        if all((new ^ x).bit_count() > 3 for x in chain[:-1]):
+            chain.append(new)
+    df = spark.createDataFrame(list(enumerate(chain)), "id long, simhash long").coalesce(1)
+    assert sorted(x.id for x in near_dedup(df, "id").collect()) == list(range(0, 106, 2))
+
+
+def test_exact_rounding(spark):
+    """As Python rounds: 17 of 800 letters are 0.02125, whose double lies above that half."""
+    from barflow.functions.rounding import round_exact
+
+    rows = [(a, b) for b in (3, 16, 32, 800, 1600, 20000, 4096, 10000) for a in range(0, min(b, 900) + 1)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    got = df.select("a", "b", round_exact(F.col("a") / F.col("b"), 4).alias("x")).collect()
+    assert [(r.a, r.b) for r in got if r.x != round(r.a / r.b, 4)] == []
+
+
+def test_coins(spark):
+    from barflow.operators.posts import COINS, coin_filter, coin_mentions
+
+    assert len(COINS) == 10
+    rows = [(1, "she sat down", "news"), (2, "binance  coin", "x"), (3, None, "SatoshiStreetBets"), (4, "AVALANCHE", "y"), (5, "$btc", "Memes"), (6, "linked", None), (7, None, None)]
+    df = spark.createDataFrame(rows, "id int, title string, subreddit string")
+    assert {(r.coin, r.id) for r in coin_mentions(df, "title", blocked=("memes",)).collect()} == {("bnb", 2), ("btc", 3), ("avax", 4)}
+    assert [r.id for r in coin_filter(df, "BTC", "title").orderBy("id").collect()] == [3, 5]
