@@ -103,21 +103,6 @@ def test_op8_repeated_passages(spark, tmp_path):
     assert got == {d: d - d % 2 for d, _ in rows}
 
 
-def test_near_dedup_long_chain(spark):
-    """A chain that takes more than 50 rounds is decided to its end."""
-    from barflow.operators.posts import near_dedup
-
-    r, chain = random.Random(2), [0]
-    while len(chain) < 106:
-        new = chain[-1]
-        for bit in r.sample(range(63), 3):
-            new ^= 1 << bit
-        if all((new ^ x).bit_count() > 3 for x in chain[:-1]):
-            chain.append(new)
-    df = spark.createDataFrame(list(enumerate(chain)), "id long, simhash long").coalesce(1)
-    assert sorted(x.id for x in near_dedup(df, "id").collect()) == list(range(0, 106, 2))
-
-
 @pytest.mark.parametrize("often, direct, block", [(0, 30, 10), (0, 10**6, 10), (10**9, 30, 10), (5, 60, 40)])
 def test_op5_keys_and_blocks(spark, tmp_path, monkeypatch, often, direct, block):
     """Rare and frequent words, short and long lines, groups met at once and in blocks: always what brute force finds."""
