@@ -77,8 +77,58 @@ def _pass(when: np.ndarray, signal: np.ndarray, time: np.ndarray, o: np.ndarray,
     return events
 
 
-def backtest(signals: DataFrame, bars: DataFrame, rules: Rules = Rules(), signal: str = "signals") -> DataFrame:
-    """Ledger rows (strategy, symbol, event from 0, EVENTS) for signals (strategy, symbol, datetime, signal)."""
+LEAST_BARS = 11  # version 1 leaves out intervals of fewer bars
+
+
+def _pass_v1(when: np.ndarray, signal: np.ndarray, time: np.ndarray, o: np.ndarray, h: np.ndarray, lo: np.ndarray, c: np.ndarray, r: Rules) -> list[tuple]:
+    """The first version's rules: an exit takes the high or low of the bar that reaches a level (the low if both are reached at once), its
+    gain is signed by the direction of the interval before, events are named by the present one, and what is open at the end stays open."""
+    first = np.searchsorted(time, when)
+    balance, held, entry, events = r.balance, False, 0.0, []
+    before = int(signal[0]) if len(signal) else 0
+
+    def told(at, now: int, what: str, price: float, pnl: float) -> None:
+        nonlocal balance
+        balance += balance * pnl / 100
+        events.append((at, "long" if now > 0 else "short", what, entry, price, balance, pnl))
+
+    def gain(price: float) -> float:
+        return (price - entry) / entry * 100 * (1 if before > 0 else -1) * r.leverage - r.cost
+
+    for i in range(len(when) - 1):
+        now = int(signal[i]) or before
+        a, b = first[i], first[i + 1]
+        if not now or b - a < LEAST_BARS:
+            continue
+        at, price = time[a + r.delay], o[a + r.delay]
+        if not held:
+            held, entry, before = True, price, now
+            told(at, now, "buy", 0.0, -r.cost)
+        if now != before:
+            told(at, now, "sell - direction change", price, gain(price))
+            entry = price
+            told(at, now, "buy", 0.0, -r.cost)
+        side = 1 if now > 0 else -1
+        take, stop = entry * (1 + side * r.take_profit / 100), entry * (1 - side * r.stop_loss / 100)
+        high, low = h[a:b] >= max(take, stop), lo[a:b] <= min(take, stop)
+        if (high | low).any():
+            k = int((high | low).argmax())
+            price = lo[a + k] if low[k] else h[a + k]
+            pnl = gain(price)
+            held = False
+            told(time[a + k], now, f"sell - {'take_profit' if pnl > 0 else 'stop_loss'}", price, pnl)
+        before = now
+        if balance < r.balance / 2:
+            break
+    return events
+
+
+def backtest(signals: DataFrame, bars: DataFrame, rules: Rules = Rules(), signal: str = "signals", version: int = 2, buckets: int = 1) -> DataFrame:
+    """Ledger rows (strategy, symbol, event from 0, EVENTS) for signals (strategy, symbol, datetime, signal).
+
+    version: 2, or 1 for the rules of ``_pass_v1``. buckets: a symbol's strategies are dealt to so many tasks, each with a copy of its bars.
+    """
+    one_pass = {1: _pass_v1, 2: _pass}[version]
 
     def run(s: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("datetime")
@@ -86,7 +136,7 @@ def backtest(signals: DataFrame, bars: DataFrame, rules: Rules = Rules(), signal
         out = []
         for (strategy, symbol), own in s.groupby(["strategy", "symbol"], sort=True):
             own = own.sort_values("datetime")
-            rows = pd.DataFrame(_pass(own["datetime"].to_numpy(), own[signal].to_numpy(), time, *price, rules), columns=["datetime", "predicted_direction", "action", "buy_price", "sell_price", "balance", "pnl"])
+            rows = pd.DataFrame(one_pass(own["datetime"].to_numpy(), own[signal].to_numpy(), time, *price, rules), columns=["datetime", "predicted_direction", "action", "buy_price", "sell_price", "balance", "pnl"])
             if len(rows):
                 rows["pnl_sum"] = rows["pnl"].cumsum().round(2)
                 rows[["balance", "pnl"]] = rows[["balance", "pnl"]].astype(float).round(2)
@@ -96,39 +146,44 @@ def backtest(signals: DataFrame, bars: DataFrame, rules: Rules = Rules(), signal
                 out.append(rows)
         return pd.concat(out) if out else pd.DataFrame(columns=["strategy", "symbol", "event", "datetime", "predicted_direction", "action", "buy_price", "sell_price", "balance", "pnl", "pnl_sum"])
 
-    narrow = bars.select("symbol", "datetime", "open", "high", "low", "close")
-    return signals.groupBy("symbol").cogroup(narrow.groupBy("symbol")).applyInPandas(run, f"strategy string, symbol string, event long, {EVENTS}")
+    narrow, keys = bars.select(*[F.col(c).alias(c) for c in ("symbol", "datetime", "open", "high", "low", "close")]), ["symbol"]  # columns of its own: signals may come from the same table
+    if buckets > 1:
+        signals = signals.withColumn("__bucket", F.pmod(F.xxhash64("strategy"), F.lit(buckets)).cast("int"))
+        narrow, keys = narrow.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))), ["symbol", "__bucket"]
+    return signals.groupBy(*keys).cogroup(narrow.groupBy(*keys)).applyInPandas(run, f"strategy string, symbol string, event long, {EVENTS}")
 
 
 def _if(c: Column, x: Column) -> Column:
     return F.when(c, x)
 
 
+def _runs(rows: DataFrame, w, value: str) -> DataFrame:
+    """Add __wins and __losses: how many winning (losing) rows end at this one without a break; both use the window's own order, so no exchange is added."""
+    at = F.row_number().over(w)
+    rows = rows.withColumns({"__at": at, "__is_win": F.coalesce(F.col(value) > 0, F.lit(False)), "__is_loss": F.coalesce(F.col(value) < 0, F.lit(False))})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    since = lambda side: F.col("__at") - F.coalesce(F.max(F.when(~F.col(side), F.col("__at"))).over(upto), F.lit(0))
+    return rows.withColumns({"__wins": since("__is_win").cast("long"), "__losses": since("__is_loss").cast("long")})
+
+
 def streaks(ledger: DataFrame, keys: tuple[str, ...], order: str = "event", value: str = "pnl") -> DataFrame:
     """keys with the longest runs of winning and of losing rows."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    out = ledger.select(*keys, order, (F.col(value) > 0).alias("__win"), (F.col(value) < 0).alias("__loss"))
-    runs = []
-    for side in ("__win", "__loss"):
-        change = F.coalesce((F.col(side) != F.lag(side).over(w)).cast("int"), F.lit(0))
-        out = out.withColumn(f"{side}_new", change)
-        out = out.withColumn(f"{side}_run", F.sum(f"{side}_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    for side in ("__win", "__loss"):
-        runs.append(out.groupBy(*keys, f"{side}_run").agg(F.sum(F.col(side).cast("long")).alias("n")).groupBy(*keys).agg(F.max("n").alias(f"max_consecutive{'_wins' if side == '__win' else '_losses'}")))
-    return runs[0].join(runs[1], list(keys))
+    rows = _runs(ledger, Window.partitionBy(*keys).orderBy(order), value)
+    return rows.groupBy(*keys).agg(F.max("__wins").alias("max_consecutive_wins"), F.max("__losses").alias("max_consecutive_losses"))
 
 
 def trade_statistics(ledger: DataFrame, keys: tuple[str, ...] = ("strategy", "symbol"), order: str = "event") -> DataFrame:
     """The 22 figures of a ledger; its buy rows count as events, with the fee as their loss. Undefined ratios are null, Sharpe and Sortino 0."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ledger.withColumn("__peak", F.max("balance").over(w)).withColumn("__down", F.col("balance") - F.col("__peak"))
+    rows = _runs(ledger, Window.partitionBy(*keys).orderBy(order), "pnl")
+    rows = rows.withColumn("__peak", F.max("balance").over(w)).withColumn("__down", F.col("balance") - F.col("__peak"))
     p = F.col("pnl")
     count = lambda c: F.count_if(c)
     total = F.count("*")
     win, loss = F.avg(_if(p > 0, p)), F.avg(_if(p < 0, p))
     gain, pain = F.coalesce(F.sum(_if(p > 0, p)), F.lit(0.0)), F.coalesce(F.sum(_if(p < 0, p)), F.lit(0.0))
     guard = lambda x: F.coalesce(F.try_divide(F.avg(p), F.nullif(x, F.lit(0.0))), F.lit(0.0))
-    stats = rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         total.alias("total_trades"),
         count(F.col("predicted_direction") == "long").alias("long_trades"),
         count(F.col("predicted_direction") == "short").alias("short_trades"),
@@ -149,8 +204,9 @@ def trade_statistics(ledger: DataFrame, keys: tuple[str, ...] = ("strategy", "sy
         F.min(F.try_divide(F.col("__down"), F.col("__peak"))).alias("max_drawdown_pct"),
         guard(F.stddev_samp(p)).alias("sharpe_ratio"),
         guard(F.stddev_samp(_if(p < 0, p))).alias("sortino_ratio"),
+        F.max("__wins").alias("max_consecutive_wins"),
+        F.max("__losses").alias("max_consecutive_losses"),
     )
-    return stats.join(streaks(ledger, keys, order), list(keys))
 
 
 def summary(ledger: DataFrame, start: float = 1000.0, keys: tuple[str, ...] = ("strategy", "symbol"), order: str = "event") -> DataFrame:
@@ -190,21 +246,21 @@ def active_entries(row_map: Column) -> Column:
     return F.map_filter(row_map, lambda k, v: F.coalesce(v.cast("string"), F.lit("0")).isin("0", "0.0", "false", "") == F.lit(False))
 
 
-def permutation_importance(score_without: DataFrame, base: float, feature: str = "feature", value: str = "pnl") -> DataFrame:
-    """Mean drop of the score for each shuffled feature, those that hurt only, largest first."""
-    drop = F.lit(base) - F.avg(value)
-    return score_without.groupBy(feature).agg(drop.alias("pnl_drop")).filter("pnl_drop > 0").orderBy(F.desc("pnl_drop"), feature)
-
+def shuffled(rows: DataFrame, features: list[str], repeats: int = 3, seed: int = 7, order: tuple[str, ...] = ("symbol", "datetime")) -> DataFrame:
+    """rows for every (feature, repeat) with that feature's values dealt anew: ranks by a seeded hash meet ranks by ``order``, which names a row.
 
-def shuffled(rows: DataFrame, features: list[str], repeats: int = 3, seed: int = 7, order: str = "datetime") -> DataFrame:
-    """rows for every (feature, repeat) with that feature's values dealt anew among the rows: hashed orders met by rank."""
-    out = None
+    Rows are ranked within 64 hash groups, so no task orders the whole table; all variants share one exchange for either side.
+    """
+    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(k).alias("repeat")) for f in features for k in range(repeats)]))
+    name = F.concat_ws(":", *[F.col(c).cast("string") for c in order])
+    keyed = rows.withColumn("__id", F.md5(name)).withColumn("__all", F.pmod(F.xxhash64("__id"), F.lit(64))).withColumn("__v", variants)
+    keyed = keyed.select("*", F.col("__v.feature").alias("feature"), F.col("__v.repeat").alias("repeat")).drop("__v")
+    own = ("feature", "repeat", "__all")
+    a = keyed.withColumn("__n", F.row_number().over(Window.partitionBy(*own).orderBy("__id")))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "feature", F.col("repeat").cast("string"), "__id"))
+    new = F.lit(None)
     for f in features:
-        for k in range(repeats):
-            by = Window.partitionBy("__all").orderBy(F.xxhash64(F.lit(f"{seed}:{f}:{k}"), order), order)
-            keyed = rows.withColumn("__all", F.pmod(F.xxhash64(order), F.lit(64)))
-            a = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__all").orderBy(order)))
-            b = keyed.select("__all", F.row_number().over(by).alias("__n"), F.col(f).alias("__new"))
-            one = a.join(b, ["__all", "__n"]).withColumn(f, F.col("__new")).select(F.lit(f).alias("feature"), F.lit(k).alias("repeat"), *rows.columns)
-            out = one if out is None else out.unionByName(one)
-    return out
+        new = F.when(F.col("feature") == f, F.col(f).cast("double")).otherwise(new)
+    b = keyed.select(*own, F.row_number().over(Window.partitionBy(*own).orderBy(draw)).alias("__n"), new.alias("__new"))
+    met = a.join(b, [*own, "__n"])
+    return met.select("feature", "repeat", *[F.when(F.col("feature") == c, F.col("__new").cast(t)).otherwise(F.col(c)).alias(c) if c in features else F.col(c) for c, t in rows.dtypes])

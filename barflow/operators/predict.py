@@ -166,3 +166,33 @@ def importances(model, features: list[str]) -> list[tuple[str, float]]:
     """Features by the impurity they remove, largest first."""
     v = model.stages[-1].featureImportances.toArray()
     return sorted(zip(features, v.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def save_model(model, path: str) -> None:
+    """A fitted pipeline to a folder that Spark can reach; what is there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def vector_autoregression(df: DataFrame, columns: list[str], order: int = 1, ahead: int = 1, keys: tuple[str, ...] = ("symbol",), time: str = "datetime") -> DataFrame:
+    """(keys, step, a forecast of every column): each column on a constant and the last ``order`` values of all, by least squares a series; a series too short repeats its last values."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(time)[columns].to_numpy(float)
+        past = list(x)
+        beta = None
+        if len(x) > order * (len(columns) + 1) + 1:
+            a = np.column_stack([np.ones(len(x) - order), *[x[order - k : len(x) - k] for k in range(1, order + 1)]])
+            beta, *_ = np.linalg.lstsq(a, x[order:], rcond=None)
+        for _ in range(ahead):
+            past.append(np.concatenate([[1.0], *past[: -order - 1 : -1]]) @ beta if beta is not None else past[-1])
+        first = rows[list(keys)].iloc[0].to_dict()
+        return pd.DataFrame([first | {"step": k + 1} | dict(zip(columns, v, strict=True)) for k, v in enumerate(past[len(x) :])])
+
+    schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + ", step long, " + ", ".join(f"{c} double" for c in columns)
+    return df.groupBy(*keys).applyInPandas(run, schema)

@@ -411,3 +411,49 @@ ORACLE_SQL |= {
             {r('mean_sentiment * sentiment_confidence_mean')} AS post_confidence_weighted, {r('sentiment_confidence_mean')} AS post_confidence, {', '.join(f'{r(f"coalesce(lag(mean_sentiment, {k}) OVER w, 0)")} AS post_lag_{k}' for k in range(1, 6))}, {r('v')} AS post_sentiment_ema
         FROM o JOIN em USING (n) WINDOW w AS (ORDER BY time_window)""",
 }
+
+_CHUNK = lambda c: _BACKTEST.replace("FROM voted),", f"FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY datetime) AS k_, count(*) OVER (PARTITION BY symbol) AS n_ FROM voted) WHERE k_ <= ({c} + 1) * n_ // 2)),", 1) + f" SELECT {c} AS chunk, 's3' AS strategy, symbol, arg_max(pnl_sum, event) AS pnl FROM ledger GROUP BY symbol"
+_V1 = f"""WITH RECURSIVE {TICKS}, {bucketed('half', '12 hours')}, voted AS (SELECT symbol, datetime, CASE WHEN close - open > 10 THEN 1 WHEN close - open < -10 THEN -1 ELSE 0 END AS signals FROM half), {bucketed('mins', '1 minute')},
+    pred AS (SELECT symbol, datetime, signals, lead(datetime) OVER (PARTITION BY symbol ORDER BY datetime) AS till, row_number() OVER (PARTITION BY symbol ORDER BY datetime) AS i FROM voted),
+    iv AS (SELECT p.symbol, p.i, p.signals, list(m.datetime ORDER BY m.datetime) AS ts, list(m.open ORDER BY m.datetime) AS os, list(m.high ORDER BY m.datetime) AS hs, list(m.low ORDER BY m.datetime) AS ls
+        FROM pred p JOIN mins m ON m.symbol = p.symbol AND m.datetime >= p.datetime AND m.datetime < p.till GROUP BY ALL),
+    nv AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k FROM iv WHERE len(ts) > 10),
+    st AS (SELECT symbol, CAST(0 AS BIGINT) AS k, false AS held, CAST(0 AS DOUBLE) AS entry, CAST(arg_min(signals, i) AS INTEGER) AS prev, CAST(1000 AS DOUBLE) AS balance, false AS broke,
+        CAST([] AS STRUCT(t TIMESTAMP, side INTEGER, act VARCHAR, bp DOUBLE, sp DOUBLE, bal DOUBLE, pnl DOUBLE)[]) AS ev FROM pred GROUP BY symbol
+      UNION ALL
+      SELECT symbol, k, CASE WHEN now = 0 THEN held ELSE h IS NULL END, CASE WHEN now = 0 THEN entry0 ELSE entry END, CASE WHEN now = 0 THEN prev0 ELSE now END, CASE WHEN h IS NULL THEN bal3 ELSE bal3 + bal3 * pnl / 100 END, CASE WHEN h IS NULL THEN bal3 ELSE bal3 + bal3 * pnl / 100 END < 500,
+        CASE WHEN h IS NULL THEN ev3 ELSE list_append(ev3, {{'t': ts[h], 'side': now, 'act': CASE WHEN pnl > 0 THEN 'sell - take_profit' ELSE 'sell - stop_loss' END, 'bp': entry, 'sp': px, 'bal': bal3 + bal3 * pnl / 100, 'pnl': pnl}}) END
+      FROM (SELECT *, (px - entry) / entry * 100 * (CASE WHEN prev > 0 THEN 1 ELSE -1 END) - 0.05 AS pnl FROM
+       (SELECT *, CASE WHEN ls[h] <= least(up, dn) THEN ls[h] ELSE hs[h] END AS px FROM
+        (SELECT *, CASE WHEN now <> 0 THEN list_position(list_transform(range(1, len(ts) + 1), lambda j: hs[j] >= greatest(up, dn) OR ls[j] <= least(up, dn)), true) END AS h FROM
+         (SELECT *, entry * (1 + now * 30.0 / 100) AS up, entry * (1 - now * 20.0 / 100) AS dn FROM
+          (SELECT *, CASE WHEN fresh OR turn THEN bal2 - bal2 * 0.05 / 100 ELSE bal2 END AS bal3,
+             CASE WHEN fresh OR turn THEN list_append(ev2, {{'t': ts[1], 'side': now, 'act': 'buy', 'bp': os[1], 'sp': 0.0, 'bal': bal2 - bal2 * 0.05 / 100, 'pnl': -0.05}}) ELSE ev2 END AS ev3, CASE WHEN fresh OR turn THEN os[1] ELSE entry0 END AS entry, CASE WHEN fresh THEN now ELSE prev0 END AS prev FROM
+           (SELECT *, CASE WHEN turn THEN bal0 + bal0 * out / 100 ELSE bal0 END AS bal2, CASE WHEN turn THEN list_append(ev, {{'t': ts[1], 'side': now, 'act': 'sell - direction change', 'bp': entry0, 'sp': os[1], 'bal': bal0 + bal0 * out / 100, 'pnl': out}}) ELSE ev END AS ev2 FROM
+            (SELECT *, now <> 0 AND NOT held AS fresh, now <> 0 AND held AND now <> prev0 AS turn, CASE WHEN held THEN (os[1] - entry0) / entry0 * 100 * (CASE WHEN prev0 > 0 THEN 1 ELSE -1 END) - 0.05 END AS out FROM
+             (SELECT s.symbol, n.k, n.ts, n.os, n.hs, n.ls, s.held, s.entry AS entry0, s.prev AS prev0, s.balance AS bal0, s.ev, CASE WHEN n.signals <> 0 THEN CAST(n.signals AS INTEGER) ELSE s.prev END AS now
+              FROM st s JOIN nv n ON n.symbol = s.symbol AND n.k = s.k + 1 WHERE NOT s.broke))))))))),
+    fin AS (SELECT symbol, arg_max(ev, k) AS ev FROM st GROUP BY symbol), alle AS (SELECT symbol, unnest(ev) AS e, generate_subscripts(ev, 1) - 1 AS event FROM fin)
+    SELECT 's3' AS strategy, symbol, CAST(event AS BIGINT) AS event, e.t AS datetime, CASE WHEN e.side > 0 THEN 'long' ELSE 'short' END AS predicted_direction, e.act AS action, round(e.bp, 6) AS buy_price, round(e.sp, 6) AS sell_price,
+        round(e.bal, 2) AS balance, round(e.pnl, 2) AS pnl, round(sum(e.pnl) OVER (PARTITION BY symbol ORDER BY event), 2) AS pnl_sum FROM alle"""
+_SOFT = "SELECT symbol, datetime, [(open - close) / 10, (high - close) / 10, (close - low) / 10] AS s FROM bars"
+ORACLE_SQL |= {
+    "chunked_evaluation": f"SELECT * FROM ({_CHUNK(0)}) UNION ALL SELECT * FROM ({_CHUNK(1)})",
+    "backtest_v1": _V1,
+    "paged_candles": """WITH s AS (SELECT unnest(['BTCUSDT', 'ETHUSD']) AS symbol), t AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-04 12:30:00', INTERVAL 5 MINUTE)) AS datetime),
+        n AS (SELECT symbol, datetime, CAST(epoch(datetime) // 60 % 997 + len(symbol) AS DOUBLE) AS n FROM s, t)
+        SELECT 'binance' AS exchange, symbol, datetime, round(n / 10, 6) AS open, round(n / 10 + 1, 6) AS high, round(n / 10 - 1, 6) AS low, round(n / 10 + 0.5, 6) AS close, n AS volume FROM n""",
+    "price_lookup": f"WITH {BARS}, m AS (SELECT symbol, datetime + INTERVAL 1 HOUR AS datetime, CASE WHEN close > open THEN 1 ELSE -1 END AS signal FROM b) SELECT symbol, datetime, signal, round(c.close, 6) AS actual_price FROM m LEFT JOIN (SELECT symbol, datetime, close FROM bars) c USING (symbol, datetime)",
+    "target_lookup": f"WITH {BARS}, t AS (SELECT symbol, datetime, rn, CASE WHEN count(*) OVER f = 15 THEN max(close) OVER f END AS target FROM b WINDOW f AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING)) SELECT symbol, datetime, round(target, 6) AS original_target FROM t WHERE rn > 1",
+    "join_indicators": f"WITH {BARS} SELECT symbol, datetime, round(close, 6) AS close, coalesce({r(mean(_C, 30))}, 0) AS sma, coalesce({r('100 * (close / nullif(' + lag('close', 10) + ', 0) - 1)')}, 0) AS roc FROM b",
+    "date_range": f"WITH {_POSTS}, {_COMMENTS}, w AS (SELECT date_trunc('hour', post_time) AS t FROM posts UNION ALL SELECT date_trunc('hour', comment_time) FROM comments) SELECT min(t) AS start_date, max(t) AS end_date FROM w",
+    "final_selection": f"WITH {_TARGETS} SELECT symbol, datetime, {', '.join(f'{r(c)} AS {c}' for c in ('sentiment_combined', 'returns', 'volatility', 'volume_change', 'price_momentum', 'divergence', 'fear_greed'))}, 0 AS not_there, target, {r('target_return')} AS target_return FROM tg",
+    "lot_steps": f"WITH {TICKS} SELECT event_id, round(trunc((price - 50) / 0.25) * 0.25, 6) + 0.0 AS lots FROM ticks",
+    "strategy_ids": """WITH t AS (SELECT o_orderkey, (['1h', '4h', '1d'])[o_orderkey % 3 + 1] AS tf, o_orderstatus AS s FROM orders)
+        SELECT o_orderkey, 'sig_' || tf || '_' || lower(s) || '_' || (row_number() OVER (PARTITION BY tf ORDER BY o_orderkey) + CASE WHEN tf = '4h' THEN 10 ELSE 0 END) AS strategy FROM t""",
+    "strategy_analysis": """SELECT CAST(o_orderkey AS VARCHAR) AS strategy, concat_ws(',', CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 THEN 'CDLDOJI' END, CASE WHEN o_orderkey % 3 = 0 THEN 'ROC' END, CASE WHEN o_orderkey % 2 = 0 THEN 'SMA' END) AS active_flags,
+        CAST(greatest(o_orderkey % 50, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 60 END) AS DOUBLE) AS max_window FROM orders""",
+    "class_scores": f"""WITH {BARS}, s AS ({_SOFT}), e AS (SELECT *, exp(s[1]) + exp(s[2]) + exp(s[3]) AS z FROM s) SELECT symbol, datetime, CAST(CASE WHEN s[1] >= s[2] AND s[1] >= s[3] THEN -1 WHEN s[2] >= s[3] THEN 0 ELSE 1 END AS INTEGER) AS class,
+        {', '.join(f'round(exp(s[{k + 1}]) / z, 6) AS p{k}' for k in range(3))} FROM e""",
+    "votes_estimate": "SELECT event_id, CASE WHEN event_id % 11 > 0 THEN CAST(floor((event_id % 1000) / ((event_id % 11) / 10.0::DOUBLE)) AS INTEGER) ELSE 0 END AS estimated_upvotes, CASE WHEN event_id % 11 > 0 THEN CAST(floor((event_id % 1000) / ((event_id % 11) / 10.0::DOUBLE)) AS INTEGER) ELSE 0 END - CAST(event_id % 1000 AS INTEGER) AS estimated_downvotes FROM events",
+}

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.functions.rounding import round_exact
-from barflow.functions.windows import correlation
 from barflow.operators import backtest as B
 from barflow.operators import bars as R
 from barflow.operators import features as X
+from barflow.operators import lookups as K
 from barflow.operators import posts as T
 from barflow.operators import predict as M
 from barflow.operators import signals as S
+from barflow.operators import tuning as U
 from barflow.operators.candles import add_patterns
 from barflow.operators.indicators import INDICATORS, add_indicators
+from barflow.sources import exchanges as E
 from barflow.sources import tables as D
 
 TIES = ("event_id",)
@@ -175,13 +177,100 @@ def q_random_forest(spark, d):
     return model.transform(parts.filter("part = 1")).select("symbol", "datetime", F.col("target"), F.col("prediction").cast("int").alias("prediction"))
 
 
+def minutes(spark: SparkSession, d: str) -> DataFrame:
+    return R.resample(D.ticks(spark, d), "1m", ties=TIES)
+
+
+def linear_signals(df: DataFrame) -> DataFrame:
+    """A linear score of two inputs as signals."""
+    return df.withColumn("signals", U.sign_beyond(F.col("returns") * -0.5 + F.col("divergence") * 0.1, F.lit(0.2)))
+
+
 def q_importance(spark, d):
-    """How far shuffling one input of a linear score lowers its correlation with the target."""
-    df = model_table(spark, d).select("datetime", "returns", "divergence", "target_return")
-    score = lambda x: correlation(F.col("returns") * -0.5 + F.col("divergence") * 0.1, F.col("target_return"))
-    base = df.agg(score(None)).first()[0]
-    each = B.shuffled(df, ["returns", "divergence"]).groupBy("feature", "repeat").agg(score(None).alias("pnl"))
-    return r6(B.permutation_importance(each, base))
+    """How much profit shuffling an input of a linear score costs."""
+    df = model_table(spark, d).select("symbol", "datetime", "returns", "divergence")
+    return r6(U.pnl_importance(df, ["returns", "divergence"], linear_signals, minutes(spark, d), rules=B.Rules(take_profit=30.0, stop_loss=20.0)))
+
+
+def q_chunked(spark, d):
+    return r6(U.chunked(voted(spark, d).withColumn("strategy", F.lit("s3")), minutes(spark, d), 2, B.Rules(take_profit=30.0, stop_loss=20.0, fee=0.05)))
+
+
+def q_search(spark, d):
+    """Limits and weights of a linear score, searched by profit."""
+    rows = hourly(spark, d).select("symbol", "datetime", (F.col("close") / F.col("open") - 1).alias("x"))
+    trials = U.grid(spark, limit=[0.05, 0.2, 0.5], weight=[1.0, -1.0])
+    predict = lambda t: rows.join(F.broadcast(t), F.lit(True)).select("trial", "symbol", "datetime", U.sign_beyond(F.col("x") * F.col("weight"), F.col("limit")).alias("signals"))  # noqa: E731 (the grid's few rows)
+    return r6(U.search(trials, predict, minutes(spark, d)))
+
+
+def q_backtest_v1(spark, d):
+    """Half-day bars, as the first version leaves out intervals of ten bars or fewer."""
+    half = R.resample(D.ticks(spark, d), "12h", ties=TIES)
+    change = F.col("close") - F.col("open")
+    s = half.select("symbol", "datetime", F.lit("s3").alias("strategy"), F.when(change > 10, 1).when(change < -10, -1).otherwise(0).alias("signals"))
+    return r6(B.backtest(s, minutes(spark, d), B.Rules(take_profit=30.0, stop_loss=20.0, fee=0.05), version=1))
+
+
+def q_paged(spark, d):
+    c = E.read_candles(spark, "binance", "barflow.sources.exchanges:rule_client", ["btcusdt", "ETHUSD"], "2024-01-01", "2024-01-04 12:30:00", "5m", limit=100, hours=24)
+    return r6(c.select("exchange", "symbol", "datetime", *R.OHLCV))
+
+
+def q_price_lookup(spark, d):
+    rows = model_signal(spark, d).withColumn("datetime", F.col("datetime") + F.expr("INTERVAL 1 HOUR"))
+    return r6(K.price_lookup(rows, D.ticks(spark, d), "1h", ties=TIES))
+
+
+def q_target_lookup(spark, d):
+    every = hourly(spark, d).select("symbol", "datetime", "close")
+    return r6(K.value_lookup(X.log_diff(every.withColumn("volume", F.lit(1.0)), ["close"]).select("symbol", "datetime"), X.regression_target(every), "target", "original_target"))
+
+
+def q_join_indicators(spark, d):
+    bars = hourly(spark, d)
+    return r6(K.join_indicators(bars.select("symbol", "datetime", "close"), add_indicators(bars, ["SMA", "ROC"]), ["sma", "roc"]))
+
+
+FINAL = ["sentiment_combined", "returns", "volatility", "volume_change", "price_momentum", "divergence", "fear_greed", "not_there"]
+
+
+def q_final(spark, d):
+    return r6(K.final_selection(model_table(spark, d), FINAL, ["target", "target_return"]))
+
+
+def q_lots(spark, d):
+    rows = D.ticks(spark, d).select("event_id", (F.col("close") - 50).alias("qty"))
+    return r6(rows.select("event_id", K.floor_to_step(F.col("qty"), 0.25).alias("lots")))
+
+
+def q_ids(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.element_at(F.array(F.lit("1h"), F.lit("4h"), F.lit("1d")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("timeframe"), F.col("o_orderstatus").alias("symbol"))
+    return K.strategy_ids(rows, ("o_orderkey",), last={"4h": 10}).select("o_orderkey", "strategy")
+
+
+def q_analysis(spark, d):
+    key = F.col("o_orderkey")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+        key.cast("string").alias("strategy"),
+        F.create_map(F.lit("SMA"), key % 2 == 0, F.lit("ROC"), key % 3 == 0, F.lit("CDLDOJI"), F.when(key % 5 == 0, F.lit(None)).otherwise(key % 7 == 0)).alias("flags"),
+        F.create_map(F.lit("sma_period"), (key % 50).cast("double"), F.lit("macd_slowperiod"), F.when(key % 4 > 0, (key % 60).cast("double")), F.lit("bb_nbdevup"), F.lit(1000.0)).alias("params"),
+    )
+    return K.strategy_analysis(rows).select("strategy", F.array_join("active_flags", ",").alias("active_flags"), "max_window")
+
+
+def q_classes(spark, d):
+    x = F.array(F.col("open") - F.col("close"), F.col("high") - F.col("close"), F.col("close") - F.col("low"))
+    rows = hourly(spark, d).withColumn("scores", F.transform(x, lambda v: v / 10))
+    rows = rows.withColumn("p", K.softmax(F.col("scores")))
+    return r6(rows.select("symbol", "datetime", K.class_of(F.col("scores")).alias("class"), *[F.get("p", F.lit(k)).alias(f"p{k}") for k in range(3)]))
+
+
+def q_gbt(spark, d):
+    features = ["returns", "volatility", "volume_change", "sentiment_combined", "divergence"]
+    parts = X.split_by_position(model_table(spark, d), (0.7, 0.3))
+    model = M.trainer("gbt_regressor", features, "target_return", maxIter=5, maxDepth=3).fit(parts.filter("part = 0"))
+    return r6(model.transform(parts.filter("part = 1")).select("symbol", "datetime", "target_return", "prediction"))
 
 
 def q_seq(spark, d):
@@ -289,5 +378,21 @@ QUERIES: dict[str, Query] = {
     "class_balance": _of(lambda s, d: X.class_balance(model_table(s, d), "target")),
     "class_weights": _of(lambda s, d: X.class_weights(model_table(s, d), "target", 2)),
     "random_forest": q_random_forest,
+    "gradient_boosting": q_gbt,
     "permutation_importance": q_importance,
+    "chunked_evaluation": q_chunked,
+    "parameter_search": q_search,
+    "backtest_v1": q_backtest_v1,
+    "paged_candles": q_paged,
+    "price_lookup": q_price_lookup,
+    "target_lookup": q_target_lookup,
+    "join_indicators": q_join_indicators,
+    "date_range": lambda s, d: K.date_range(hourly_posts(s, d), hourly_comments(s, d)),
+    "final_selection": q_final,
+    "lot_steps": q_lots,
+    "strategy_ids": q_ids,
+    "strategy_analysis": q_analysis,
+    "class_scores": q_classes,
+    "vector_autoregression": _of(lambda s, d: M.vector_autoregression(hourly(s, d), ["close", "volume"], 1, 2)),
+    "votes_estimate": lambda s, d: T.estimated_votes(D.ticks(s, d).select("event_id", (F.col("event_id") % 1000).cast("int").alias("score"), (F.col("event_id") % 11 / 10).alias("upvote_ratio"))).select("event_id", "estimated_upvotes", "estimated_downvotes"),
 }

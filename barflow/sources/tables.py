@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barflow.operators.bars import OHLCV, cast_numbers
@@ -50,7 +50,7 @@ def last_time(spark: SparkSession, path: str, time: str = "datetime"):
 
 
 def append(df: DataFrame, path: str, time: str | None = "datetime", keys: tuple[str, ...] = (), partition_by: tuple[str, ...] = ()) -> int:
-    """Append what is later than the table's last stamp (time), or whose keys it lacks (keys); returns the rows written.
+    """Append what is later than the table's last stamp (time), or whose keys it lacks (keys); returns the rows written, counted while they are.
 
     Lists are kept as arrays; columns may be added (read with mergeSchema).
     """
@@ -61,13 +61,15 @@ def append(df: DataFrame, path: str, time: str | None = "datetime", keys: tuple[
             df = new_rows(df, old, keys)
         elif time and (last := old.agg(F.max(time)).first()[0]) is not None:
             df = df.filter(F.col(time) > F.lit(last))
-    df = df.dropDuplicates(list(keys)) if keys else df
-    df = df.persist()
-    n = df.count()
-    if n:
-        df.write.mode("append").partitionBy(*partition_by).parquet(path)
-    df.unpersist()
-    return n
+    if keys:  # of repeated keys the smallest row by the other columns
+        rest = [c for c, t in df.dtypes if c not in keys and not t.startswith("map")]
+        w = Window.partitionBy(*keys).orderBy(*(rest or keys))
+        df = df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    seen = Observation()
+    if df.isEmpty():
+        return 0
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*partition_by).parquet(path)
+    return seen.get["n"]
 
 
 def new_rows(df: DataFrame, old: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -84,6 +86,26 @@ def lists_to_json(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if f.dataType.typeName() == "array"} or {df.columns[0]: F.col(df.columns[0])})
 
 
+def create_schema(spark: SparkSession, name: str) -> None:
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{name}`")
+
+
+def drop_schema(spark: SparkSession, name: str) -> None:
+    """With all its tables."""
+    spark.sql(f"DROP SCHEMA IF EXISTS `{name}` CASCADE")
+
+
+def with_columns_of(df: DataFrame, old: DataFrame) -> DataFrame:
+    """df in the columns of a table it is to be appended to: what it lacks is null, what it adds comes after them."""
+    kinds = dict(old.dtypes)
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns} or {df.columns[0]: F.col(df.columns[0])}).select(*old.columns, *[c for c in df.columns if c not in kinds])
+
+
+def write_csv(df: DataFrame, path: str, **options) -> None:
+    """Comma-separated with a header, in as many files as there are partitions."""
+    df.write.mode("overwrite").options(header=True, **options).csv(path)
+
+
 def drop_table(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

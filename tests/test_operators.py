@@ -180,3 +180,74 @@ def test_coins(spark):
     df = spark.createDataFrame(rows, "id int, title string, subreddit string")
     assert {(r.coin, r.id) for r in coin_mentions(df, "title", blocked=("memes",)).collect()} == {("bnb", 2), ("btc", 3), ("avax", 4)}
     assert [r.id for r in coin_filter(df, "BTC", "title").orderBy("id").collect()] == [3, 5]
+
+
+def test_vector_autoregression(bars):
+    from barflow.operators.predict import vector_autoregression
+
+    x = np.array([(r.close, r.volume) for r in bars.orderBy("datetime").collect()])
+    a = np.column_stack([np.ones(len(x) - 2), x[1:-1], x[:-2]])
+    beta = np.linalg.lstsq(a, x[2:], rcond=None)[0]
+    one = np.concatenate([[1.0], x[-1], x[-2]]) @ beta
+    two = np.concatenate([[1.0], one, x[-1]]) @ beta
+    got = vector_autoregression(bars, ["close", "volume"], 2, 2).orderBy("step").collect()
+    assert np.allclose([(r.close, r.volume) for r in got], [one, two])
+
+
+def test_profit_of_variants(bars):
+    """Shuffling what the signals come from costs profit, what they do not come from costs none; the search finds the side that wins."""
+    from barflow.operators.backtest import Rules, shuffled
+    from barflow.operators.features import next_bar_targets
+    from barflow.operators.tuning import grid, pnl_importance, search
+
+    rows = next_bar_targets(bars).select("symbol", "datetime", F.col("target_return").alias("x"), F.col("volume").alias("noise"))
+    rules = Rules(take_profit=50.0, stop_loss=50.0, fee=0.0)
+    predict = lambda df: df.withColumn("signals", F.when(F.col("x") > 0, 1).otherwise(-1))
+    got = pnl_importance(rows, ["x", "noise"], predict, bars, rules=rules).collect()
+    assert [r.feature for r in got] == ["x"] and got[0].pnl_drop > 10
+    again = shuffled(rows, ["x"], 1).toPandas()
+    assert sorted(again["x"]) == sorted(rows.toPandas()["x"]) and not np.array_equal(again.sort_values("datetime")["x"], rows.toPandas().sort_values("datetime")["x"])
+    trials = grid(bars.sparkSession, side=[-1.0, 1.0])
+    made = lambda t: rows.join(F.broadcast(t), F.lit(True)).select("trial", "symbol", "datetime", F.when(F.col("x") * F.col("side") > 0, 1).otherwise(-1).alias("signals"))
+    found = {r.trial: r for r in search(trials, made, bars, rules=rules).collect()}
+    assert found[1]["rank"] == 1 and found[0].pruned and found[1].pnl > 0 > found[0].pnl
+
+
+def test_models_are_kept(spark, bars, tmp_path):
+    """A booster learns what a line tells, and is the same after it was saved."""
+    from barflow.operators.predict import load_model, save_model, trainer
+
+    rows = bars.select("datetime", "close", (F.col("close") * 2 + 1).alias("y"))
+    model = trainer("gbt_regressor", ["close"], "y", maxIter=10, maxDepth=4).fit(rows)
+    save_model(model, str(tmp_path / "m"))
+    a, b = (m.transform(rows).select("datetime", "y", "prediction").orderBy("datetime").collect() for m in (model, load_model(str(tmp_path / "m"))))
+    assert a == b and np.mean([abs(r.y - r.prediction) for r in a]) < 0.2 * np.std([r.y for r in a])
+
+
+def test_pages_stop():
+    """Pages meet without a gap or a repeat; an empty page and one without progress end the paging."""
+    from barflow.sources.exchanges import pages, rule_client, to_millis
+
+    whole = list(pages(rule_client, "binance", "AB", "1m", 30_000, 600_000, 10_000))
+    assert whole == list(pages(rule_client, "binance", "AB", "1m", 30_000, 600_000, 3)) and len(whole) == 10
+    assert list(pages(lambda *a: [], "binance", "AB", "1m", 0, 10**9, 5)) == []
+    seconds = lambda s, i, a, e, n: [(t, "1") for t in range(-(-a // 60_000) * 60, e // 1000 + 1, 60)][:n]
+    assert [r[0] for r in pages(seconds, "kraken", "AB", "1m", 0, 300_000, 2)] == [0, 60, 120, 180, 240, 300]
+    assert to_millis("1970-01-02") == 86_400_000 == to_millis("1970-01-02 00:00:00") and to_millis("now", START.replace(tzinfo=dt.timezone.utc)) == int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+
+
+def test_tables(spark, tmp_path):
+    from barflow.sources import tables as D
+
+    D.create_schema(spark, "shelf")
+    spark.range(3).write.mode("overwrite").saveAsTable("shelf.t")
+    assert spark.table("shelf.t").count() == 3
+    D.drop_schema(spark, "shelf")
+    assert "shelf" not in [r.namespace for r in spark.sql("SHOW SCHEMAS").collect()]
+    df = spark.createDataFrame([(1, "a,b", None), (2, 'say "x"', 2.5)], "id int, s string, x double")
+    D.write_csv(df, str(tmp_path / "c"))
+    assert sorted(D.read(spark, str(tmp_path / "c"), "csv", "id int, s string, x double", header=True).collect()) == sorted(df.collect())
+    old = spark.createDataFrame([(1, "a")], "id int, gone string")
+    assert D.with_columns_of(df, old).columns == ["id", "gone", "s", "x"]
+    twice = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "id int, v string")
+    assert D.append(twice, str(tmp_path / "k"), keys=("id",)) == 2 and sorted(r.v for r in spark.read.parquet(str(tmp_path / "k")).collect()) == ["a", "c"]
