@@ -85,16 +85,15 @@ def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
 def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, left: bool = False) -> DataFrame:
     """rows joined with ``table`` (one row a key, a long) without a task for a hot key.
 
-    The at most HOT hot keys' rows of ``table`` are broadcast; rows that have met one are dealt by chance in the
+    The at most HOT hot keys are broadcast with what ``table`` has for them; their rows are dealt by chance in the
     exchange for all others, and every other key holds less than 1/HOT of the rows.
     """
     added = [c for c in table.columns if c != key]
-    both = F.struct(*added)
-    near = table.join(F.broadcast(hot), key, "left_semi").select(F.col(key), both.alias("__near"))
-    far = table.select(F.col(key).alias("__k"), both.alias("__far"))
-    met = rows.join(F.broadcast(near), key, "left")
-    met = met.withColumn("__k", F.when(F.col("__near").isNull(), F.col(key)).otherwise(F.xxhash64(F.monotonically_increasing_id())))
-    met = met.join(far, "__k", "left").withColumn("__both", F.coalesce("__near", "__far"))
+    there = table.select(F.col(key).alias("__k"), F.struct(*added).alias("__far"))
+    near = hot.select(F.col(key).alias("__h")).join(there, F.col("__h") == F.col("__k"), "left").select("__h", F.col("__far").alias("__near"))
+    met = rows.join(F.broadcast(near), F.col(key) == F.col("__h"), "left")
+    met = met.withColumn("__d", F.when(F.col("__h").isNull(), F.col(key)).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    met = met.join(there, F.col("__d") == F.col("__k"), "left").withColumn("__both", F.when(F.col("__h").isNull(), F.col("__far")).otherwise(F.col("__near")))
     met = met if left else met.filter("__both IS NOT NULL")
     return met.select(*rows.columns, *[F.col(f"__both.{c}").alias(c) for c in added])
 

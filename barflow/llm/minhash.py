@@ -11,12 +11,14 @@ signatures agree in a register with the probability Jaccard, here that of the se
 
 128 registers make 32 bands of four: a pair at 0.8 of the sets is missed once in 20
 million, repeated passages or not.
-Texts with equal words are one class, and only classes go on.  A bucket gives one
-edge from each member to its smallest, so the candidate groups are components of
-as many edges as members; within a group all shingle sets meet through the group's
-own index in blocks of bounded size, pairs of at least ``threshold`` Jaccard are
+Texts with equal words are one class, and only classes go on.  Every member of a
+bucket is first verified against the bucket's smallest, in blocks of bounded size: as
+many pairs as members, which joins a large group of near copies in one pass.  What then
+shares a bucket with a text of another class so far is met with all of its candidate
+group through the group's own index, in blocks, but never with its own class, and the
+group's largest class never with itself.  Pairs of at least ``threshold`` Jaccard are
 links, and the links' components are the near-duplicate classes.  No link between
-different texts of a group is lost, and no pair of copies is ever emitted.
+different texts of a bucket is lost, and no pair of copies is ever emitted.
 
 ``docs`` is read twice and its rows are numbered by their place: give a written
 table.  Defined cases: texts that are null or have no word are never duplicates;
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import Scratch, mix, slices, spans_hash, text_buffers, words
+from barflow.llm.common import HOT, Scratch, join_hot, mix, slices, spans_hash, text_buffers, words
 from barflow.llm.components import components
 from barflow.llm.linededup import marked, marks_of
 
@@ -144,20 +146,43 @@ def bags(of_docs, of_classes):
     return run
 
 
+def _bags(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, all shingles) of a group's sets."""
+    bag = table["bag"].combine_chunks()
+    bag = bag.chunk(0) if isinstance(bag, pa.ChunkedArray) else bag
+    return bag.value_lengths().to_numpy(), bag.flatten().to_numpy()
+
+
+def star_links(threshold: float):
+    """The links between a bucket's leader (b) and a block of its members: (a, b)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        c, b = table["c"].to_numpy(), table["b"].to_numpy()
+        n, flat = _bags(table)
+        at = int(np.flatnonzero(c == b)[0])
+        ends = np.cumsum(n)
+        own = np.sort(flat[ends[at] - n[at] : ends[at]])
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat((own[place] == flat).astype(np.int64), ends - n)
+        near = (both >= threshold * (n + n[at] - both) - 1e-9) & (c != b)
+        return pa.table({"a": pa.array(c[near], pa.int64()), "b": pa.array(b[near], pa.int64())})
+
+    return run
+
+
 def links(threshold: float):
-    """The links of a block of a candidate group (or between two blocks), as a forest: (a, b)."""
+    """The links between sets of different classes so far (root) in a block of a candidate group (or between two blocks), as a forest: (a, b)."""
 
     def run(table: pa.Table) -> pa.Table:
         c, side = table["c"].to_numpy(), table["side"].to_numpy()
-        bag = table["bag"].combine_chunks()
-        bag = bag.chunk(0) if isinstance(bag, pa.ChunkedArray) else bag
-        n, flat = bag.value_lengths().to_numpy(), bag.flatten().to_numpy()
+        n, flat = _bags(table)
         cross = table["x"][0] != table["y"][0]
         of = np.repeat(np.arange(len(c)), n)
         _, ids = np.unique(flat, return_inverse=True)
         by = np.argsort(ids, kind="stable")
         docs, starts = of[by], np.searchsorted(ids[by], np.arange(ids.max(initial=-1) + 2))
-        root = np.arange(len(c))
+        _, head, same = np.unique(table["root"].to_numpy(), return_index=True, return_inverse=True)
+        root = head[same]  # one class already: no pair within it is met
 
         def top(k: int) -> int:
             while root[k] != k:
@@ -185,27 +210,59 @@ def links(threshold: float):
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = 128, bands: int = 32, block_rows: int = 1024, block_size: int = 2_000_000) -> DataFrame:
     """(u, d, class_id, kept) of every row of docs (d: long order, u: long row, text)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
+    share = spark.sparkContext.broadcast
     rows = scratch.keep(docs.mapInArrow(sketch(registers, bands), "d long, u long, c long, n int, keys array<long>"))
     found = rows.filter("c <> 0")
-    classes = scratch.keep(found.groupBy("c").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first(F.when(F.size("keys") > 0, F.col("keys")), ignorenulls=True).alias("keys")))
-    buckets = classes.select("c", F.explode("keys").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("c").alias("leader"), F.max("c").alias("other")).filter("leader <> other").select("bucket", "leader")
-    stars = buckets.join(leaders, "bucket").filter("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b"))
-    groups = components(stars, scratch)
-    members = scratch.keep(groups.join(classes.select("c", "d", "n"), F.col("node") == F.col("c")).select("c", "d", "n", F.col("root").alias("comp")))
-    share = spark.sparkContext.broadcast
+    classes = scratch.keep(found.groupBy("c").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.count("*").alias("times"), F.first(F.when(F.size("keys") > 0, F.col("keys")), ignorenulls=True).alias("keys")))
+    hot = lambda counted, key, total: counted.filter(F.col("times") >= max(2, -(-total // HOT))).select(key)
+    in_blocks = F.greatest(F.ceil(F.col("times") / block_rows), F.ceil(F.col("total") / block_size)).cast("int")
+
+    # 1. buckets of more than one class; each member meets the smallest, block by block
+    buckets = classes.select("c", "n", F.explode("keys").alias("bucket"))
+    leaders = buckets.groupBy("bucket").agg(F.min("c").alias("leader"), F.max("c").alias("other"), F.count("*").alias("times")).filter("leader <> other")
+    leaders = scratch.keep(leaders.select("bucket", "leader", "times"))
+    shared = scratch.keep(join_hot(buckets, leaders.select("bucket", "leader"), "bucket", hot(leaders, "bucket", bands * classes.count())))
+    stars = scratch.keep(shared.filter("c <> leader").select("c", "n", F.col("leader").alias("b")).distinct())
+    members = stars.select("c").unionByName(stars.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "d"), "c")
+    members = scratch.keep(members)
     of_docs, of_classes = share(marks_of(members.select("d"))), share(marks_of(members.select("c")))
-    sets = docs.mapInArrow(bags(of_docs, of_classes), "c long, bag array<long>").groupBy("c").agg(F.first("bag").alias("bag"))
-    blocks = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("comp", F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("total") / block_size)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "comp").withColumn("side", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).select("c", "comp", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("c", "comp", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-    edges = dealt.join(sets, "c").groupBy("comp", "x", "y").applyInArrow(links(threshold), "a long, b long")
-    roots = components(edges, scratch)
-    rooted = classes.select("c", "d").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "d", F.coalesce("root", "c").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("d").alias("class_id"))
-    ids = scratch.keep(rooted.join(heads, "root").select("c", "root", "class_id"))
+    sets = scratch.keep(docs.mapInArrow(bags(of_docs, of_classes), "c long, bag array<long>").groupBy("c").agg(F.first("bag").alias("bag")))
+    degree = stars.groupBy("b").agg(F.count("*").alias("times"), F.sum("n").alias("total"))
+    degree = scratch.keep(degree.select("b", "times", in_blocks.alias("blocks")))
+    dealt = join_hot(stars.select("c", "b"), degree.select("b", "blocks"), "b", hot(degree, "b", stars.count())).select("c", "b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("x"))
+    centres = degree.select(F.col("b").alias("c"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    edges = dealt.unionByName(centres).join(sets, "c").groupBy("b", "x").applyInArrow(star_links(threshold), "a long, b long")
+    roots = scratch.keep(components(edges, scratch))
+
+    # 2. what still shares a bucket with another class is met with all others of its candidate group; the group's largest class isn't met with itself
+    own = shared.select("c", "n", "bucket").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    own = scratch.keep(own)
+    mixed = scratch.keep(own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("times")).filter("low <> high").select("bucket", "low", "times"))
+    if not mixed.isEmpty():
+        open_ = scratch.keep(join_hot(own, mixed.select("bucket", "low"), "bucket", hot(mixed, "bucket", own.count())))
+        groups = components(open_.select(F.col("root").alias("a"), F.col("low").alias("b")), scratch)
+        heads = open_.select("c", "n", "root").distinct()
+        placed = heads.groupBy("root").agg(F.count("*").alias("times"), F.sum("n").alias("total")).join(groups.select(F.col("node").alias("root"), F.col("root").alias("comp")), "root")
+        largest = placed.groupBy("comp").agg(F.max(F.struct("times", "root", "total")).alias("top"), F.sum("times").alias("all_times"), F.sum("total").alias("all_total"))
+        size = lambda t, s: F.greatest(F.ceil(t / block_rows), F.ceil(s / block_size)).cast("int")
+        largest = largest.select("comp", F.col("top.root").alias("top"), size(F.col("top.times"), F.col("top.total")).alias("first"), F.greatest(F.lit(1), size(F.col("all_times") - F.col("top.times"), F.col("all_total") - F.col("top.total"))).alias("rest"))
+        plan = scratch.keep(placed.join(largest, "comp").select("root", "times", "comp", (F.col("root") == F.col("top")).alias("is_top"), "first", "rest"))
+        heads = scratch.keep(heads)
+        met = join_hot(heads, plan.drop("times"), "root", hot(plan, "root", heads.count()))
+        met = met.withColumn("side", F.when(F.col("is_top"), F.pmod(F.xxhash64("c"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("c"), F.col("rest"))).cast("int"))
+        others = F.when(F.col("is_top"), F.sequence(F.col("first"), F.col("first") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("first") + F.col("rest") - 1))
+        met = met.select("c", "root", "comp", "side", F.explode(others).alias("other"))
+        met = met.select("c", "root", "comp", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
+        more = met.join(sets, "c").groupBy("comp", "x", "y").applyInArrow(links(threshold), "a long, b long")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
+
+    rooted = scratch.keep(classes.select("c", "d").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "d", F.coalesce("root", "c").alias("root")))
+    first_d = scratch.keep(rooted.groupBy("root").agg(F.min("d").alias("class_id"), F.count("*").alias("times")))
+    ids = scratch.keep(join_hot(rooted.select("c", "root"), first_d.select("root", "class_id"), "root", hot(first_d, "root", rooted.count())))
     firsts = found.groupBy("c").agg(F.min(F.struct("d", "u")).alias("first")).join(ids, "c").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.u").alias("u"), F.lit(True).alias("is_first"))
-    out = rows.select("u", "d", "c").join(ids.select("c", "class_id"), "c", "left").join(firsts, "u", "left")
+    total = rows.count()
+    hot_classes = rows.groupBy("c").agg(F.count("*").alias("times"))  # the empty class (0) too
+    out = join_hot(rows.select("u", "d", "c"), ids.select("c", "class_id"), "c", hot(hot_classes, "c", total), left=True).join(firsts, "u", "left")
     return out.select("u", "d", F.coalesce("class_id", "d").alias("class_id"), (F.coalesce("is_first", F.lit(False)) | (F.col("c") == 0)).alias("kept"))
 
 
