@@ -30,24 +30,28 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts can be long: hand them to Python in batches of so many rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Whole texts can be long: hand them to Python in batches of so many rows, and about so many bytes, at most."""
+    now = int(spark.conf.get(_ROWS))
     if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+        spark.conf.set(_ROWS, str(rows))
+    spark.conf.set(_BYTES, str(size))
 
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """What runs inside hands Python so many rows at once: for rows of a few numbers, where small batches cost more than they hold."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    before, size = spark.conf.get(_ROWS), spark.conf.get(_BYTES)
+    spark.conf.set(_ROWS, str(rows))
+    spark.conf.unset(_BYTES)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_ROWS, before)
+        spark.conf.set(_BYTES, size)
 
 
 class Scratch:
@@ -55,7 +59,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         small_batches(spark)
-        self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/barflow-{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.shared = spark, f"{scratch_root(spark)}/barflow-{name}-{uuid.uuid4().hex}", 0, []
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -65,6 +69,15 @@ class Scratch:
         out._barflow_path = path
         return out
 
+    def share(self, value):
+        """Broadcast a value; ``release`` frees all of them on the executors once nothing lazy uses them."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def release(self) -> None:
+        while self.shared:
+            self.shared.pop().unpersist()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of keep() that nothing lazy still reads."""
         jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

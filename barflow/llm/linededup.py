@@ -67,7 +67,7 @@ def rarity(docs: DataFrame, text: str) -> np.ndarray:
         for batch in slices(batches, text):
             raw, offsets = text_buffers(batch.column(0))
             starts, ends, _ = words(raw, offsets)
-            at = np.sort(spans_hash(raw, starts, ends) & np.uint64(COUNTERS - 1)).astype(np.int64)
+            at = np.sort((spans_hash(raw, starts, ends) & np.uint64(COUNTERS - 1)).astype(np.int32))
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
             n[at[first]] = np.minimum(n[at[first]].astype(np.int64) + np.diff(np.append(first, len(at))), 65535)
         yield from chunked(n)
@@ -88,7 +88,7 @@ def line_words(raw: np.ndarray, offsets: np.ndarray, count: np.ndarray):
     nth = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(line))))
     # by line, count and the hash's high bits in one key; ties of the key are ordered by the hash below
     key = (nth.astype(np.uint64) << np.uint64(40)) | (c.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)  # what is alike in key and hash is one word, so its order is all one
     key, h, nth, c = key[by], h[by], nth[by], c[by]
     if (tie := (key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
         by = np.lexsort((h, key))
@@ -185,7 +185,7 @@ def meet(threshold: float, wanted=None, direct: int | None = None):
             need = np.ceil(threshold / (1 + threshold) * total - 1e-9)  # words that similar lines share
             small = np.minimum(sizes[None, :], sizes[i, None])
             ok &= small >= threshold * np.maximum(sizes[None, :], sizes[i, None]) - 1e-9
-            ok &= np.minimum(sizes[None, :] - p["at"][None, :], sizes[i, None] - p["at"][i, None]) + np.minimum(p["at"][None, :], p["at"][i, None]) >= need
+            ok &= np.minimum(sizes[None, :] - p["at"][None, :], sizes[i, None] - p["at"][i, None]) >= need  # holds at the first word that similar lines share
             far = np.bitwise_count(p["a"][None, :] ^ p["a"][i, None]).astype(np.int64) + np.bitwise_count(p["b"][None, :] ^ p["b"][i, None])
             ok &= far <= total - 2 * need
             r, c = np.nonzero(ok)
@@ -204,16 +204,21 @@ def meet(threshold: float, wanted=None, direct: int | None = None):
     def small(p: dict[str, np.ndarray], start: np.ndarray, n: np.ndarray, out: list) -> None:
         """Many short groups at once: entries k and k + step of a group, for every step."""
         left = np.repeat(n, n) - (np.arange(len(p["set"])) - np.repeat(start, n))
+        size, rest = p["size"], p["size"] - p["at"]
+        crossed = bool(p["cross"].any())
         for step in range(1, int(n.max(initial=1))):
             i = np.flatnonzero(left > step)
+            a, b = size[i], size[i + step]
+            total = a + b
+            # the words that similar lines share: more than the smaller line has, or than are left in either, rules the pair out
+            need = np.ceil(threshold / (1 + threshold) * total - 1e-9)
+            keep = (np.minimum(a, b) >= need) & (np.minimum(rest[i], rest[i + step]) >= need)
+            i, need, total = i[keep], need[keep], total[keep]
             j = i + step
-            ok = (p["set"][i] != p["set"][j]) & ((p["cross"][i] == 0) | (p["side"][i] != p["side"][j]))
-            i, j = i[ok], j[ok]
-            a, b = p["size"][i], p["size"][j]
-            need = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
-            ok = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
-            ok &= np.minimum(a - p["at"][i], b - p["at"][j]) + np.minimum(p["at"][i], p["at"][j]) >= need
-            ok &= np.bitwise_count(p["a"][i] ^ p["a"][j]).astype(np.int64) + np.bitwise_count(p["b"][i] ^ p["b"][j]) <= a + b - 2 * need
+            ok = np.bitwise_count(p["a"][i] ^ p["a"][j]).astype(np.int64) + np.bitwise_count(p["b"][i] ^ p["b"][j]) <= total - 2 * need
+            ok &= p["set"][i] != p["set"][j]
+            if crossed:
+                ok &= (p["cross"][i] == 0) | (p["side"][i] != p["side"][j])
             i, j = i[ok], j[ok]
             after = p["d"][i] > p["d"][j]
             i, j = np.where(after, j, i), np.where(after, i, j)  # j is the later one
@@ -382,7 +387,7 @@ def marks_of(rows: DataFrame) -> np.ndarray:
 def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFrame:
     """(u, line) of every line that goes; docs: d (order), u (row), text."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lines")
-    share = spark.sparkContext.broadcast
+    share = scratch.share
     count = share(rarity(docs, "text"))
     found = scratch.keep(lines(docs, threshold, least, count))
     place = F.struct("d", "u", "line")
@@ -441,6 +446,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> D
         gone = gone.unionByName(late).distinct()
     # one row a set: every line of a set that goes, all but the first of another one
     decided = scratch.keep(firsts.join(gone.withColumn("gone", F.lit(True)), "set", "left").filter("gone OR n > 1").select("set", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
+    scratch.release()
     hot = firsts.filter(F.col("n") >= max(2, -(-found.count() // HOT))).select("set")
     met = join_hot(found.select("set", "d", "u", "line"), decided, "set", hot)
     return met.filter(F.col("gone") | (place > F.col("first"))).select("u", "line")

@@ -207,10 +207,10 @@ def links(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = 128, bands: int = 32, block_rows: int = 1024, block_size: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = 128, bands: int = 32, block_rows: int = 1024, block_size: int = 500_000) -> DataFrame:
     """(u, d, class_id, kept) of every row of docs (d: long order, u: long row, text)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
-    share = spark.sparkContext.broadcast
+    share = scratch.share
     rows = scratch.keep(docs.mapInArrow(sketch(registers, bands), "d long, u long, c long, n int, keys array<long>"))
     found = rows.filter("c <> 0")
     classes = scratch.keep(found.groupBy("c").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.count("*").alias("times"), F.first(F.when(F.size("keys") > 0, F.col("keys")), ignorenulls=True).alias("keys")))
@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = 12
     members = scratch.keep(members)
     of_docs, of_classes = share(marks_of(members.select("d"))), share(marks_of(members.select("c")))
     sets = scratch.keep(docs.mapInArrow(bags(of_docs, of_classes), "c long, bag array<long>").groupBy("c").agg(F.first("bag").alias("bag")))
+    scratch.release()
     degree = stars.groupBy("b").agg(F.count("*").alias("times"), F.sum("n").alias("total"))
     degree = scratch.keep(degree.select("b", "times", in_blocks.alias("blocks")))
     dealt = join_hot(stars.select("c", "b"), degree.select("b", "blocks"), "b", hot(degree, "b", stars.count())).select("c", "b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("x"))
