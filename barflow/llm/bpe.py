@@ -16,7 +16,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from barflow.llm.common import spans_hash, text_buffers
+from barflow.llm.common import give_back, spans_hash, text_buffers
 
 #: Chunks longer than this are encoded each time, so that a cache entry stays small.
 LONGEST_CACHED = 64
@@ -76,7 +76,7 @@ class Table:
 class Encoder:
     """Ids of whole texts for one tokenizer file."""
 
-    def __init__(self, name: str, cache: int = 1 << 20) -> None:
+    def __init__(self, name: str, cache: int = 1 << 18) -> None:
         self.path = resolve(name)
         self.byte_level, self.special, self.near = False, [], None
         if self.path.endswith(".model"):
@@ -256,4 +256,5 @@ def encoder(name: str) -> Encoder:
     """One encoder a worker process and tokenizer."""
     if name not in _OPEN:
         _OPEN[name] = Encoder(name)
+        give_back()  # of the file's text and its parsed form
     return _OPEN[name]

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 pa.set_memory_pool(pa.system_memory_pool())  # an own pool keeps what it has had
 _TRIM = [ctypes.CDLL(None).malloc_trim] if hasattr(ctypes.CDLL(None), "malloc_trim") else []
+if hasattr(ctypes.CDLL(None), "mallopt"):  # else the C library keeps arrays of up to 32 MB, and twice that of free memory, once it has had them
+    ctypes.CDLL(None).mallopt(-3, 4 << 20)  # larger ones are mapped, and go back when they are freed
+    ctypes.CDLL(None).mallopt(-1, 16 << 20)  # so much free memory is kept
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -223,4 +226,6 @@ def dense_total(rows: DataFrame, dtype: str, size: int, into: str, union: bool =
     got = rows.repartition(8, "chunk").mapInArrow(add, "chunk int, data binary").toArrow()
     for k, data in zip(got["chunk"].to_pylist(), got["data"], strict=True):
         out[k * step : (k + 1) * step] = np.frombuffer(data.as_buffer(), out.dtype)
+    del got
+    give_back()
     return out

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barflow.llm.common import Scratch, slices, small_batches, text_buffers
+from barflow.llm.common import Scratch, give_back, slices, small_batches, text_buffers
 
 BITS = 16
 NONE = 1 << BITS  # the column of what is no n-gram
@@ -254,6 +254,8 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_class: i
     held = [(x @ w[a], y) for k in range(parts) for h, (a, x, y) in (only or read(k)) if held_back(h)]
     heat = temperature(np.array([x for x, _ in held]), np.array([y for _, y in held])) if held else 1.0
     w[:NONE] *= idf[:NONE, None].astype(np.float32)
+    del model, only, held
+    give_back()
     return Model(classes, w, heat)
 
 

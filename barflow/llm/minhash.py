@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import HOT, Scratch, join_hot, mix, slices, spans_hash, text_buffers, words
+from barflow.llm.common import HOT, Scratch, give_back, join_hot, mix, slices, spans_hash, text_buffers, words
 from barflow.llm.components import components
 from barflow.llm.linededup import marked, marks_of
 
@@ -165,6 +165,9 @@ def star_links(threshold: float):
         place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
         both = np.add.reduceat((own[place] == flat).astype(np.int64), ends - n)
         near = (both >= threshold * (n + n[at] - both) - 1e-9) & (c != b)
+        if len(flat) > 1 << 18:
+            del flat, place
+            give_back()
         return pa.table({"a": pa.array(c[near], pa.int64()), "b": pa.array(b[near], pa.int64())})
 
     return run
