@@ -41,7 +41,8 @@ _MULTIPLY = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 def kinds() -> np.ndarray:
     """Of each code point: 2 for a letter, 1 for a mark, 0 for all else."""
     if not _LETTER:
-        _LETTER.append(np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(k))[0], 0) for k in range(0x110000)], np.uint8))
+        first = np.frombuffer("".join(map(unicodedata.category, map(chr, range(0x110000)))).encode(), np.uint8)[::2]
+        _LETTER.append((first == ord("L")) * np.uint8(2) + (first == ord("M")))
     return _LETTER[0]
 
 
@@ -239,6 +240,8 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_class: i
     made = drawn.mapInArrow(vectors("__text"), "label string, h long, at array<int>, n array<int>")
     rows = scratch.keep(made.groupBy("label", "h").agg(F.first("at").alias("at"), F.first("n").alias("n")))
     count, terms = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("at").cast("long")), F.lit(0))).first()
+    if not terms:
+        return None
     parts = max(1, -(-terms // PART))
     read = lambda k: to_samples(rows.filter(F.pmod("h", F.lit(parts)) == k).toArrow(), idf, classes)
     held_back = lambda h: h // parts % 5 == 0 and count >= 50
@@ -248,8 +251,6 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_class: i
             fit = [x for h, x in (only or read(k)) if not held_back(h)]
             for j in rng.permutation(len(fit)):
                 model.learn(fit[j])
-    if not model.n.any():
-        return None
     w = model.matrix()
     held = [(x @ w[a], y) for k in range(parts) for h, (a, x, y) in (only or read(k)) if held_back(h)]
     heat = temperature(np.array([x for x, _ in held]), np.array([y for _, y in held])) if held else 1.0

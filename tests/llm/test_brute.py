@@ -222,17 +222,3 @@ def test_chunks_encode_alike():
     n, ids = e.encode(pa.array(texts))
     want = e.library([t or "" for t in texts])
     assert ids.tolist() == [x for w in want for x in w] and n.tolist() == e.count(pa.array(texts)).tolist() == [len(w) for w in want]
-
-
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = docs.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, SF)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == names
-        out.write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-        assert docs.count() > 0
