@@ -244,15 +244,16 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_class: i
         return None
     parts = max(1, -(-terms // PART))
     read = lambda k: to_samples(rows.filter(F.pmod("h", F.lit(parts)) == k).toArrow(), idf, classes)
-    held_back = lambda h: h // parts % 5 == 0 and count >= 50
+    least = [sizes[c][1] for c in classes]
+    held_back = lambda h, y: h // parts % 5 == 0 and count >= 50 and h != least[y]  # noqa: E731 (a language's first text is always learned from)
     model, rng, only = Ftrl(len(classes)), np.random.default_rng(seed), read(0) if parts == 1 else None
     for _ in range(EPOCHS):
         for k in rng.permutation(parts).tolist():
-            fit = [x for h, x in (only or read(k)) if not held_back(h)]
+            fit = [x for h, x in (only or read(k)) if not held_back(h, x[2])]
             for j in rng.permutation(len(fit)):
                 model.learn(fit[j])
     w = model.matrix()
-    held = [(x @ w[a], y) for k in range(parts) for h, (a, x, y) in (only or read(k)) if held_back(h)]
+    held = [(x @ w[a], y) for k in range(parts) for h, (a, x, y) in (only or read(k)) if held_back(h, y)]
     heat = temperature(np.array([x for x, _ in held]), np.array([y for _, y in held])) if held else 1.0
     w[:NONE] *= idf[:NONE, None].astype(np.float32)
     del model, only, held

@@ -153,7 +153,8 @@ def test_language_brute(spark):
             df_[k] = df_.get(k, 0) + 1
     idf = lambda k: math.log((1 + len(rows)) / (1 + df_.get(k, 0))) + 1
     order = sorted(range(len(rows)), key=lambda k: rows[k][:2])
-    fit, held = ([k for k in order if (rows[k][0] % 5 == 0 and len(rows) >= 50) == side] for side in (False, True))
+    first = {c: min(h for h, x, _ in rows if x == c) for c in words}
+    fit, held = ([k for k in order if (rows[k][0] % 5 == 0 and len(rows) >= 50 and rows[k][0] != first[rows[k][1]]) == side] for side in (False, True))
     value = lambda c: {**{k: n / sum(c.values()) * idf(k) * L.SCALE for k, n in c.items()}, L.NONE: 1.0}
     z, n, rng = {}, {}, np.random.default_rng(7)
 
