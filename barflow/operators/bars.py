@@ -49,10 +49,11 @@ def first_of(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> Da
 
 def fill(df: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ("symbol",), time: str = "datetime", backward: bool = True) -> DataFrame:
     """The last known value, else (backward) the next."""
-    # looking ahead is looking back in reverse order: a frame that ends unbounded would be walked anew for every row
-    past, ahead = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(time), F.desc(time)))
-    known = lambda c, w: F.last(c, ignorenulls=True).over(w)
-    one = lambda c: F.coalesce(known(c, past), known(c, ahead)) if backward else known(c, past)
+    # once the last known value is taken only a series' head is open, and there the next one is the series' first: same order, no second sort
+    order = Window.partitionBy(*keys).orderBy(time)
+    past, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = lambda c: F.last(c, ignorenulls=True).over(past)
+    one = lambda c: F.coalesce(known(c), F.first(c, ignorenulls=True).over(whole)) if backward else known(c)
     return df.withColumns({c: one(c) for c in columns})
 
 
