@@ -11,9 +11,10 @@ table of nodes tell which are full and what the rest get.
 
 A leaf with budget b of its a tokens gives floor(b / a) whole epochs and, of the
 next one, the prefix of its documents in the order of a seeded hash whose tokens fit
-into the rest.  The cut of that prefix is found by summing tokens in hash ranges
-first and ordering single documents only within the range that holds the cut, so a
-source with a third of all rows is never one task.
+into the rest.  The cut of that prefix is found by summing tokens in 256 hash ranges
+of a leaf, then in 256 parts of the range that holds the cut, and ordering single
+documents only within the part that holds it: one in 65,536 of a leaf's.  So a source
+with a third of all rows is never one task.
 
 Tokens are words (runs of other than ASCII white space), at least one a document.
 Defined cases: a null text is an empty one; a null tree value is a value of its own;
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from barflow.llm.common import Scratch
 
-RANGES = 4096  # hash ranges of a leaf
+DIGITS = 2  # of a hash that a step towards the cut tells apart: 256 ranges of a leaf, then 256 parts of one
+STEPS = 2
 
 
 def words_of(text: Column) -> Column:
@@ -74,16 +76,19 @@ def selection(docs: DataFrame, levels: dict[str, Column], key: str, text: str, w
     rows = scratch.keep(docs.select(*[F.coalesce(c.cast("string"), F.lit("\0")).alias(n) for n, c in levels.items()], F.col(f"`{key}`").alias("id"), words_of(F.col(f"`{text}`")).alias("tokens")))
     leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     quotas = scratch.keep(budgets(leaves, names, weights, total, max_epochs).withColumn("epochs", F.expr("cast(quota div tokens as int)")).withColumn("rest", F.expr("quota % tokens")))
-    placed = rows.join(quotas.filter("rest > 0").select(*names, "epochs", "rest"), names).withColumn("h", order_of(F.col("id"), F.col("epochs"), seed)).withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
-    sums = placed.groupBy(*names, "range").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"))
-    along = Window.partitionBy(*names).orderBy("range")
-    sums = sums.withColumn("upto", F.sum("tokens").over(along)).withColumn("before", F.col("upto") - F.col("tokens"))
-    cut = sums.filter("before <= rest AND upto > rest").select(*names, "range", "before")
-    inside = placed.join(cut, [*names, "range"]).groupBy(*names, "range", "h").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"), F.max("before").alias("before"))
-    along = Window.partitionBy(*names, "range").orderBy("h")
+    open_ = rows.join(quotas.filter("rest > 0").select(*names, "epochs", "rest"), names).withColumn("h", order_of(F.col("id"), F.col("epochs"), seed)).withColumn("before", F.lit(0).cast("long"))
+    for step in range(1, STEPS + 1):
+        dealt = open_.withColumn("range", F.substring("h", 1, DIGITS * step))
+        sums = dealt.groupBy(*names, "range").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+        along = Window.partitionBy(*names).orderBy("range")
+        sums = sums.withColumn("upto", F.col("before") + F.sum("tokens").over(along)).withColumn("before", F.col("upto") - F.col("tokens"))
+        cut = scratch.keep(sums.filter("before <= rest AND upto > rest").select(*names, "range", "before"))
+        open_ = dealt.drop("before").join(cut, [*names, "range"])
+    inside = open_.groupBy(*names, "h").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+    along = Window.partitionBy(*names).orderBy("h")
     last = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(along)).filter("upto <= rest").groupBy(*names).agg(F.max("h").alias("last"))
     # if nothing of the cut's range fits, the prefix ends with the range before it
-    ends = cut.select(*names, F.lpad(F.lower(F.hex("range")), 3, "0").alias("floor"))
+    ends = cut.select(*names, F.col("range").alias("floor"))
     return quotas.join(last, names, "left").join(ends, names, "left").select(*names, "quota", "epochs", F.coalesce("last", "floor").alias("last"))
 
 
