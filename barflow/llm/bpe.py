@@ -78,33 +78,41 @@ class Encoder:
 
     def __init__(self, name: str, cache: int = 1 << 18) -> None:
         self.path = resolve(name)
-        self.byte_level, self.special, self.near = False, [], None
+        self.byte_level, self.special, self.near, self._library = False, [], None, None
         if self.path.endswith(".model"):
             import sentencepiece
 
             piece = sentencepiece.SentencePieceProcessor(model_file=self.path)
-            self.library = lambda texts: piece.encode(texts, num_threads=1)
+            self._library = lambda texts: piece.encode(texts, num_threads=1)
         else:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer
-
             said = json.loads(open(self.path, encoding="utf-8").read())
             pre = said.get("pre_tokenizer") or {}
             self.byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and not said.get("truncation") and not said.get("padding")
             self.special = [x["content"].encode() for x in said.get("added_tokens", [])]
-            whole = Tokenizer.from_file(self.path)
-            self.library = lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
-            if self.byte_level and os.path.exists(ranks := self.path.removesuffix(".json") + ".tiktoken"):
-                self._alike(ranks, said["model"]["vocab"])
+            ranks = self.path.removesuffix(".json") + ".tiktoken"
+            size = sum(k.encode() not in self.special for k in said["model"]["vocab"]) if self.byte_level and os.path.exists(ranks) else 0
+            del said  # before the next library reads its file
+            if size:
+                self._alike(ranks, size)
         self.caches = {ids: Table(ids, cache) for ids in (False, True)}
 
-    def _alike(self, ranks: str, vocab: dict) -> None:
+    def library(self, texts: list[str]) -> list[list[int]]:
+        """Ids by the tokenizer's own library, which is opened when a text first needs it."""
+        if self._library is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(self.path)
+            self._library = lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        return self._library(texts)
+
+    def _alike(self, ranks: str, size: int) -> None:
         """The same vocabulary in a second library; used for texts of Latin letters only, where both read the pattern alike."""
         import public_tokenizers
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
-        if len(table) == len({k for k in vocab if k.encode() not in self.special}):
+        if len(table) == size:
             self.near = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             self.width = np.zeros(max(table.values()) + 1, np.int64)
             self.width[list(table.values())] = [len(k) for k in table]
