@@ -116,6 +116,8 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, left:
 
 def give_back() -> None:
     """Return freed memory to the system: a worker process lives on, and its next task may be another operator's."""
+    if any(len(x) > LARGEST_KEPT for x in _POWERS.values()):  # a very long text's
+        _POWERS.clear()
     pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM[0](0)
@@ -151,13 +153,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
+POWERS_STEP, LARGEST_KEPT = 1 << 18, 1 << 21  # entries: tables grow by so many; larger ones go at a task's end
 
 
 def _powers(n: int, inverse: bool) -> np.ndarray:
     key = "i" if inverse else "p"
     if key not in _POWERS or len(_POWERS[key]) < n:
         base = pow(_P, -1, 1 << 64) if inverse else _P
-        _POWERS[key] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20), base, np.uint64)]).astype(np.uint64))
+        table = np.full((n // POWERS_STEP + 1) * POWERS_STEP, base, np.uint64)
+        table[0] = 1
+        _POWERS[key] = np.cumprod(table, out=table)
     return _POWERS[key][:n]
 
 

@@ -46,6 +46,7 @@ DIRECT = 4096  # a larger group is met in blocks
 BLOCK = 2048
 NAMED = 4
 GATHER = 50_000  # postings that are met at once
+SLICE = 1 << 18  # bytes of text at once: what is made of them takes some fifty times as much
 _STEPS = 4  # counters above 127 keep a quarter of an octave
 
 
@@ -64,7 +65,7 @@ def rarity(docs: DataFrame, text: str) -> np.ndarray:
 
     def count(batches):
         n = np.zeros(COUNTERS, np.uint16)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             raw, offsets = text_buffers(batch.column(0))
             starts, ends, _ = words(raw, offsets)
             at = np.sort((spans_hash(raw, starts, ends) & np.uint64(COUNTERS - 1)).astype(np.int32))
@@ -119,7 +120,7 @@ def lines(docs: DataFrame, threshold: float, least: int, count) -> DataFrame:
 
     def run(batches):
         seen: dict[int, int] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             raw, offsets = text_buffers(batch.column(2))
             h, nth, first, of, number, c = line_words(raw, offsets, count.value)
             if not len(first):
@@ -415,7 +416,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> D
             told: set[int] = set()
             for batch in batches:
                 batch = batch.filter(pa.array(marked(of_docs.value, batch.column(0).to_numpy())))
-                for part in slices(iter([batch]), "text"):
+                for part in slices(iter([batch]), "text", SLICE):
                     raw, offsets = text_buffers(part.column(2))
                     h, _, first, _, _, _ = line_words(raw, offsets, count.value)
                     sets = set_hashes(h, first)

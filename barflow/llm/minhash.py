@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from barflow.llm.common import HOT, Scratch, give_back, join_hot, mix, slices, spans_hash, text_buffers, words
 from barflow.llm.components import components
-from barflow.llm.linededup import marked, marks_of
+from barflow.llm.linededup import SLICE, marked, marks_of
 
 _LOW48 = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0xD1B54A32D192ED03)
@@ -106,7 +106,7 @@ def sketch(registers: int, bands: int):
 
     def run(batches):
         seen: set[int] = set()
-        for whole in slices(batches, "text"):
+        for whole in slices(batches, "text", SLICE):
             for s in range(0, whole.num_rows, 1 << 15):
                 batch = whole.slice(s, 1 << 15)
                 shingle, of, _, c = shingles(*text_buffers(batch.column(2)))
@@ -134,7 +134,7 @@ def bags(of_docs, of_classes):
         told: set[int] = set()
         for batch in batches:
             batch = batch.filter(pa.array(marked(of_docs.value, batch.column(0).to_numpy())))
-            for whole in slices(iter([batch]), "text"):
+            for whole in slices(iter([batch]), "text", SLICE):
                 for s in range(0, whole.num_rows, 1 << 15):
                     part = whole.slice(s, 1 << 15)
                     shingle, of, _, c = shingles(*text_buffers(part.column(2)))
