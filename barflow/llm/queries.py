@@ -75,7 +75,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"], limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ppm_scores, op3_source_mix, op4_best_fit_packing, op5_line_dedup, op6_language_id, op7_exact_top_k, op8_near_duplicates, op9_secret_scan, op10_token_counts)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barflow.llm.audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_fingerprints, op2_ppm_scores, op3_source_mix, op4_best_fit_packing, op5_line_dedup, op6_language_id, op7_exact_top_k, op8_near_duplicates, op9_secret_scan, op10_token_counts, op13_filter_audit)
+}
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mix": """
         WITH docs AS (
@@ -129,4 +138,43 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op13_filter_audit": """
+        WITH words AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), counted AS (
+            SELECT doc_id, part, text, len(w) AS n, len(list_distinct(w)) AS d, length(text) AS chars, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals FROM words
+        ), firsts AS (
+            SELECT text, min(doc_id) AS first_id FROM counted GROUP BY text
+        ), marks AS (
+            SELECT doc_id, coalesce(max(CAST(quality = 1 AS INTEGER)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INTEGER)), 0) AS toxic FROM labels GROUP BY doc_id
+        ), fails AS (
+            SELECT part, CAST(n < 50 AS INTEGER) + 2 * CAST(100 * d < 65 * n AS INTEGER) + 4 * CAST(100 * capitals > 5 * chars AS INTEGER)
+                   + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(counted.doc_id > first_id, FALSE) AS INTEGER) AS mask,
+                   coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+            FROM counted JOIN firsts USING (text) LEFT JOIN marks ON counted.doc_id = marks.doc_id
+        ), hist AS (
+            SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, mask
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+        ), steps AS (
+            SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0) AS prior FROM orders, (SELECT unnest(range(1, 6)) AS step)
+        ), counts AS (
+            SELECT part, filter_order, step, own,
+                   sum(CASE WHEN mask & CAST(prior + own AS INTEGER) = 0 THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN mask & CAST(prior AS INTEGER) = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN mask & CAST(prior AS INTEGER) <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN mask & CAST(prior AS INTEGER) = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN mask & CAST(prior AS INTEGER) = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM hist, steps GROUP BY ALL
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM counts
+    """,
 }
