@@ -75,6 +75,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"], limit=1024)
 
 
+def op11_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barflow.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+HOUR = 3_600_000_000
+
+
+def op12_tolerant_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barflow.llm.asof import micros, once, tolerant_asof
+
+    hashed = lambda c: F.crc32(F.col(c).cast("string"))
+    floored = lambda t, h: F.when(h % 2 == 1, t - F.pmod(t, F.lit(HOUR))).otherwise(t)
+    clicks, sales = table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales")
+    events = once(clicks.select("click_id", micros(clicks, "ts").alias("t"), "client_id"), "click_id", "t", "client_id")
+    events = events.select(F.col("client_id").alias("client"), floored(F.col("t"), hashed("click_id")).alias("t"), F.col("click_id").alias("event_id"))
+    total = F.when(~F.isnan("total") & (F.abs("total") != float("inf")), F.floor(100 * F.col("total") + 0.5))
+    orders = sales.select(F.col("client_id").alias("client"), floored(micros(sales, "sold_at"), hashed("sale_id")).alias("t"), hashed("sale_id").alias("h"), "sale_id", F.col("priority").cast("long").alias("priority"), total.alias("value"))
+    own, second = F.struct("sale_id", "priority"), F.struct((-1 - F.col("sale_id")).alias("sale_id"), (6 - F.col("priority")).alias("priority"))
+    orders = orders.select("client", "t", "value", F.explode(F.when(F.col("h") % 3 != 0, F.array(own, second)).otherwise(F.array(own))).alias("o"))
+    found = tolerant_asof(events, orders.select("client", "t", F.col("o.sale_id").alias("order_id"), F.col("o.priority").alias("priority"), "value"), 240 * HOUR)
+    names = {"event_id": "click_id", "client": "client_id", "t": "ts_us", "order_id": "sale_id", "lag": "lag_us", "value": "total_cents"}
+    return found.withColumnsRenamed(names)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barflow.llm.audit import filter_audit
 
@@ -83,7 +109,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_ppm_scores, op3_source_mix, op4_best_fit_packing, op5_line_dedup, op6_language_id, op7_exact_top_k, op8_near_duplicates, op9_secret_scan, op10_token_counts, op13_filter_audit)
+    for f in (op1_fingerprints, op2_ppm_scores, op3_source_mix, op4_best_fit_packing, op5_line_dedup, op6_language_id, op7_exact_top_k, op8_near_duplicates, op9_secret_scan, op10_token_counts, op11_simhash_components, op12_tolerant_asof, op13_filter_audit)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mix": """
@@ -138,6 +164,35 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op12_tolerant_asof": """
+        WITH crc AS (
+            SELECT list_transform(range(0, 256), lambda i: list_reduce([CAST(i AS BIGINT)] || list_transform(range(0, 8), lambda z: CAST(0 AS BIGINT)),
+                   lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS cells
+        ), click AS (
+            SELECT click_id, min(struct_pack(t := epoch_us(ts), client := client_id)) AS x FROM clicks GROUP BY click_id
+        ), click_hash AS (
+            SELECT click_id, x.t AS t, x.client AS client_id,
+                   xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(click_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda c, b: xor(c >> 8, cells[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS h
+            FROM click, crc
+        ), event AS (
+            SELECT click_id, client_id, CASE WHEN h % 2 = 1 THEN CAST(floor(t / 3600000000.0) AS BIGINT) * 3600000000 ELSE t END AS t FROM click_hash
+        ), sale_hash AS (
+            SELECT sale_id, client_id, epoch_us(sold_at) AS t, CAST(priority AS BIGINT) AS priority, CAST(floor(100 * total + 0.5) AS BIGINT) AS cents,
+                   xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda c, b: xor(c >> 8, cells[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS h
+            FROM sales, crc
+        ), first_order AS (
+            SELECT sale_id, client_id, CASE WHEN h % 2 = 1 THEN CAST(floor(t / 3600000000.0) AS BIGINT) * 3600000000 ELSE t END AS t, priority, cents, h FROM sale_hash
+        ), orders AS (
+            SELECT sale_id, client_id, t, priority, cents FROM first_order UNION ALL SELECT -1 - sale_id, client_id, t, 6 - priority, cents FROM first_order WHERE h % 3 <> 0
+        ), tied AS (
+            SELECT client_id, t, first(struct_pack(sale_id := sale_id, cents := cents) ORDER BY priority ASC NULLS LAST, sale_id DESC NULLS LAST, cents ASC NULLS LAST) AS best, count(*) AS n
+            FROM orders WHERE client_id IS NOT NULL AND t IS NOT NULL GROUP BY client_id, t
+        )
+        SELECT click_id, e.client_id AS client_id, e.t AS ts_us,
+               CASE WHEN e.t - g.t <= 864000000000 THEN g.best.sale_id END AS sale_id, CASE WHEN e.t - g.t <= 864000000000 THEN e.t - g.t END AS lag_us,
+               CASE WHEN e.t - g.t <= 864000000000 THEN g.best.cents END AS total_cents, CASE WHEN e.t - g.t <= 864000000000 THEN g.n ELSE 0 END AS n_tied
+        FROM event e ASOF LEFT JOIN tied g ON e.client_id = g.client_id AND e.t >= g.t
+    """,
     "op13_filter_audit": """
         WITH words AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
