@@ -2,68 +2,84 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The patterns and words of the cleaning rules.
-REMOVED = r"(?i)^\s*\[(?:deleted|removed|dead|unavailable)\]\s*$"
-BOT = r"(?is)(?:i am a bot[,\s].*?(?:contact the moderators|modmail)|this action was performed automatically|please contact the moderators|if you have any questions.*?message the mods|^bot\s*\||automoderator|i'm a bot\b)"
-URL = r"(?i)http[s]?://\S+|www\.\S+|\[.*?\]\(https?://\S+\)"
-ENTITY = r"&(?:#\d+|[a-zA-Z]+);"
+# White space, and what a word is made of, as the rules mean them: of all scripts, spelled out so that no engine's own idea of \\s and \\b counts.
+WS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE, SOLID = f"[{WS}]", f"[^{WS}]"
+BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+# The patterns and words of the cleaning rules. (?iu): either case in all scripts; (?d): only \n ends a line.
+REMOVED = rf"(?iud)^{SPACE}*\[(?:deleted|removed|dead|unavailable)\]{SPACE}*$"
+BOT = rf"(?iusd)(?:i am a bot[,{WS}].*?(?:contact the moderators|modmail)|this action was performed automatically|please contact the moderators|if you have any questions.*?message the mods|^bot{SPACE}*\||automoderator|i'm a bot{END})"
+URL = rf"(?iud)http[s]?://{SOLID}+|www\.{SOLID}+|\[.*?\]\(https?://{SOLID}+\)"
+ENTITY = r"&(?:#\p{Nd}+|[a-zA-Z]+);"
 TAG = r"<[^>]+>"
-MODERATOR = r"(?i)(?:please read our.*?rules|this is not financial advice|^reminder[:\s].*?rules|not your keys[,\s]+not your coins?|do your own research[\s.!]*dyor)"
-FILLER = r"(?i)^(?:ok|okay|lol|lmao|lmfao|haha|hehe|yep|yup|nope|nah|yes|no|wow|same|nice|true|k|ty|thx|thanks|np|gg|rip|f|oof|meh|hmm|smh|ikr|idk|imo|tbh|irl|omg|omfg|wtf|ffs|fml|bruh|bro|dude|ditto|based|cringe)$"
-TICKER = r"\$([A-Z]{2,10})\b"
-REPEAT = r"(.)\1{4,}"
+MODERATOR = rf"(?iud)(?:please read our.*?rules|this is not financial advice|^reminder[:{WS}].*?rules|not your keys[,{WS}]+not your coins?|do your own research[{WS}.!]*dyor)"
+FILLER = r"(?iud)^(?:ok|okay|lol|lmao|lmfao|haha|hehe|yep|yup|nope|nah|yes|no|wow|same|nice|true|k|ty|thx|thanks|np|gg|rip|f|oof|meh|hmm|smh|ikr|idk|imo|tbh|irl|omg|omfg|wtf|ffs|fml|bruh|bro|dude|ditto|based|cringe)$"
+TICKER = rf"\$([A-Z]{{2,10}}){END}"
+REPEAT = r"(?d)(.)\1{4,}"
 EMOJI = r"[\x{2600}-\x{27BF}\x{1F300}-\x{1F9FF}\x{2700}-\x{27BF}\x{1FA00}-\x{1FA9F}\x{2500}-\x{2BEF}]"
-CAPS_WORD = r"\b[A-Z]{2,}\b"
+CAPS_WORD = rf"{BEGIN}[A-Z]{{2,}}{END}"
 INTENSE = r"[!?]{2,}"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&rsquo;": "’", "&lsquo;": "‘", "&#x200B;": " "}
+PUNCTUATION = r"[!?.,;:]"
+#: What an entity stands for; any other is a space.
+ENTITIES = {
+    "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–",
+    "&hellip;": "…", "&rsquo;": "'", "&lsquo;": "'", "&rdquo;": '"', "&ldquo;": '"',
+}
 #: Markdown in order: pattern and replacement.
+CODE, BOLD, HEADER = r"(?s)```.*?```", r"(?d)\*{1,3}(.*?)\*{1,3}", rf"(?md)^#{{1,6}}{SPACE}+"
 MARKDOWN = (
-    (r"(?s)```.*?```", " "),
+    (CODE, " "),
     (r"`[^`]+`", " "),
-    (r"\*{1,3}(.*?)\*{1,3}", "$1"),
-    (r"~~(.*?)~~", "$1"),
-    (r"(?m)^#{1,6}\s+", ""),
-    (r"(?m)^>+\s?", ""),
-    (r"(?m)^[-*_]{3,}\s*$", ""),
-    (r"(?m)^\|?[-| :]+\|$", ""),
+    (BOLD, "$1"),
+    (r"(?d)~~(.*?)~~", "$1"),
+    (HEADER, ""),
+    (rf"(?md)^>+{SPACE}?", ""),
+    (rf"(?md)^[-*_]{{3,}}{SPACE}*$", " "),
+    (r"(?md)^\|?[-| :]+\|$", " "),
 )
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
 def is_noise(x: Column) -> Column:
     """Deleted placeholders and bot notices."""
     return x.rlike(REMOVED) | x.rlike(BOT)
 
 
-def decode_entities(x: Column) -> Column:
-    """Known entities once, unknown ones to a space, the ampersand last so that nothing is decoded twice."""
-    for entity, plain in ENTITIES.items():
-        x = F.replace(x, F.lit(entity), F.lit(plain))
-    x = F.regexp_replace(x, r"&(?!amp;)(?:#\d+|[a-zA-Z]+);", " ")
-    return F.replace(x, F.lit("&amp;"), F.lit("&"))
-
+def _each(x: Column, pattern: str, group: int, value: Callable[[Column], Column]) -> Column:
+    """Every match of a pattern replaced by what its group stands for, in one scan: what comes out is not read again."""
+    gaps, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(group))
 
-def expand_prices(x: Column) -> Column:
-    """50k to 50000, 2.5M to 2500000: the text is cut at the prices and joined again with their values."""
-    for pattern, factor in ((r"\$?([\d,]+\.?\d*)[kK]\b", 1_000), (r"\$?([\d,]+\.?\d*)[mM]\b", 1_000_000)):
-        x = _replaced(x, pattern, factor)
-    return x
+    def one(gap: Column, i: Column) -> Column:
+        return F.when(F.get(found, i).isNotNull(), F.array(gap, value(F.get(found, i)))).otherwise(F.array(gap))
 
+    return F.array_join(F.flatten(F.transform(gaps, one)), "")
 
-def _replaced(x: Column, pattern: str, factor: int) -> Column:
-    gaps, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
 
-    def value(v: Column) -> Column:
-        return F.coalesce((F.regexp_replace(v, ",", "").try_cast("double") * factor).cast("decimal(38,0)").cast("string"), v)
+def decode_entities(x: Column) -> Column:
+    """Known entities to their characters, unknown ones to a space, in one scan: ``&amp;lt;`` gives ``&lt;``."""
+    table = F.create_map(*[F.lit(v) for kv in ENTITIES.items() for v in kv])
+    return F.when(x.contains("&"), _each(x, ENTITY, 0, lambda e: F.coalesce(F.try_element_at(table, e), F.lit(" ")))).otherwise(x)
 
-    def one(gap: Column, i: Column) -> Column:
-        return F.when(F.get(found, i).isNotNull(), F.array(gap, value(F.get(found, i)))).otherwise(F.array(gap))
 
-    return F.array_join(F.flatten(F.transform(gaps, one)), "")
+def expand_prices(x: Column) -> Column:
+    """50k to 50000, 2.5M to 2500000: the text is cut at the prices and joined again with their values."""
+    for pattern, factor in ((rf"\$?([\d,]+\.?\d*)[kK]{END}", 1_000), (rf"\$?([\d,]+\.?\d*)[mM]{END}", 1_000_000)):
+        value = lambda v, by=factor: F.coalesce((F.regexp_replace(v, ",", "").try_cast("double") * by).cast("decimal(38,0)").cast("string"), v)
+        x = _each(x, pattern, 1, value)
+    return x
 
 
 def strip_markdown(x: Column) -> Column:
@@ -73,14 +89,13 @@ def strip_markdown(x: Column) -> Column:
 
 
 def collapse(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return strip(F.regexp_replace(x, f"{SPACE}+", " "))
 
 
 def clean_steps(x: Column, tickers: bool = True, prices: bool = False) -> list[Column]:
     """The cleaning as stages for one projection after another (each names the stage before it ``__clean``)."""
     c = F.col("__clean")
-    first = F.when(is_noise(F.trim(F.coalesce(x, F.lit("")))), "").otherwise(F.trim(F.coalesce(x, F.lit(""))))
-    steps = [first, F.regexp_replace(decode_entities(c), TAG, " "), F.regexp_replace(c, URL, "[URL]"), strip_markdown(c), F.regexp_replace(c, MODERATOR, " ")]
+    steps = [strip(F.coalesce(x, F.lit(""))), F.when(is_noise(c), "").otherwise(c), F.regexp_replace(decode_entities(c), TAG, " "), F.regexp_replace(c, URL, "[URL]"), strip_markdown(c), F.regexp_replace(c, MODERATOR, " ")]
     if tickers:
         steps.append(F.regexp_replace(c, TICKER, "$1"))
     if prices:
@@ -95,36 +110,36 @@ def shorten(x: Column, most: int) -> Column:
     return F.when(F.length(x) > most, F.regexp_replace(F.substring(x, 1, most), r" [^ ]*$", "")).otherwise(x)
 
 
-LANES = 21  # bits apart that a long counts at once: each of its three counters holds two million votes
+TOKENS_KEPT = 200_000
 
 
-def token_hashes(tokens: Column) -> Column:
-    """The low 64 bits of each token's MD5."""
-    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 17, 16), 16, -10).cast("long"))
+def _md5_low(token: str) -> int:
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[8:], "big")
 
 
-def simhash_bits(hashes: Column, sums: list[Column]) -> Column:
-    """64-bit SimHash: bits with more votes for than against are set. sums: ``lane_sums`` of the hashes, each a column of its own.
+def simhash64(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """64-bit SimHashes: bits with more votes for than against are set, a vote a word (parted by white space of all scripts, lower case) by its MD5.
 
-    Texts of more than two million tokens, beyond a lane's counter, count bit by bit.
+    A word's hash is kept while few enough are; votes are summed eight counters at a time, 255 words a time.
     """
-    n = F.size(hashes)
-    lane = lambda j, k: F.shiftrightunsigned(sums[j], LANES * k).bitwiseAND(F.lit((1 << LANES) - 1))
-    single = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.getbit(h, F.lit(b)))
-    set_ = lambda b, votes: F.when(votes * 2 > n, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-    either = lambda bits: reduce(lambda x, y: x.bitwiseOR(y), bits)
-    fast = either([set_(j + LANES * k, lane(j, k)) for j in range(LANES) for k in range(3)] + [set_(63, single(63))])
-    return F.when(n < (1 << LANES), fast).otherwise(either([set_(b, single(b)) for b in range(64)]))
-
-
-def lane_sums(hashes: Column) -> list[Column]:
-    """For each of 21 shifts the votes of three bits, 21 apart, in one sum."""
-    mask = F.lit(sum(1 << (LANES * k) for k in range(3)))
-
-    def one(shift: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.shiftrightunsigned(h, shift).bitwiseAND(mask))
-
-    return [one(j) for j in range(LANES)]
+    known: dict[str, int] = {}
+    spread = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=1).astype(np.uint64)
+    powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for batch in texts:
+        out = np.zeros(len(batch), np.uint64)
+        for k, text in enumerate(batch):
+            words = (text or "").lower().split()
+            if not words:
+                continue
+            if len(known) > TOKENS_KEPT:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = _md5_low(w)
+            data = np.fromiter(map(known.__getitem__, words), np.uint64, len(words)).view(np.uint8).reshape(-1, 8)
+            sums = np.add.reduceat(spread[data], np.arange(0, len(words), 255), axis=0)
+            votes = sums.view(np.uint8).reshape(len(sums), 64).sum(axis=0, dtype=np.int64)
+            out[k] = powers[2 * votes > len(words)].sum(dtype=np.uint64)
+        yield pd.Series(out.view(np.int64))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -37,41 +37,46 @@ def clean_text(df: DataFrame, text: str, out: str = "clean", tickers: bool = Tru
 
 
 def text_features(df: DataFrame, raw: str, clean: str) -> DataFrame:
-    """Add the features of a cleaned text (and of its raw form)."""
+    """Add the features of a cleaned text (and of its raw form); a text that cleaning has emptied has those of its raw form only, else zeros."""
     c, r = F.col(clean), F.coalesce(F.col(raw), F.lit(""))
     n = lambda x, p: F.regexp_count(x, F.lit(p))
-    letters = n(c, r"\p{L}")
-    df = df.withColumns(
-        {
-            "emoji_count": n(c, X.EMOJI),
-            "caps_ratio": F.when(letters > 0, round_exact(n(c, r"\p{Lu}") / letters, 4)).otherwise(0.0),
-            "punct_intensity": n(c, X.INTENSE),
-            "exclamations": n(c, "!"),
-            "questions": n(c, r"\?"),
-            "char_repeats": n(r, X.REPEAT),
-            "token_count": F.when(c == "", 0).otherwise(F.size(F.split(c, " "))),
-            "had_url": r.rlike(X.URL),
-            "had_bot": r.rlike(X.BOT),
-            "had_markdown": X.strip_markdown(r) != r,
-            "content_hash": F.md5(c.cast("binary")),
-            "is_valid": c != "",
-        }
-    )
+    df = df.withColumns({"__letters": n(c, r"\p{L}"), "__capitals": n(c, r"\p{Lu}"), "__points": n(c, X.PUNCTUATION), "char_repeats": n(r, X.REPEAT), "token_count": F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))})
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), b), F.lit(0.0))
+    tokens, caps = F.col("token_count"), F.col("__caps")
+    df = df.withColumn("__caps", ratio("__capitals", F.col("__letters")))
     spam = (
-        F.when(F.col("token_count") < 3, 0.2).otherwise(0.0)
-        + F.least(F.col("char_repeats") * 0.1, F.lit(0.3))
-        + F.when((F.col("caps_ratio") > 0.8) & (F.col("token_count") > 5), 0.2).otherwise(0.0)
-        + F.when(F.try_divide(F.col("punct_intensity"), F.col("token_count")) > 0.4, 0.3).otherwise(0.0)
+        F.when(tokens < 3, 0.2).otherwise(0.0)
+        + F.least(ratio("char_repeats", tokens) * 0.3, F.lit(0.3))
+        + F.when((caps > 0.8) & (tokens > 5), 0.2).otherwise(0.0)
+        + F.when(ratio("__points", F.length(c)) > 0.4, 0.3).otherwise(0.0)
     )
-    return df.withColumn("spam_score", round_exact(F.least(spam, F.lit(1.0)), 4))
+    df = df.withColumn("__spam", F.least(spam, F.lit(1.0)))
+    made = {
+        "emoji_count": n(c, X.EMOJI),
+        "caps_ratio": round_exact(caps, 4),
+        "punct_intensity": n(c, X.INTENSE),
+        "exclamations": n(c, "!"),
+        "questions": n(c, r"\?"),
+        "had_url": r.rlike(X.URL),
+        "had_bot": X.is_noise(r),
+        "had_markdown": r.rlike(X.BOLD) | r.rlike(X.HEADER) | r.rlike(X.CODE),
+        "content_hash": F.when(c == "", "").otherwise(F.md5(c.cast("binary"))),
+        "is_valid": c != "",
+        "spam_score": F.when(c == "", 0.0).otherwise(round_exact(F.col("__spam"), 4)),
+    }
+    return df.withColumns(made).drop("__letters", "__capitals", "__points", "__caps", "__spam")
+
+
+def apply_cleaning(df: DataFrame, text: str, features: bool = False, tickers: bool = True, prices: bool = False, drop_invalid: bool = True) -> DataFrame:
+    """Add ``cleaned_text`` and ``is_valid`` (and all features with the SimHash of the cleaned text); rows that cleaning empties go unless kept."""
+    done = clean_text(df, text, "cleaned_text", tickers, prices)
+    done = simhash(text_features(done, text, "cleaned_text"), "cleaned_text") if features else done.withColumn("is_valid", F.col("cleaned_text") != "")
+    return done.filter("is_valid") if drop_invalid else done
 
 
 def simhash(df: DataFrame, text: str, out: str = "simhash") -> DataFrame:
     """Add the SimHash of a text's words; a text without any has 0."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda t: t != "")
-    hashed = df.withColumn("__hashes", X.token_hashes(tokens))
-    hashed = hashed.withColumns({f"__v{j}": c for j, c in enumerate(X.lane_sums(F.col("__hashes")))})
-    return hashed.withColumn(out, X.simhash_bits(F.col("__hashes"), [F.col(f"__v{j}") for j in range(X.LANES)])).drop("__hashes", *[f"__v{j}" for j in range(X.LANES)])
+    return df.withColumn(out, F.pandas_udf(X.simhash64, "long")(F.col(text)))
 
 
 def exact_dedup(df: DataFrame, by: str = "content_hash", order: tuple[str, ...] = ("post_time", "post_id")) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from barflow.plans import text_sql
+
 
 def sar(bars: str, out: str, signed: bool) -> str:
     """A state a bar: direction, extreme, next stop, rate and what is shown."""
@@ -68,10 +70,5 @@ def phase(bars: str, columns: dict[str, str], wrap: str = "round({x}, 6) + 0.0")
     return f"WITH RECURSIVE {bars}, {_hilbert(38)}, {PHASE} SELECT b.symbol, b.datetime, {cols} FROM b LEFT JOIN n9 n ON n.symbol = b.symbol AND n.rn = b.rn"
 
 
-#: CTE sh(post_id, h): bit by bit the majority of the low halves of the words' MD5.
-SIMHASH = """tk AS (SELECT post_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) AS t FROM posts),
-    th AS (SELECT post_id, CAST('0x' || substr(md5(t), 17, 16) AS UBIGINT) AS v, count(*) AS times FROM tk GROUP BY 1, 2),
-    tb AS (SELECT post_id, k, sum(CASE WHEN (v >> CAST(k AS UBIGINT)) & 1 = 1 THEN times ELSE -times END) AS votes FROM th, (SELECT unnest(range(64)) AS k) GROUP BY 1, 2),
-    tv AS (SELECT post_id, sum(CASE WHEN votes > 0 THEN CASE WHEN k = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << CAST(k AS INTEGER)) END ELSE 0 END) AS h FROM tb GROUP BY 1),
-    sh AS (SELECT post_id, CAST(coalesce(h, 0) AS BIGINT) AS simhash FROM posts LEFT JOIN tv USING (post_id)),
-    fh AS (SELECT simhash AS h, min(post_id) AS id FROM sh GROUP BY 1)"""
+#: CTEs sh(post_id, simhash) and fh(h, id), the first post of each hash.
+SIMHASH = text_sql.simhashed("posts", "post_id", "text") + ", fh AS (SELECT simhash AS h, min(post_id) AS id FROM sh GROUP BY 1)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barflow.plans import candle_sql, more_sql
+from barflow.plans import candle_sql, more_sql, text_sql
 from barflow.plans.queries import CANDLES, TRAPS
 
 TICKS = "ticks AS (SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS datetime, event_id, CAST(value AS DOUBLE) AS price FROM events)"
@@ -396,6 +396,9 @@ ORACLE_SQL |= {
     "ind_ht_trendmode": more_sql.phase(BARS, {"ht_trendmode": "CAST(n.mode AS DOUBLE)"}),
     "rule_trend_mode": more_sql.phase(BARS, {"signal": "n.mode"}, "CAST(CASE WHEN {x} = 1 THEN 1 ELSE -1 END AS INTEGER)"),
     "simhash": f"WITH {_POSTS}, {more_sql.SIMHASH} SELECT post_id, simhash FROM sh",
+    "text_clean": f"WITH {_POSTS}, {text_sql.cleaned('posts', 'post_id', 'text')} SELECT post_id, clean FROM tc",
+    "text_features": f"WITH {_POSTS}, {text_sql.cleaned('posts', 'post_id', 'text')}, {text_sql.featured('post_id')}, {text_sql.simhashed('tf', 'post_id', 'clean')} SELECT tf.* EXCLUDE (raw, clean), simhash FROM tf JOIN sh USING (post_id)",
+    "cleaned_comments": f"WITH {_COMMENTS}, {text_sql.cleaned('comments', 'comment_id', 'text')}, {text_sql.featured('comment_id')} SELECT comment_id, clean AS cleaned_text, spam_score, token_count FROM tf WHERE is_valid",
     "hamming_pairs": f"WITH {_POSTS}, {more_sql.SIMHASH} SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM fh a JOIN fh b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 3",
     "dedup_near": f"""WITH RECURSIVE {_POSTS}, {more_sql.SIMHASH}, o AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM fh),
         g AS (SELECT n, id, [h] AS kept, true AS stays FROM o WHERE n = 1 UNION ALL SELECT n, id, CASE WHEN near THEN kept ELSE list_append(kept, h) END, NOT near

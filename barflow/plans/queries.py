@@ -361,7 +361,8 @@ QUERIES: dict[str, Query] = {
     "autoregression": _of(lambda s, d: M.autoregression(hourly(s, d), "close", 2, 3)),
     "make_stationary": _of(lambda s, d: M.make_stationary(hourly(s, d), ["close"]), "symbol", "datetime", "close"),
     "text_clean": lambda s, d: T.clean_text(posts(s, d), "text").select("post_id", "clean"),
-    "text_features": _of(lambda s, d: T.text_features(T.clean_text(posts(s, d), "text"), "text", "clean").drop("text", "clean", "subreddit", "post_time")),
+    "text_features": _of(lambda s, d: T.apply_cleaning(posts(s, d), "text", features=True, drop_invalid=False).drop("text", "cleaned_text", "subreddit", "post_time")),
+    "cleaned_comments": lambda s, d: T.apply_cleaning(comments(s, d), "text", features=True).select("comment_id", "cleaned_text", "spam_score", "token_count"),
     "simhash": lambda s, d: T.simhash(posts(s, d), "text").select("post_id", "simhash"),
     "hamming_pairs": lambda s, d: T.hamming_pairs(T.simhash(posts(s, d), "text"), "post_id"),
     "dedup_exact": lambda s, d: T.exact_dedup(posts(s, d).withColumn("content_hash", F.md5(F.col("text").cast("binary")))).select("post_id", "content_hash"),
