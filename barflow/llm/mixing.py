@@ -18,8 +18,9 @@ with a third of all rows is never one task.
 
 Tokens are words (runs of other than ASCII white space), at least one a document.
 Defined cases: a null text is an empty one; a null tree value is a value of its own;
-documents of equal id and equal hash are taken together or not at all; a weight of 0
-or less takes a subtree out; an empty table gives none.
+documents of equal id and equal hash are taken together or not at all; a value that its
+level's weights do not list has their ``REST`` weight (1 if that is not listed either); a
+weight of 0 or less takes a subtree out; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from barflow.llm.common import Scratch
 
 DIGITS = 2  # of a hash that a step towards the cut tells apart: 256 ranges of a leaf, then 256 parts of one
 STEPS = 2
+REST = "*"  # in weights: the weight of all values that a level does not list
 
 
 def words_of(text: Column) -> Column:
@@ -52,8 +54,13 @@ def _fill(nodes: DataFrame, parent: list[str], own: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, float]], total: float | None, max_epochs: int) -> DataFrame:
-    """leaves: the levels and ``tokens``; adds quota (whole tokens). A value without a weight has 1."""
-    weight = lambda level: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights[level].items() for x in (kv[0], float(kv[1]))]), F.col(level)), F.lit(1.0)) if weights.get(level) else F.lit(1.0)
+    """leaves: the levels and ``tokens``; adds quota (whole tokens)."""
+
+    def weight(level: str) -> Column:
+        named = {k: float(v) for k, v in weights.get(level, {}).items() if k != REST}
+        rest = F.lit(float(weights.get(level, {}).get(REST, 1.0)))
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col(level)), rest) if named else rest
+
     alive = leaves
     for level in levels:
         alive = alive.filter(weight(level) > 0)
@@ -115,10 +122,16 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     return met.withColumn("__copies", copies).filter("__copies > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).select(*docs.columns, "__epoch")
 
 
-#: The mixture of the registered query and the pipeline.
-WEIGHTS = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
+#: The mixture of the registered query and the pipeline: weights at all three levels; what no level lists has a small one.
+WEIGHTS = {
+    "domain": {"web": 0.4, "books": 0.3, "code": 0.25, REST: 0.05},
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1, REST: 0.02},
+    "source": {"src0": 0.5, "src1": 2.0, REST: 1.0},
+}
 
 
 def tree() -> dict[str, Column]:
-    """Domain (a source's name without its number), language, source."""
-    return {"domain": F.regexp_extract("source", "^([A-Za-z]*)", 1), "lang": F.col("lang"), "source": F.col("source")}
+    """Domain (by a source's number: 0 to 6 are the web, 7 books, others code; a source without one is of no listed domain), language, source."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "^src([0-9]{1,9})$", 1)
+    n = F.when(number != "", number.cast("int"))
+    return {"domain": F.when(n < 7, "web").when(n == 7, "books").when(n > 7, "code").otherwise("other"), "lang": F.col("lang"), "source": F.col("source")}

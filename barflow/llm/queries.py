@@ -113,14 +113,16 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mix": """
-        WITH docs AS (
-            SELECT doc_id, lang, source, regexp_extract(source, '^([A-Za-z]*)', 1) AS domain,
+        WITH named AS (
+            SELECT doc_id, lang, source, CAST(nullif(regexp_extract(coalesce(source, ''), '^src([0-9]{1,9})$', 1), '') AS INTEGER) AS n,
                    greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+'))) AS tokens
             FROM documents
+        ), docs AS (
+            SELECT doc_id, lang, source, tokens, coalesce(lang, chr(0)) AS l, coalesce(source, chr(0)) AS s, CASE WHEN n < 7 THEN 'web' WHEN n = 7 THEN 'books' WHEN n > 7 THEN 'code' ELSE 'other' END AS domain FROM named
         ), leaf AS (
-            SELECT domain, lang, source, sum(tokens) AS tokens, 4.0 * sum(tokens) AS capacity FROM docs GROUP BY ALL
+            SELECT domain, l, s, sum(tokens) AS tokens, 4e0 * sum(tokens) AS capacity FROM docs GROUP BY ALL
         ), top AS (
-            SELECT domain, sum(capacity) AS capacity, 1.0 AS weight, (SELECT CAST(sum(tokens) AS DOUBLE) FROM leaf) AS given FROM leaf GROUP BY domain
+            SELECT domain, sum(capacity) AS capacity, CASE domain WHEN 'web' THEN 0.4e0 WHEN 'books' THEN 0.3e0 WHEN 'code' THEN 0.25e0 ELSE 0.05e0 END AS weight, (SELECT CAST(sum(tokens) AS DOUBLE) FROM leaf) AS given FROM leaf GROUP BY domain
         ), top_full AS (
             SELECT *, coalesce(sum(capacity) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                       + capacity / weight * sum(weight) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= given + 1e-6 AS is_full
@@ -128,39 +130,41 @@ ORACLE_SQL: dict[str, str] = {
         ), top_budget AS (
             SELECT domain, CASE WHEN is_full THEN capacity ELSE (given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ()) * weight / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () END AS given FROM top_full
         ), middle AS (
-            SELECT domain, lang, sum(capacity) AS capacity, CASE lang WHEN 'en' THEN 0.5 WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.2 WHEN 'es' THEN 0.1 ELSE 1.0 END AS weight, any_value(given) AS given
-            FROM leaf JOIN top_budget USING (domain) GROUP BY domain, lang
+            SELECT domain, l, sum(capacity) AS capacity, CASE l WHEN 'en' THEN 0.5e0 WHEN 'de' THEN 0.2e0 WHEN 'fr' THEN 0.2e0 WHEN 'es' THEN 0.1e0 ELSE 0.02e0 END AS weight, any_value(given) AS given
+            FROM leaf JOIN top_budget USING (domain) GROUP BY domain, l
         ), middle_full AS (
-            SELECT *, coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-                      + capacity / weight * sum(weight) OVER (PARTITION BY domain ORDER BY capacity / weight, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= given + 1e-6 AS is_full
+            SELECT *, coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity / weight, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                      + capacity / weight * sum(weight) OVER (PARTITION BY domain ORDER BY capacity / weight, l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= given + 1e-6 AS is_full
             FROM middle
         ), middle_budget AS (
-            SELECT domain, lang, CASE WHEN is_full THEN capacity ELSE (given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER (PARTITION BY domain)) * weight / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY domain) END AS given FROM middle_full
+            SELECT domain, l, CASE WHEN is_full THEN capacity ELSE (given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER (PARTITION BY domain)) * weight / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY domain) END AS given FROM middle_full
+        ), low AS (
+            SELECT domain, l, s, tokens, capacity, given, CASE s WHEN 'src0' THEN 0.5e0 WHEN 'src1' THEN 2e0 ELSE 1e0 END AS weight FROM leaf JOIN middle_budget USING (domain, l)
         ), low_full AS (
-            SELECT *, coalesce(sum(capacity) OVER (PARTITION BY domain, lang ORDER BY capacity, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-                      + capacity * sum(1.0) OVER (PARTITION BY domain, lang ORDER BY capacity, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= given + 1e-6 AS is_full
-            FROM leaf JOIN middle_budget USING (domain, lang)
+            SELECT *, coalesce(sum(capacity) OVER (PARTITION BY domain, l ORDER BY capacity / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                      + capacity / weight * sum(weight) OVER (PARTITION BY domain, l ORDER BY capacity / weight, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= given + 1e-6 AS is_full
+            FROM low
         ), quota AS (
-            SELECT domain, lang, source, tokens, CAST(floor(round(CASE WHEN is_full THEN capacity ELSE (given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER (PARTITION BY domain, lang)) / sum(CASE WHEN is_full THEN 0 ELSE 1.0 END) OVER (PARTITION BY domain, lang) END, 3)) AS BIGINT) AS quota
+            SELECT domain, l, s, tokens, CAST(floor(round(CASE WHEN is_full THEN capacity ELSE (given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER (PARTITION BY domain, l)) * weight / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY domain, l) END, 3)) AS BIGINT) AS quota
             FROM low_full
         ), placed AS (
             SELECT d.*, quota // q.tokens AS epochs, quota % q.tokens AS rest, md5('7:' || CAST(quota // q.tokens AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS h
-            FROM docs d JOIN quota q USING (domain, lang, source)
+            FROM docs d JOIN quota q USING (domain, l, s)
         ), taken AS (
-            SELECT *, epochs + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest THEN 1 ELSE 0 END AS copies FROM placed
+            SELECT *, epochs + CASE WHEN sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY h) <= rest THEN 1 ELSE 0 END AS copies FROM placed
         )
         SELECT doc_id, lang, source, CAST(unnest(range(CAST(copies AS BIGINT))) AS INTEGER) AS epoch FROM taken
     """,
     "op7_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            SELECT row_number() OVER () AS u, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
             FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+            SELECT q.u AS u, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.u <> c.u AND len(q.e) = len(c.e)
         ), r AS (
-            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,

@@ -18,8 +18,9 @@ Every query meets every candidate, in blocks, as numbers only: nothing is emitte
 for a pair that cannot be in the result.
 
 Defined cases: vectors that are null, hold null or non-finite components or have
-no id take no part; repeated rows of an id count once, with the smallest vector;
-vectors of different lengths do not meet; fewer than k candidates give them all;
+no id take no part; every row is a candidate, and a query if its id is asked for,
+so of repeated ids each row answers for itself and meets the others; vectors of
+different lengths do not meet; fewer than k candidates give them all;
 a total beyond 64 bits is held at the largest or smallest long.
 """
 
@@ -36,12 +37,12 @@ BLOCK_CANDIDATES, BLOCK_QUERIES = 4096, 2048
 
 
 def quantized(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id long, v array<double>): floor(scale * x) of every component, one row an id."""
+    """(id long, v array<double>): floor(scale * x) of every component."""
     x = F.transform(F.col(f"`{vector}`"), lambda e: e.cast("double"))
     sound = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     # F.floor would go through a long; a double holds every floor(scale * x) as it is
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), x.alias("v")).filter(sound)
-    return rows.mapInArrow(_floor(scale), "id long, v array<double>").groupBy("id").agg(F.min("v").alias("v"))
+    return rows.mapInArrow(_floor(scale), "id long, v array<double>")
 
 
 def _floor(scale: int):
@@ -89,13 +90,13 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(table: pa.Table, nodes: int):
-    """For each dimension of a tile: (query rows, candidate ids, own mask, each node's partial scores)."""
+    """For each dimension of a tile: (queries' (row, id), candidates' (row, id), each node's partial scores, the queries' cutoffs)."""
     asked = table["asked"].to_numpy(zero_copy_only=False)
     queries, others = table.filter(pa.array(asked)), table.filter(pa.array(~asked))
     if not queries.num_rows or not others.num_rows:
         return
     by_q, by_c = _matrix(queries), _matrix(others)
-    ids_q, ids_c = queries["id"].to_numpy(), others["id"].to_numpy()
+    ids_q, ids_c, rows_q, rows_c = queries["id"].to_numpy(), others["id"].to_numpy(), queries["u"].to_numpy(), others["u"].to_numpy()
     cuts = queries["cutoff"].to_numpy(zero_copy_only=False) if "cutoff" in table.column_names else None
     for n, (rows, q) in by_q.items():
         if n not in by_c:
@@ -107,24 +108,24 @@ def _blocks(table: pa.Table, nodes: int):
         q, c = _as(q, kind), _as(c, kind)
         edges = np.linspace(0, n, min(nodes, max(n, 1)) + 1).astype(int)
         parts = [q[:, a:b] @ c[:, a:b].T for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        yield ids_q[rows], ids_c[at], parts, None if cuts is None else cuts[rows]
+        yield (rows_q[rows], ids_q[rows]), (rows_c[at], ids_c[at]), parts, None if cuts is None else cuts[rows]
 
 
 def _gather(k: int, nodes: int):
     """Phase 1: a query's k best exact totals among each node's k best partial scores."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, lists = [], []
-        for own, others, parts, _ in _blocks(table, nodes):
+        asked, lists = [], []
+        for (own, _), (others, _), parts, _ in _blocks(table, nodes):
             total = sum(parts)
             near = [np.argpartition(-p.astype(float), min(k, p.shape[1] - 1), axis=1)[:, : k + 1] for p in parts]
             for i, row in enumerate(np.concatenate(near, axis=1)):
                 row = np.unique(row)
                 row = row[others[row] != own[i]]
                 best = np.sort(_long(total[i, row]))[::-1][:k]
-                ids.append(own[i])
+                asked.append(own[i])
                 lists.append(best)
-        return pa.table({"id": pa.array(ids, pa.int64()), "best": pa.array(lists, pa.list_(pa.int64()))})
+        return pa.table({"u": pa.array(asked, pa.int64()), "best": pa.array(lists, pa.list_(pa.int64()))})
 
     return run
 
@@ -134,7 +135,7 @@ def _resolve(k: int, nodes: int):
 
     def run(table: pa.Table) -> pa.Table:
         out = []
-        for own, others, parts, cuts in _blocks(table, nodes):
+        for (own, asked), (others, ids), parts, cuts in _blocks(table, nodes):
             m = len(parts)
             for i in range(len(own)):
                 if cuts[i] is None or np.isnan(cuts[i]):
@@ -151,32 +152,33 @@ def _resolve(k: int, nodes: int):
                     keep &= score >= int(cuts[i])
                 row, score = row[keep], score[keep]
                 if len(row) > k:
-                    best = np.lexsort((others[row], -score.astype(float) if np.abs(score).max() < 1 << 53 else [-int(s) for s in score]))[:k]
+                    best = np.lexsort((ids[row], -score.astype(float) if np.abs(score).max() < 1 << 53 else [-int(s) for s in score]))[:k]
                     row, score = row[best], score[best]
-                out.append((np.full(len(row), own[i]), others[row], score))
-        a = [np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ()))]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(x, pa.int64()) for x in a), strict=True)))
+                out.append((np.full(len(row), own[i]), np.full(len(row), asked[i]), ids[row], score))
+        a = [np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), (), ()))]
+        return pa.table(dict(zip(("u", "query_id", "vec_id", "score"), (pa.array(x, pa.int64()) for x in a), strict=True)))
 
     return run
 
 
 def exact_top_k(vectors: DataFrame, asked: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64, nodes: int = 2) -> DataFrame:
     """The k best candidates of each row for which ``asked`` (on the id, named ``id``) holds: query_id, rank, vec_id, score."""
-    rows = Scratch(vectors.sparkSession, "topk").keep(quantized(vectors, key, vector, scale))
+    # rows are numbered as they are written: of repeated ids each row is one of its own
+    rows = Scratch(vectors.sparkSession, "topk").keep(quantized(vectors, key, vector, scale).withColumn("u", F.monotonically_increasing_id()))
     n, n_asked = rows.agg(F.count("*"), F.coalesce(F.sum(asked.cast("long")), F.lit(0))).first()
     blocks, deals = max(1, -(-n // BLOCK_CANDIDATES)), max(1, -(-n_asked // BLOCK_QUERIES))
-    of = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    of = lambda count: F.pmod(F.xxhash64("u"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    others = rows.select(of(blocks).alias("block"), every(deals).alias("deal"), F.lit(False).alias("asked"), "id", "v")
-    queries = rows.filter(asked).select("id", "v")
-    spread = lambda q: q.select(every(blocks).alias("block"), of(deals).alias("deal"), F.lit(True).alias("asked"), "id", "v", *[c for c in q.columns if c == "cutoff"])
-    lists = others.unionByName(spread(queries)).groupBy("block", "deal").applyInArrow(_gather(k, nodes), "id long, best array<long>")
+    others = rows.select(of(blocks).alias("block"), every(deals).alias("deal"), F.lit(False).alias("asked"), "u", "id", "v")
+    queries = rows.filter(asked).select("u", "id", "v")
+    spread = lambda q: q.select(every(blocks).alias("block"), of(deals).alias("deal"), F.lit(True).alias("asked"), "u", "id", "v", *[c for c in q.columns if c == "cutoff"])
+    lists = others.unionByName(spread(queries)).groupBy("block", "deal").applyInArrow(_gather(k, nodes), "u long, best array<long>")
     best = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c)), False), 1, k)
-    merged = lists.groupBy("id", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("part")).agg(best("best").alias("best")).groupBy("id").agg(best("best").alias("best"))
-    cut = merged.select("id", F.get("best", F.lit(k - 1)).cast("double").alias("cutoff"))
+    merged = lists.groupBy("u", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("part")).agg(best("best").alias("best")).groupBy("u").agg(best("best").alias("best"))
+    cut = merged.select("u", F.get("best", F.lit(k - 1)).cast("double").alias("cutoff"))
     # a cutoff beyond 2**53 is rounded as a double: lower it so that it stays safe
     cut = cut.withColumn("cutoff", F.when(F.abs("cutoff") < float(1 << 53), F.col("cutoff")).otherwise(F.floor(F.col("cutoff") - F.abs("cutoff") * 1e-15).cast("double")))
-    second = others.withColumn("cutoff", F.lit(None).cast("double")).unionByName(spread(queries.join(cut, "id", "left")))
-    found = second.groupBy("block", "deal").applyInArrow(_resolve(k, nodes), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    second = others.withColumn("cutoff", F.lit(None).cast("double")).unionByName(spread(queries.join(cut, "u", "left")))
+    found = second.groupBy("block", "deal").applyInArrow(_resolve(k, nodes), "u long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("u").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,12 +192,44 @@ def test_top_k(spark):
 
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (None, [1.0, 1.0]), (6, [1.0]), (40, [float("inf"), 0.0]), (7, []), (8, [3e38, 3e38])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = exact_top_k(df, F.col("id") % 20 == 0, 3).collect()
-    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == [(1, 8), (2, 1), (3, 5)]
+    got = exact_top_k(df, F.col("id") % 20 == 0, 4).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == [(1, 8), (2, 1), (3, 5), (4, 5)]
     assert {r.query_id for r in got} == {0, 20}
     assert exact_top_k(df.limit(0), F.col("id") % 20 == 0, 3).count() == 0
 
 
+def test_top_k_repeated_ids(spark):
+    """Every row but the query's own is a candidate, whatever its id: repeated ids with equal and other vectors, of queries too."""
+    import random
+
+    from barflow.llm.topk import exact_top_k
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(0, 60), [rng.randrange(-8, 9) / 4 for _ in range(3)]) for _ in range(300)] + [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (1, [0.5, 0.0, 0.0])]
+    whole = [(d, [math.floor(64 * x) for x in v]) for d, v in rows]
+    want = []
+    for k, (q, v) in enumerate(whole):
+        if q % 20 == 0:
+            met = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), d) for j, (d, w) in enumerate(whole) if j != k)[:7]
+            want += [(q, n, d, -s) for n, (s, d) in enumerate(met, 1)]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), F.col("id") % 20 == 0, 7)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_mixture_levels(spark):
+    """Weights at three levels, REST for what is not listed; a shortage of a whole domain goes to the other domains."""
+    from barflow.llm.mixing import REST, budgets
+
+    leaves = spark.createDataFrame([("a", "en", "s1", 100), ("a", "en", "s2", 100), ("a", "xx", "s3", 100), ("b", "en", "s4", 10), ("c", "en", "s5", 1000), ("c", "de", "s6", 1000)], "domain string, lang string, source string, tokens long")
+    weights = {"domain": {"a": 0.3, "b": 0.5, REST: 0.2}, "lang": {"en": 0.75, REST: 0.25}, "source": {"s1": 3.0, REST: 1.0}}
+    got = {r.source: r.quota for r in budgets(leaves, ["domain", "lang", "source"], weights, 540.0, 1).collect()}
+    # b fills up at 10 of its 270; the other 530 go 3 to 2 to a, which fills up at 300, and c, which has the rest: 230, 3 to 1
+    assert got == {"s1": 100, "s2": 100, "s3": 100, "s4": 10, "s5": 172, "s6": 57}
+    got = {r.source: r.quota for r in budgets(leaves, ["domain", "lang", "source"], weights, 100.0, 1).collect()}
+    # b fills up at 10; 90 go 54 to a (40.5 en: 30.375 and 10.125; 13.5 xx) and 36 to c (27 and 9)
+    assert got == {"s1": 30, "s2": 10, "s3": 13, "s4": 10, "s5": 27, "s6": 9}
+
+
 def test_near_duplicates(docs, empty):
     from barflow.llm.minhash import first_of_each, near_duplicates, numbered
 

@@ -75,7 +75,8 @@ def test_lines(spark, docs):
         elif text.encode().split():
             want[r.doc_id, text, len(text)] += 1
     assert told(dedup_lines(spark, docs, SF)) == want
-    assert dedup_lines(spark, docs.limit(0), SF).columns == docs.columns
+    none = dedup_lines(spark, docs.limit(0), SF)
+    assert none.columns == docs.columns and none.collect() == []
 
 
 def test_documents(spark, docs):
@@ -100,19 +101,26 @@ def test_documents(spark, docs):
         bags.append(s)
     want = collections.Counter((r.doc_id, r.text, r.n_chars) for k, (_, _, r) in enumerate(rows) if top(k) == k)
     assert told(dedup_documents(spark, docs, SF)) == want
+    none = dedup_documents(spark, docs.limit(0), SF)
+    assert none.columns == docs.columns and none.collect() == []
 
 
 def test_mixture(spark, docs):
     from barflow.llm.queries import ORACLE_SQL
     from corpus_pipeline import mix_sources
 
-    named = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
+    named = docs.filter("doc_id IS NOT NULL")  # null languages and sources are values of their own
     documents = named.toArrow()  # noqa: F841
     con = duckdb.connect()
     con.register("documents", documents)
     want = collections.Counter(r[0] for r in con.sql(ORACLE_SQL["op3_source_mix"]).fetchall())
     assert collections.Counter(r.doc_id for r in mix_sources(spark, named, SF).collect()) == want
-    assert mix_sources(spark, docs, SF).columns == docs.columns  # nulls are values of their own
+    assert {r.doc_id for r in named.collect()} != set(want) != set()  # some are left out
+    mixed = mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns
+    nameless = collections.Counter(r.text for r in mixed.filter("doc_id IS NULL").collect())
+    rows = collections.Counter(r.text for r in docs.filter("doc_id IS NULL").collect())
+    assert set(nameless) <= set(rows) and all(n % rows[t] == 0 for t, n in nameless.items())  # of an equal place: all or none in an epoch
 
 
 def test_packing(spark, docs):
@@ -120,6 +128,7 @@ def test_packing(spark, docs):
     from corpus_pipeline import pack
 
     rows = docs.collect()
+    assert pack(spark, docs.limit(0), SF).collect() == []
     sizes = [len(x) + 1 for x in encoder("byte_bpe_50k.json").library([r.text or "" for r in rows])]
     want = collections.Counter()
     for r, n in zip(rows, sizes, strict=True):
