@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions import text as X
 from barflow.functions.rounding import round_exact
+from barflow.functions.scratch import settle
 
 # The pattern that names a coin (in either case) and the forums where every post is about it.
 COINS = {
@@ -84,19 +86,41 @@ def exact_dedup(df: DataFrame, by: str = "content_hash", order: tuple[str, ...]
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str = "simhash", most: int = 3) -> DataFrame:
-    """(a, b, distance) between the first rows of different hashes within ``most`` bits, a < b: a pair that differs in most + 1 blocks or fewer agrees in one.
+def _blocks_for(n: int, most: int, aim: int) -> int:
+    """As few blocks as leave about ``aim`` chance members a key, or fewer: keys have the bits of all blocks but ``most``."""
+    m = most + 1
+    while n >> (64 * (m - most) // m) > aim and m < 4 * (most + 1):
+        m += 1
+    return m
 
-    Rows of equal hashes are one class, so a hash that many rows share is one entry: ``hamming_classes`` tells the members.
+
+def hamming_keys(h: Column, blocks: int, most: int) -> list[Column]:
+    """The bits of every choice of blocks - most blocks: hashes within ``most`` bits agree in at least one."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [h.bitwiseAND(F.lit(signed(sum(chosen)))) for chosen in combinations(masks, blocks - most)]
+
+
+def hamming_pairs(df: DataFrame, key: str, bits: str = "simhash", most: int = 3, aim: int = 64) -> DataFrame:
+    """(a, b, distance) between the first rows of different hashes within ``most`` bits, a < b.
+
+    The 64 bits are cut into blocks, and a hash is posted under every choice of all but ``most`` of them; the more hashes there are,
+    the more blocks, so that a key has no more than about ``aim`` members by chance (for 3 bits: keys of 16 bits up to four million
+    hashes, of 25 up to two billion, then of 32). A pair is told under the first choice in which it agrees, so nothing is told twice. Rows of equal hashes are one
+    class, so a hash that many rows share is one entry: ``hamming_classes`` tells the members.
     """
-    blocks = most + 1
-    width = 64 // blocks
-    firsts = df.groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("id"))
-    cut = lambda k: F.shiftrightunsigned("h", k * width).bitwiseAND(F.lit((1 << width) - 1))
-    banded = firsts.select("id", "h", F.posexplode(F.array(*[cut(k) for k in range(blocks)])).alias("band", "part"))
-    a, b = (banded.select(*[F.col(c).alias(f"{c}_{s}") if c in ("id", "h") else F.col(c) for c in banded.columns]) for s in "ab")
-    near = a.join(b, ["band", "part"]).filter("id_a < id_b").withColumn("distance", X.hamming(F.col("h_a"), F.col("h_b"))).filter(F.col("distance") <= most)
-    return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "distance").distinct()
+    firsts = settle(df.groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("id")))
+    blocks = _blocks_for(firsts.count(), most, aim)
+    posted = firsts.select("id", "h", F.posexplode(F.array(*hamming_keys(F.col("h"), blocks, most))).alias("choice", "part"))
+    # most keys have one member: they are left out before the join
+    shared = posted.groupBy("choice", "part").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    posted = settle(posted.join(shared, ["choice", "part"]))
+    a, b = (posted.select(*[F.col(c).alias(f"{c}_{s}") if c in ("id", "h") else F.col(c) for c in posted.columns]) for s in "ab")
+    near = a.join(b, ["choice", "part"]).filter("id_a < id_b").withColumn("distance", X.hamming(F.col("h_a"), F.col("h_b"))).filter(F.col("distance") <= most)
+    agree = hamming_keys(F.col("h_a").bitwiseXOR(F.col("h_b")), blocks, most)
+    first = F.coalesce(*[F.when(x == 0, F.lit(k)) for k, x in enumerate(agree)])
+    return near.filter(F.col("choice") == first).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "distance")
 
 
 def hamming_classes(df: DataFrame, key: str, bits: str = "simhash") -> DataFrame:
@@ -110,14 +134,14 @@ def near_dedup(df: DataFrame, key: str, bits: str = "simhash", most: int = 3) ->
 
     Equal hashes fold into their first row; then in every round a row whose earlier neighbours have all
     gone stays, and one with an earlier neighbour that stays goes, until all are decided. A round decides the
-    first open row at least, so this ends; checkpoints keep the plan of a round from holding all before it.
+    first open row at least, so this ends; what a round has decided is written, so the next does not plan it again.
     """
-    reliable = df.sparkSession.sparkContext.getCheckpointDir() is not None
-    cut = lambda x: x.checkpoint() if reliable else x.localCheckpoint()
-    firsts = df.groupBy(bits).agg(F.min(key).alias(key))
-    pairs = hamming_pairs(firsts, key, bits, most).select("a", "b").transform(cut)
-    open_ = pairs.select(F.col("b").alias("id")).distinct().transform(cut)
-    stays = pairs.select(F.col("a").alias("id")).distinct().join(open_, "id", "left_anti").transform(cut)
+    cut = settle
+    hashed = settle(df.select(key, bits))
+    firsts = hashed.groupBy(bits).agg(F.min(key).alias(key))
+    pairs = cut(hamming_pairs(firsts, key, bits, most).select("a", "b"))
+    open_ = cut(pairs.select(F.col("b").alias("id")).distinct())
+    stays = cut(pairs.select(F.col("a").alias("id")).distinct().join(open_, "id", "left_anti"))
     gone = None
     while not open_.isEmpty():
         lost = pairs.join(stays.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(open_, "id", "left_semi")

@@ -460,3 +460,6 @@ ORACLE_SQL |= {
         {', '.join(f'round(exp(s[{k + 1}]) / z, 6) AS p{k}' for k in range(3))} FROM e""",
     "votes_estimate": "SELECT event_id, CASE WHEN event_id % 11 > 0 THEN CAST(floor((event_id % 1000) / ((event_id % 11) / 10.0::DOUBLE)) AS INTEGER) ELSE 0 END AS estimated_upvotes, CASE WHEN event_id % 11 > 0 THEN CAST(floor((event_id % 1000) / ((event_id % 11) / 10.0::DOUBLE)) AS INTEGER) ELSE 0 END - CAST(event_id % 1000 AS INTEGER) AS estimated_downvotes FROM events",
 }
+
+# the same rows by other means
+ORACLE_SQL |= {f"split_{x}": ORACLE_SQL[f"ind_{x}"] for x in ("ema", "tema", "macd", "rsi", "atr")} | {"backtest_folded": ORACLE_SQL["backtest_ledger"]}

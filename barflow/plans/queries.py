@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from barflow.functions.rounding import round_exact
 from barflow.operators import backtest as B
+from barflow.operators import scan as SC
+from barflow.operators.backtest_fold import backtest_fold
 from barflow.operators import bars as R
 from barflow.operators import features as X
 from barflow.operators import lookups as K
@@ -84,6 +86,13 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
     return B.backtest(s, minutes, B.Rules(take_profit=30.0, stop_loss=20.0, fee=0.05))
 
 
+def folded_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The same ledger as a plan without Python."""
+    minutes = R.resample(D.ticks(spark, d), "1m", ties=TIES)
+    s = voted(spark, d).withColumn("strategy", F.lit("s3"))
+    return backtest_fold(s, minutes, B.Rules(take_profit=30.0, stop_loss=20.0, fee=0.05))
+
+
 def q_strategies(spark, d):
     return S.latest(S.vote_strategies(hourly(spark, d), strategies(spark), list(VOTED), VOTED))
 
@@ -327,10 +336,16 @@ QUERIES: dict[str, Query] = {
     "candles_traps": candle(TRAPS),
     **{f"rule_{r}": rule(n) for r, n in {"price_cross": "SMA", "zero_cross": "MOM", "threshold": "WILLR", "pivot": "ROCR", "mean_cross": "TRANGE", "line_cross": "STOCH", "prev_cross": "OBV", "bbands": "BBANDS", "pattern": "CDLENGULFING"}.items()},
     "rule_trend_mode": rule("HT_TRENDMODE"),
+    "split_ema": _of(lambda s, d: SC.emas(hourly(s, d)), "symbol", "datetime", "ema"),
+    "split_tema": _of(lambda s, d: SC.emas(hourly(s, d), times=3), "symbol", "datetime", "tema"),
+    "split_macd": _of(lambda s, d: SC.macd(hourly(s, d)), "symbol", "datetime", "macd", "macd_signal", "macd_hist"),
+    "split_rsi": _of(lambda s, d: SC.rsi(hourly(s, d)), "symbol", "datetime", "rsi"),
+    "split_atr": _of(lambda s, d: SC.atr(hourly(s, d)), "symbol", "datetime", "atr"),
     "vote": voted,
     "vote_with_model": lambda s, d: S.vote(S.signals(hourly(s, d), list(VOTED), VOTED), model=model_signal(s, d)),
     "strategies_latest": q_strategies,
     "backtest_ledger": _of(ledger),
+    "backtest_folded": _of(folded_ledger),
     "backtest_summary": _of(lambda s, d: B.summary(ledger(s, d))),
     "trade_stats": _of(lambda s, d: B.trade_statistics(ledger(s, d))),
     "max_drawdown": _of(lambda s, d: B.max_drawdown(hourly(s, d), "close", ("symbol",), "datetime")),

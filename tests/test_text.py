@@ -121,3 +121,39 @@ def test_prices(spark):
     cases = ["buy 50k or 2.5M now", "$1,250.5k at 3m", "12kg and 4K_", "9kk 7Mé 8m.", "1.5k1 k 2k,3M"]
     got = clean_text(spark.createDataFrame([(t,) for t in cases], "text string"), "text", prices=True).collect()
     assert [r.clean for r in got] == [clean(t, True) for t in cases]
+
+
+@pytest.mark.parametrize(("n", "most", "aim"), [(400, 3, 64), (400, 3, 0), (300, 1, 1), (200, 0, 64)])
+def test_hamming_pairs(spark, n, most, aim):
+    """No pair is lost or told twice, whatever the number of blocks."""
+    import random
+
+    from barflow.operators.posts import hamming_pairs
+
+    rng = random.Random(n + most)
+    hashes = [rng.getrandbits(64) for _ in range(n // 4)]
+    while len(hashes) < n:
+        x = rng.choice(hashes)
+        for _ in range(rng.randrange(0, 5)):
+            x ^= 1 << rng.randrange(64)
+        hashes.append(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in hashes]
+    first = {}
+    for k, x in enumerate(signed):
+        first.setdefault(x, k)
+    keys = sorted(first.items(), key=lambda kv: kv[1])
+    want = sorted((a, b, ((x ^ y) & ((1 << 64) - 1)).bit_count()) for j, (y, b) in enumerate(keys) for x, a in keys[:j] if ((x ^ y) & ((1 << 64) - 1)).bit_count() <= most)
+    got = hamming_pairs(spark.createDataFrame(list(enumerate(signed)), "id long, simhash long"), "id", most=most, aim=aim)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_hamming_groups_stay_small(spark):
+    """Keys of ten million random hashes: as many blocks as are chosen for them leave no key above 64 members."""
+    from pyspark.sql import functions as F
+
+    from barflow.operators.posts import _blocks_for, hamming_keys
+
+    n = 10_000_000
+    keys = hamming_keys(F.xxhash64("id"), _blocks_for(n, 3, 64), 3)
+    largest = spark.range(n).select(keys[0].alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
+    assert len(keys) == 10 and largest <= 64
