@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from barflow.functions.windows import Series, correlation
 from barflow.operators.bars import fill, resample
+from barflow.operators.quantiles import exact_quantiles
 
 ORDER = "datetime"
 
@@ -52,10 +53,12 @@ def z_target(df: DataFrame, target: str, keys: tuple[str, ...] = ("symbol",)) ->
 
 def robust_scale(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     """(x - median) / interquartile range, both exact and of the training rows only; a range of 0 counts as 1."""
-    stats = df.filter(train).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__{c}") for c in columns])
-    met = df.join(F.broadcast(stats), F.lit(True))  # one row
-    q = lambda c, k: F.get(F.col(f"__{c}"), F.lit(k))
-    return met.withColumns({c: (F.col(c) - q(c, 1)) / F.coalesce(F.nullif(q(c, 2) - q(c, 0), F.lit(0.0)), F.lit(1.0)) for c in columns}).drop(*[f"__{c}" for c in columns])
+    q = exact_quantiles(df.filter(train), {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    scaled = {}
+    for c, (low, mid, high) in q.items():
+        span = None if low is None else (high - low) or 1.0
+        scaled[c] = (F.col(c) - F.lit(mid).cast("double")) / F.lit(span).cast("double")
+    return df.withColumns(scaled)
 
 
 def sentiment_features(hourly: DataFrame, prefix: str, count: str, keys: tuple[str, ...] = (), time: str = "time_window", lags: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions.windows import Series
+from barflow.operators.quantiles import exact_quantiles
 
 
 def _three(up: Column, down: Column) -> Column:
@@ -51,7 +52,8 @@ def from_price(df: DataFrame, pred: str = "pred", close: str = "close", k: float
 
 def is_log_return(df: DataFrame, pred: str = "pred") -> DataFrame:
     """One row: whether the median size of the predictions is below 0.05."""
-    return df.agg((F.median(F.abs(pred)) < 0.05).alias("is_log_return"))
+    (median,) = exact_quantiles(df, {"size": F.abs(pred)}, [0.5])["size"]
+    return df.sparkSession.range(1).select((F.lit(median).cast("double") < 0.05).alias("is_log_return"))
 
 
 def from_probability(df: DataFrame, p: str = "p", high: float = 0.55, low: float = 0.45) -> DataFrame:
@@ -61,10 +63,8 @@ def from_probability(df: DataFrame, p: str = "p", high: float = 0.55, low: float
 def consensus(df: DataFrame, cls: str = "cls", p: str = "p", reg: str = "reg", least: float = 0.55, threshold: float | None = None) -> DataFrame:
     """Long if the class is 1, the regression above the threshold (default: 85th percentile of its size) and p at least 0.55; short mirrored."""
     if threshold is None:
-        limit = df.agg(F.percentile(F.abs(reg), F.lit(0.85)).alias("__limit"))
-        df = df.join(F.broadcast(limit), F.lit(True))  # one row
-    else:
-        df = df.withColumn("__limit", F.lit(float(threshold)))
+        (threshold,) = exact_quantiles(df, {"size": F.abs(reg)}, [0.85])["size"]
+    df = df.withColumn("__limit", F.lit(threshold).cast("double"))
     r = F.round(F.col(reg), 9)
     up = (F.col(cls) == 1) & (r > F.round("__limit", 9)) & (F.col(p) >= least)
     down = (F.col(cls) == 0) & (r < -F.round("__limit", 9)) & (F.round(1 - F.col(p), 9) >= least)

@@ -213,6 +213,14 @@ def q_search(spark, d):
     return r6(U.search(trials, predict, minutes(spark, d)))
 
 
+def q_halving(spark, d):
+    """The same grid, halved: six backtests of a third, three of two thirds, two of all."""
+    rows = hourly(spark, d).select("symbol", "datetime", (F.col("close") / F.col("open") - 1).alias("x"))
+    trials = U.grid(spark, limit=[0.05, 0.2, 0.5], weight=[1.0, -1.0])
+    predict = lambda t: rows.join(F.broadcast(t), F.lit(True)).select("trial", "symbol", "datetime", U.sign_beyond(F.col("x") * F.col("weight"), F.col("limit")).alias("signals"))  # noqa: E731 (the grid's few rows)
+    return r6(U.halving(trials, predict, minutes(spark, d), buckets=6))
+
+
 def q_backtest_v1(spark, d):
     """Half-day bars, as the first version leaves out intervals of ten bars or fewer."""
     half = R.resample(D.ticks(spark, d), "12h", ties=TIES)
@@ -398,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "permutation_importance": q_importance,
     "chunked_evaluation": q_chunked,
     "parameter_search": q_search,
+    "halving_search": q_halving,
     "backtest_v1": q_backtest_v1,
     "paged_candles": q_paged,
     "price_lookup": q_price_lookup,
