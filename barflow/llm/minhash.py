@@ -224,7 +224,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = 12
     buckets = classes.select("c", "n", F.explode("keys").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("c").alias("leader"), F.max("c").alias("other"), F.count("*").alias("times")).filter("leader <> other")
     leaders = scratch.keep(leaders.select("bucket", "leader", "times"))
-    shared = scratch.keep(join_hot(buckets, leaders.select("bucket", "leader"), "bucket", hot(leaders, "bucket", bands * classes.count())))
+    # buckets that hold at least 1/HOT of all postings, HOT at most, are looked up in a literal map; the others' few shared postings are joined
+    frequent = {r.bucket: r.leader for r in leaders.filter(F.col("times") >= max(2, -(-bands * classes.count() // HOT))).select("bucket", "leader").collect()}
+    shared = buckets.filter(~F.col("bucket").isin(list(frequent))).join(leaders.select("bucket", "leader"), "bucket").select("c", "n", "bucket", "leader")
+    if frequent:
+        table = F.create_map(*[F.lit(x) for kv in frequent.items() for x in kv])
+        shared = shared.unionByName(buckets.filter(F.col("bucket").isin(list(frequent))).withColumn("leader", F.try_element_at(table, F.col("bucket"))))
+    shared = scratch.keep(shared)
     stars = scratch.keep(shared.filter("c <> leader").select("c", "n", F.col("leader").alias("b")).distinct())
     members = stars.select("c").unionByName(stars.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "d"), "c")
     members = scratch.keep(members)
