@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,9 +192,40 @@ def lexicon(text: Column) -> tuple[Column, Column]:
 
 
 def score(df: DataFrame, text: str, scorer: Callable[[Column], tuple[Column, Column]] = lexicon) -> DataFrame:
-    """Add sentiment and sentiment_confidence. scorer: Column -> two Columns (a pandas UDF's fields, say)."""
+    """Add sentiment and sentiment_confidence. scorer: Column -> two Columns; ``plugged`` makes one of a model."""
     value, sure = scorer(F.coalesce(F.col(text), F.lit("")))
-    return df.withColumn("sentiment", value.cast("double")).withColumn("sentiment_confidence", sure)
+    return df.withColumns({"sentiment": value.cast("double"), "sentiment_confidence": sure})
+
+
+def plugged(load: Callable[[], Callable[[list[str]], list[tuple[float, float]]]], batch: int = 32) -> Callable[[Column], tuple[Column, Column]]:
+    """A scorer for ``score`` around a model: ``load`` runs once a task, what it returns scores up to ``batch`` texts at a time.
+
+    The model gives (sentiment, confidence) a text, in order. It never sees null or empty texts: those are neutral at 0.5, and
+    so is a text of a batch for which it raises ValueError; a model that gives another number of results is an error.
+    """
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = None
+        for part in texts:
+            out = np.tile([0.0, 0.5], (len(part), 1))
+            some = [k for k, t in enumerate(part) if t]
+            for at in range(0, len(some), batch):
+                model = model or load()
+                own = some[at : at + batch]
+                try:
+                    told = model([part.iloc[k] for k in own])
+                except ValueError:
+                    continue
+                if len(told) != len(own):
+                    raise RuntimeError(f"{len(own)} texts, {len(told)} scores")
+                out[own] = told
+            yield pd.DataFrame(out, columns=["sentiment", "confidence"])
+
+    def scorer(text: Column) -> tuple[Column, Column]:
+        both = F.pandas_udf(run, "sentiment double, confidence double")(text)
+        return both["sentiment"], both["confidence"]
+
+    return scorer
 
 
 HOURLY = ("sentiment_confidence", "emoji_count", "caps_ratio", "punct_intensity", "spam_score", "token_count")

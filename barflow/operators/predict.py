@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.functions.scratch import settle
 from barflow.functions.windows import Series
 from barflow.operators.quantiles import exact_quantiles
 
@@ -148,6 +152,117 @@ def autoregression(df: DataFrame, column: str, order: int = 2, ahead: int = 1, k
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def _lagged(x: np.ndarray, order: int, start: int) -> list[np.ndarray]:
+    """The rows from ``start`` on of x, 1 to ``order`` steps earlier."""
+    return [x[start - k : len(x) - k] for k in range(1, order + 1)]
+
+
+def hannan_rissanen(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(coefficients, residuals) of a vector ARMA(p, q) with a constant, by two regressions; None for a series too short.
+
+    A long autoregression gives the shocks; then every column is regressed on a constant, the last p values and the last q shocks.
+    Rows of the coefficients: the constant, the values by lag, the shocks by lag.
+    """
+    n, d = x.shape
+    long = max(p, q) + max(1, int(np.log(max(n, 2)) ** 1.2)) if q else 0
+    start = long + max(p, q)
+    if n - start <= 1 + (p + q) * d:
+        return None
+    shocks = np.zeros_like(x)
+    if q:
+        a = np.column_stack([np.ones(n - long), *_lagged(x, long, long)])
+        shocks[long:] = x[long:] - a @ np.linalg.lstsq(a, x[long:], rcond=None)[0]
+    a = np.column_stack([np.ones(n - start), *_lagged(x, p, start), *_lagged(shocks, q, start)])
+    beta = np.linalg.lstsq(a, x[start:], rcond=None)[0]
+    told = np.zeros_like(x)
+    for t in range(max(p, q), n):  # the shocks that the fitted model itself sees
+        told[t] = x[t] - np.concatenate([[1.0], *[x[t - k] for k in range(1, p + 1)], *[told[t - k] for k in range(1, q + 1)]]) @ beta
+    return beta, told
+
+
+def arima(df: DataFrame, columns: list[str], p: int = 1, d: int = 1, q: int = 1, ahead: int = 1, keys: tuple[str, ...] = ("symbol",), time: str = "datetime") -> DataFrame:
+    """(keys, step, a forecast of every column): ARIMA(p, d, q) of one column, or the vector form of several, fitted a series.
+
+    Values are differenced d times, fitted by ``hannan_rissanen``, forecast with shocks of 0, and summed back up d times.
+    A series too short for its orders repeats its last values; rows with a null go.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(time)[columns].dropna().to_numpy(float)
+        levels, fit = [x], None
+        for _ in range(d):
+            levels.append(np.diff(levels[-1], axis=0))
+        if len(levels[-1]) > max(p, q):
+            fit = hannan_rissanen(levels[-1], p, q)
+        out = [x[-1] if len(x) else np.full(len(columns), np.nan)] * ahead
+        if fit is not None:
+            beta, shocks = fit
+            past, noise, made = list(levels[-1]), list(shocks), []
+            for _ in range(ahead):
+                row = np.concatenate([[1.0], *[past[-k] for k in range(1, p + 1)], *[noise[-k] for k in range(1, q + 1)]])
+                past.append(row @ beta)
+                noise.append(np.zeros(len(columns)))
+                made.append(past[-1])
+            out = np.array(made)
+            for level in levels[-2::-1]:
+                out = level[-1] + np.cumsum(out, axis=0)
+        first = rows[list(keys)].iloc[0].to_dict()
+        return pd.DataFrame([first | {"step": k + 1} | dict(zip(columns, v, strict=True)) for k, v in enumerate(out)])
+
+    schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + ", step long, " + ", ".join(f"{c} double" for c in columns)
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+@dataclass
+class Boosted:
+    """Boosted trees for labels of any number of classes, with calibrated chances.
+
+    Spark's booster knows two classes, so each class is boosted against the rest; the margins of the rows held back from fitting
+    give each class a logistic calibration, and the calibrated chances are brought to a sum of one.
+    """
+
+    classes: list
+    features: list[str]
+    models: list
+    calibrations: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add p_<class> and prediction (the likeliest class, ties to the first); rows with a null feature have nulls."""
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+
+        out = VectorAssembler(inputCols=self.features, outputCol="__x", handleInvalid="keep").transform(df)
+        for k, (model, (slope, shift)) in enumerate(zip(self.models, self.calibrations, strict=True)):
+            out = model.transform(out).withColumn(f"__s{k}", 1 / (1 + F.exp(-(F.lit(slope) * F.get(vector_to_array("__raw"), F.lit(1)) + F.lit(shift))))).drop("__raw", "__p", "__y")
+        sound = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in self.features])
+        names = [f"p_{c}" for c in self.classes]
+        total = reduce(lambda a, b: a + b, [F.col(f"__s{k}") for k in range(len(names))])
+        out = out.withColumns({n: F.when(sound, F.col(f"__s{k}") / total) for k, n in enumerate(names)})
+        best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+        return out.withColumn("prediction", F.coalesce(*[F.when(F.col(n) == best, F.lit(c)) for n, c in zip(names, self.classes, strict=True)])).drop("__x", *[f"__s{k}" for k in range(len(names))])
+
+
+def boosted_classes(df: DataFrame, features: list[str], label: str, held: Column, seed: int = 7, **params) -> Boosted:
+    """Fit ``Boosted`` on the rows where ``held`` is false, calibrate on the others. The classes (few) come to the driver; null labels and rows with a null feature take no part."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.filter(F.col(label).isNotNull()).withColumn("__held", F.coalesce(held, F.lit(False)))
+    rows = settle(VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(rows).select("__x", "__held", F.col(label).alias("__label")))
+    classes = [r[0] for r in rows.select("__label").distinct().orderBy("__label").collect()]
+    models, calibrations = [], []
+    for c in classes:
+        own = rows.withColumn("__own", (F.col("__label") == F.lit(c)).cast("double"))
+        booster = GBTClassifier(featuresCol="__x", labelCol="__own", predictionCol="__y", seed=seed, **params)
+        model = booster.setRawPredictionCol("__raw").setProbabilityCol("__p").fit(own.filter("NOT __held"))
+        margin = model.transform(own.filter("__held")).select("__own", array_to_vector(F.array(F.get(vector_to_array("__raw"), F.lit(1)))).alias("__m"))
+        line = LogisticRegression(featuresCol="__m", labelCol="__own", regParam=1e-3).fit(margin) if margin.select("__own").distinct().count() == 2 else None
+        calibrations.append((float(line.coefficients[0]), float(line.intercept)) if line else (2.0, 0.0))
+        models.append(model)
+    return Boosted(classes, features, models, calibrations)
+
+
 def trainer(kind: str, features: list[str], label: str, seed: int = 7, **params):
     """A pyspark.ml pipeline by name: rf_classifier, rf_regressor, gbt_regressor, gbt_classifier, logistic, linear."""
     from pyspark.ml import Pipeline

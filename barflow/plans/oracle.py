@@ -443,9 +443,8 @@ _SOFT = "SELECT symbol, datetime, [(open - close) / 10, (high - close) / 10, (cl
 ORACLE_SQL |= {
     "chunked_evaluation": f"SELECT * FROM ({_CHUNK(0)}) UNION ALL SELECT * FROM ({_CHUNK(1)})",
     "backtest_v1": _V1,
-    "paged_candles": """WITH s AS (SELECT unnest(['BTCUSDT', 'ETHUSD']) AS symbol), t AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-04 12:30:00', INTERVAL 5 MINUTE)) AS datetime),
-        n AS (SELECT symbol, datetime, CAST(epoch(datetime) // 60 % 997 + len(symbol) AS DOUBLE) AS n FROM s, t)
-        SELECT 'binance' AS exchange, symbol, datetime, round(n / 10, 6) AS open, round(n / 10 + 1, 6) AS high, round(n / 10 - 1, 6) AS low, round(n / 10 + 0.5, 6) AS close, n AS volume FROM n""",
+    "paged_candles": f"""WITH {TICKS}, {bucketed('fives', '5 minutes')} SELECT 'binance' AS exchange, upper(symbol) AS symbol, datetime, {', '.join(f'{r(c)} AS {c}' for c in ('open', 'high', 'low', 'close'))}, CAST(volume AS DOUBLE) AS volume
+        FROM fives WHERE datetime BETWEEN '2024-01-02' AND '2024-01-20 12:30:00'""",
     "price_lookup": f"WITH {BARS}, m AS (SELECT symbol, datetime + INTERVAL 1 HOUR AS datetime, CASE WHEN close > open THEN 1 ELSE -1 END AS signal FROM b) SELECT symbol, datetime, signal, round(c.close, 6) AS actual_price FROM m LEFT JOIN (SELECT symbol, datetime, close FROM bars) c USING (symbol, datetime)",
     "target_lookup": f"WITH {BARS}, t AS (SELECT symbol, datetime, rn, CASE WHEN count(*) OVER f = 15 THEN max(close) OVER f END AS target FROM b WINDOW f AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING)) SELECT symbol, datetime, round(target, 6) AS original_target FROM t WHERE rn > 1",
     "join_indicators": f"WITH {BARS} SELECT symbol, datetime, round(close, 6) AS close, coalesce({r(mean(_C, 30))}, 0) AS sma, coalesce({r('100 * (close / nullif(' + lag('close', 10) + ', 0) - 1)')}, 0) AS roc FROM b",
@@ -463,3 +462,5 @@ ORACLE_SQL |= {
 
 # the same rows by other means
 ORACLE_SQL |= {f"split_{x}": ORACLE_SQL[f"ind_{x}"] for x in ("ema", "tema", "macd", "rsi", "atr")} | {"backtest_folded": ORACLE_SQL["backtest_ledger"]}
+ORACLE_SQL["stream_candles"] = ORACLE_SQL["paged_candles"]
+ORACLE_SQL["stream_windows"] = f"SELECT symbol, datetime, sma, ema, mom FROM ({ORACLE_SQL['ind_sma']}) JOIN ({ORACLE_SQL['ind_ema']}) USING (symbol, datetime) JOIN ({ORACLE_SQL['ind_mom']}) USING (symbol, datetime)"

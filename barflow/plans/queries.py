@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.functions.rounding import round_exact
+from barflow.functions.scratch import scratch_root, settle
 from barflow.operators import backtest as B
-from barflow.operators import scan as SC
-from barflow.operators.backtest_fold import backtest_fold
 from barflow.operators import bars as R
 from barflow.operators import features as X
 from barflow.operators import lookups as K
 from barflow.operators import posts as T
 from barflow.operators import predict as M
+from barflow.operators import scan as SC
 from barflow.operators import signals as S
 from barflow.operators import tuning as U
+from barflow.operators.backtest_fold import backtest_fold
 from barflow.operators.candles import add_patterns
 from barflow.operators.indicators import INDICATORS, add_indicators
 from barflow.sources import exchanges as E
 from barflow.sources import tables as D
+from barflow.streaming import windows as W
 
 TIES = ("event_id",)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +189,14 @@ def q_random_forest(spark, d):
     return model.transform(parts.filter("part = 1")).select("symbol", "datetime", F.col("target"), F.col("prediction").cast("int").alias("prediction"))
 
 
+def q_boosted(spark, d):
+    """Which way the next bar goes, by more than a tenth of its price or neither: three classes with their chances."""
+    features = ["returns", "volatility", "volume_change", "sentiment_combined", "divergence"]
+    rows = X.split_by_position(model_table(spark, d), (0.6, 0.2, 0.2)).withColumn("way", F.when(F.col("target_return") > 0.1, 1).when(F.col("target_return") < -0.1, -1).otherwise(0))
+    model = M.boosted_classes(rows.filter("part < 2"), features, "way", F.col("part") == 1, maxIter=5, maxDepth=3)
+    return r6(model.transform(rows.filter("part = 2")).select("symbol", "datetime", "way", "prediction", "`p_-1`", "p_0", "p_1"))
+
+
 def minutes(spark: SparkSession, d: str) -> DataFrame:
     return R.resample(D.ticks(spark, d), "1m", ties=TIES)
 
@@ -229,11 +240,49 @@ def q_backtest_v1(spark, d):
     return r6(B.backtest(s, minutes(spark, d), B.Rules(take_profit=30.0, stop_loss=20.0, fee=0.05), version=1))
 
 
+def _candle_store(spark: SparkSession, d: str) -> str:
+    """Five-minute bars of the ticks as the table that a candle service answers from."""
+    place = f"{scratch_root(spark)}/candles-{uuid.uuid4().hex}"
+    E.store_candles(R.resample(D.ticks(spark, d), "5m", ties=TIES), place, "5m")
+    return f"barflow.sources.exchanges:table_client?{place if ':' in place else 'file://' + place}"
+
+
+SYMBOLS = ["click", "purchase", "view", "signup", "error", "nothing"]
+
+
 def q_paged(spark, d):
-    c = E.read_candles(spark, "binance", "barflow.sources.exchanges:rule_client", ["btcusdt", "ETHUSD"], "2024-01-01", "2024-01-04 12:30:00", "5m", limit=100, hours=24)
+    """All candles of a time, in pages of a hundred, a day a task."""
+    c = E.read_candles(spark, "binance", _candle_store(spark, d), SYMBOLS, "2024-01-02", "2024-01-20 12:30:00", "5m", limit=100, hours=24)
     return r6(c.select("exchange", "symbol", "datetime", *R.OHLCV))
 
 
+def _drain(out: DataFrame, root: str) -> None:
+    """What there is now, appended to root/rows."""
+    out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/rows").trigger(availableNow=True).start().awaitTermination()
+
+
+def q_stream_candles(spark, d):
+    """The same as a stream, stopped after half of the time and started again on its checkpoint."""
+    client, root = _candle_store(spark, d), f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    for end in ("2024-01-11", "2024-01-20 12:30:00"):
+        _drain(E.stream_candles(spark, "binance", client, SYMBOLS, "2024-01-02", end, "5m", limit=100, hours=24), root)
+    return r6(spark.read.parquet(f"{root}/rows").select("exchange", "symbol", "datetime", *R.OHLCV))
+
+
+def q_stream_windows(spark, d):
+    """Indicators over a stream of hourly bars, in four batches of a stretch of time each."""
+    root = f"{scratch_root(spark)}/windows-{uuid.uuid4().hex}"
+    bars = settle(hourly(spark, d).select("symbol", "datetime", "close"))
+    first, last = bars.agg(F.min("datetime"), F.max("datetime")).first()
+    for k in range(4):  # a file each, in the order of time
+        own = bars.filter((F.col("datetime") >= first + (last - first) * k / 4) & (F.lit(k == 3) | (F.col("datetime") < first + (last - first) * (k + 1) / 4)))
+        own.coalesce(1).write.mode("append").parquet(f"{root}/bars")
+    live = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/bars")
+    with W.rocksdb(spark):
+        _drain(W.row_windows(live, {"sma": ("sma", 30), "ema": ("ema", 30), "mom": ("mom", 10)}), root)
+    return r6(spark.read.parquet(f"{root}/rows").filter("NOT late").select("symbol", "datetime", "sma", "ema", "mom"))
+
+
 def q_price_lookup(spark, d):
     rows = model_signal(spark, d).withColumn("datetime", F.col("datetime") + F.expr("INTERVAL 1 HOUR"))
     return r6(K.price_lookup(rows, D.ticks(spark, d), "1h", ties=TIES))
@@ -403,12 +452,17 @@ QUERIES: dict[str, Query] = {
     "class_weights": _of(lambda s, d: X.class_weights(model_table(s, d), "target", 2)),
     "random_forest": q_random_forest,
     "gradient_boosting": q_gbt,
+    "boosted_classes": q_boosted,
+    "arima": _of(lambda s, d: M.arima(hourly(s, d), ["close"], 2, 1, 1, 3)),
+    "varima": _of(lambda s, d: M.arima(hourly(s, d), ["close", "volume"], 1, 1, 1, 2)),
     "permutation_importance": q_importance,
     "chunked_evaluation": q_chunked,
     "parameter_search": q_search,
     "halving_search": q_halving,
     "backtest_v1": q_backtest_v1,
     "paged_candles": q_paged,
+    "stream_candles": q_stream_candles,
+    "stream_windows": q_stream_windows,
     "price_lookup": q_price_lookup,
     "target_lookup": q_target_lookup,
     "join_indicators": q_join_indicators,

@@ -17,12 +17,17 @@ LANDING = {
 SECONDS = ("kraken", "mt5")
 
 
-def landing(raw: DataFrame, exchange: str, symbol: Column) -> DataFrame:
-    """An exchange's landing rows as (exchange, symbol, datetime, OHLCV); bad numbers are null, of a repeated stamp the smallest row stays."""
+def landing_rows(raw: DataFrame, exchange: str, symbol: Column) -> DataFrame:
+    """An exchange's landing rows as (exchange, symbol, datetime, OHLCV); bad numbers are null."""
     time = LANDING[exchange].split()[0]
     stamp = F.timestamp_seconds(F.col(time)) if exchange in SECONDS else F.timestamp_millis(F.col(time))
     df = raw.withColumnRenamed("tick_volume", "volume") if exchange == "mt5" else raw
-    rows = cast_numbers(df.select(F.lit(exchange).alias("exchange"), symbol.alias("symbol"), stamp.cast("timestamp_ntz").alias("datetime"), *OHLCV))
+    return cast_numbers(df.select(F.lit(exchange).alias("exchange"), symbol.alias("symbol"), stamp.cast("timestamp_ntz").alias("datetime"), *OHLCV))
+
+
+def landing(raw: DataFrame, exchange: str, symbol: Column) -> DataFrame:
+    """``landing_rows`` where of a repeated stamp the smallest row stays."""
+    rows = landing_rows(raw, exchange, symbol)
     return rows.groupBy("exchange", "symbol", "datetime").agg(F.min(F.struct(*OHLCV)).alias("r")).select("exchange", "symbol", "datetime", "r.*")
 
 
