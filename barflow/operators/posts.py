@@ -184,10 +184,21 @@ def coin_mentions(df: DataFrame, text: str, subreddit: str = "subreddit", blocke
     return rows.withColumn("coin", F.explode(F.array_compact(coins)))
 
 
+_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+
+
+def _listed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """How many words of either list a text holds; words are runs of a to z of the lower-cased text."""
+    up, down = frozenset(w.encode() for w in POSITIVE), frozenset(w.encode() for w in NEGATIVE)
+    for part in texts:
+        words = [(t or "").lower().encode().translate(_LETTERS).split() for t in part]
+        yield pd.DataFrame({"up": [sum(w in up for w in x) for x in words], "down": [sum(w in down for w in x) for x in words]})
+
+
 def lexicon(text: Column) -> tuple[Column, Column]:
     """(sentiment -1..1, confidence 0.5..1) by counted words: the built-in scorer where no model is plugged in; empty is neutral at 0.5."""
-    count = lambda words: F.regexp_count(F.lower(text), F.lit(f"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"))
-    up, down = count(POSITIVE), count(NEGATIVE)
+    both = F.pandas_udf(_listed, "up long, down long")(text)
+    up, down = both["up"], both["down"]
     return F.signum(up - down), 0.5 + 0.5 * F.coalesce(F.try_divide(F.abs(up - down), up + down), F.lit(0.0))
 
 

@@ -117,12 +117,25 @@ def adf_statistic(x: np.ndarray, lags: int | None = None) -> tuple[float, bool]:
     return best[1], best[1] < c + c1 / best[2] + c2 / best[2] ** 2
 
 
+# Inputs that are bounded or whole by their making, and are never differenced; so is every pattern (CDL...).
+BOUNDED = (
+    "datetime target future_close rsi_14 mfi_14 cci_14 willr_14 stoch_k stoch_d stochf_k stochf_d stochrsi_k stochrsi_d aroon_up aroon_down aroonosc adx_14 adxr_14 dx_14 bop "
+    "rsi mfi cci willr stoch stochf stochrsi aroon adx adxr dx"
+).split()
+
+
+def may_wander(columns: list[str]) -> list[str]:
+    """The columns that a test of stationarity is for: no bounded oscillators, patterns, stamps or targets."""
+    return [c for c in columns if c.lower() not in BOUNDED and not c.upper().startswith("CDL")]
+
+
 def make_stationary(df: DataFrame, columns: list[str], most: int = 2, keys: tuple[str, ...] = ("symbol",), time: str = "datetime") -> DataFrame:
-    """Difference each column of a series up to ``most`` times until the test holds; rows with gaps go."""
+    """Difference each column of a series up to ``most`` times until the test holds, but for those that cannot wander (``may_wander``); rows with gaps go."""
+    wander = may_wander(columns)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(time)
-        for c in columns:
+        for c in wander:
             for _ in range(most):
                 if adf_statistic(rows[c].to_numpy(float))[1]:
                     break

@@ -114,6 +114,29 @@ def signals(bars: DataFrame, names: list[str], params: dict | None = None, keys:
     return out.withColumns(made).select(*keys, time, *[f"sig_{n}" for n in names])
 
 
+def working(bars: DataFrame, names: list[str], params: dict | None = None, keys: tuple[str, ...] = ("symbol",), time: str = "datetime") -> tuple[list[str], dict[str, str]]:
+    """(names whose signals can be planned over these bars, name -> why not): unknown ones, bad parameters, missing columns.
+
+    Each name is planned by itself, on the driver and without a job, so one that fails takes no other with it.
+    """
+    good, bad = [], {}
+    for n in names:
+        try:
+            assert signals(bars, [n], params, keys, time).schema
+            good.append(n)
+        except Exception as e:  # whatever keeps it from being planned is told
+            bad[n] = str(e).strip().split("\n")[0]
+    return good, bad
+
+
+def run_vote_reporting(bars: DataFrame, names: list[str], params: dict | None = None, keys: tuple[str, ...] = ("symbol",), time: str = "datetime") -> tuple[DataFrame, dict[str, str]]:
+    """The vote of those that work, and why the others do not; raises only if none does."""
+    good, bad = working(bars, names, params, keys, time)
+    if not good:
+        raise ValueError(f"no signal works: {bad}")
+    return vote(signals(bars, good, params, keys, time), keys, time), bad
+
+
 def vote(signal_rows: DataFrame, keys: tuple[str, ...] = ("symbol",), time: str = "datetime", model: DataFrame | None = None) -> DataFrame:
     """(keys, time, signals): rows with any null go, every vote is taken from the row before, the first and last row go, the larger camp wins.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barflow.functions.scratch import settle
 from barflow.operators.bars import OHLCV, cast_numbers
 
 # The landing columns of each exchange's candles; the time column comes first.
@@ -77,6 +78,44 @@ def append(df: DataFrame, path: str, time: str | None = "datetime", keys: tuple[
     return seen.get["n"]
 
 
+def replace_partitions(df: DataFrame, path: str, by: tuple[str, ...], keys: tuple[str, ...] = (), latest: str | None = None) -> DataFrame:
+    """Rows into a table that is partitioned ``by``: with keys, a key is there once, and what is new replaces what was (of new rows the largest ``latest``).
+
+    Only partitions that df has rows of are read and written again; they are known only to the join, never to the driver. The new
+    partitions are written beside the table first, so nothing is read from what is being replaced, and then swapped in one job by
+    dynamic overwrite. What the table lacks in columns, or df, is null. Returns the rows that were written.
+    """
+    spark = df.sparkSession
+    own = df
+    if keys:
+        order = [F.col(latest).desc_nulls_last()] if latest else []
+        rest = [F.col(c) for c, t in df.dtypes if c not in keys and not t.startswith("map")]
+        own = df.withColumn("__n", F.row_number().over(Window.partitionBy(*by, *[k for k in keys if k not in by]).orderBy(*order, *rest))).filter("__n = 1").drop("__n")
+    if exists(spark, path):
+        old = spark.read.option("mergeSchema", "true").parquet(path)
+        touched = own.select(*by).distinct()
+        there = old.join(touched, list(by), "left_semi")
+        if keys:
+            names = list(dict.fromkeys([*by, *keys]))
+            there = there.join(own.select(*names), names, "left_anti")
+            own = there.unionByName(own, allowMissingColumns=True)
+    settled = settle(own)
+    settled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    return settled
+
+
+def unique_append(df: DataFrame, path: str, keys: tuple[str, ...] = ("datetime",), by: tuple[str, ...] = ()) -> int:
+    """Append rows whose keys the table lacks, and refuse a batch that holds a key twice with different rows; returns the rows written.
+
+    A table without a uniqueness rule of its own keeps one this way: equal rows count once, a key with two different rows is an
+    error that names how many there are, and no row is written then.
+    """
+    twice = df.distinct().groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").count()
+    if twice:
+        raise ValueError(f"{twice} keys of {', '.join(keys)} have different rows")
+    return append(df.distinct(), path, None, keys, by)
+
+
 def new_rows(df: DataFrame, old: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Insert if absent: rows whose keys are not in old."""
     return df.join(old.select(*keys), list(keys), "left_anti")
@@ -88,7 +127,8 @@ def upsert_ignore(df: DataFrame, old: DataFrame, keys: tuple[str, ...]) -> DataF
 
 
 def lists_to_json(df: DataFrame) -> DataFrame:
-    return df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if f.dataType.typeName() == "array"} or {df.columns[0]: F.col(df.columns[0])})
+    lists = {f.name: F.to_json(f.name) for f in df.schema.fields if f.dataType.typeName() == "array"}
+    return df.withColumns(lists) if lists else df
 
 
 def create_schema(spark: SparkSession, name: str) -> None:
@@ -103,7 +143,8 @@ def drop_schema(spark: SparkSession, name: str) -> None:
 def with_columns_of(df: DataFrame, old: DataFrame) -> DataFrame:
     """df in the columns of a table it is to be appended to: what it lacks is null, what it adds comes after them."""
     kinds = dict(old.dtypes)
-    return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns} or {df.columns[0]: F.col(df.columns[0])}).select(*old.columns, *[c for c in df.columns if c not in kinds])
+    lacks = {c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns}
+    return (df.withColumns(lacks) if lacks else df).select(*old.columns, *[c for c in df.columns if c not in kinds])
 
 
 def write_csv(df: DataFrame, path: str, **options) -> None:

@@ -251,3 +251,54 @@ def test_tables(spark, tmp_path):
     assert D.with_columns_of(df, old).columns == ["id", "gone", "s", "x"]
     twice = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "id int, v string")
     assert D.append(twice, str(tmp_path / "k"), keys=("id",)) == 2 and sorted(r.v for r in spark.read.parquet(str(tmp_path / "k")).collect()) == ["a", "c"]
+
+
+def test_replaced_partitions(spark, tmp_path):
+    """Keys stay unique over writes, untouched partitions are not written again, columns may come."""
+    import os
+
+    from barflow.sources import tables as D
+
+    path, files = str(tmp_path / "t"), lambda day: sorted(os.listdir(tmp_path / "t" / f"day={day}"))
+    D.replace_partitions(spark.createDataFrame([(1, 10, "a", 1), (1, 10, "b", 2), (2, 20, "c", 1), (3, 30, "d", 1)], "day int, id int, v string, at int"), path, ("day",), ("id",), "at")
+    read = lambda: sorted((r.day, r.id, r.v) for r in spark.read.option("mergeSchema", "true").parquet(path).collect())
+    assert read() == [(1, 10, "b"), (2, 20, "c"), (3, 30, "d")]
+    before = files(2)
+    D.replace_partitions(spark.createDataFrame([(1, 10, "new", 9, 1.5), (1, 11, "e", 1, 2.5), (4, 40, "f", 1, 3.5)], "day int, id int, v string, at int, more double"), path, ("day",), ("id",), "at")
+    assert read() == [(1, 10, "new"), (1, 11, "e"), (2, 20, "c"), (3, 30, "d"), (4, 40, "f")] and files(2) == before
+    D.replace_partitions(spark.createDataFrame([(3, 31, "g", 1)], "day int, id int, v string, at int"), path, ("day",))
+    assert (3, 30, "d") not in read() and (3, 31, "g") in read()
+
+
+def test_unique_append(spark, tmp_path):
+    from barflow.sources import tables as D
+
+    path, rows = str(tmp_path / "u"), lambda x: spark.createDataFrame(x, "id int, v string")
+    assert D.unique_append(rows([(1, "a"), (1, "a"), (2, "b")]), path, ("id",)) == 2
+    with pytest.raises(ValueError, match="1 keys"):
+        D.unique_append(rows([(3, "a"), (3, "b"), (4, "c")]), path, ("id",))
+    assert D.unique_append(rows([(2, "z"), (5, "e")]), path, ("id",)) == 1
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b"), (5, "e")]
+
+
+def test_failing_signals_are_told(spark):
+    from barflow.operators.signals import run_vote, run_vote_reporting, working
+
+    rows = [("s", START + dt.timedelta(hours=k), float(k % 7)) for k in range(40)]
+    bars = spark.createDataFrame(rows, "symbol string, datetime timestamp_ntz, close double")
+    good, bad = working(bars, ["ROC", "NOPE", "WILLR", "CDLDOJI"])
+    assert good == ["ROC"] and set(bad) == {"NOPE", "WILLR", "CDLDOJI"} and all(bad.values())
+    voted, why = run_vote_reporting(bars, ["ROC", "WILLR"])
+    assert set(why) == {"WILLR"} and sorted(voted.collect()) == sorted(run_vote(bars, ["ROC"]).collect())
+    with pytest.raises(ValueError, match="no signal works"):
+        run_vote_reporting(bars, ["NOPE"])
+
+
+def test_what_is_never_differenced(spark):
+    from barflow.operators.predict import make_stationary, may_wander
+
+    assert may_wander(["close", "RSI_14", "rsi", "CDLDOJI", "cdlharami", "target", "ema_30", "BOP"]) == ["close", "ema_30"]
+    walk = np.cumsum(np.random.default_rng(1).normal(size=300)).tolist()
+    rows = [("s", START + dt.timedelta(hours=k), x, x) for k, x in enumerate(walk)]
+    got = make_stationary(spark.createDataFrame(rows, "symbol string, datetime timestamp_ntz, x double, rsi double"), ["x", "rsi"]).orderBy("datetime").collect()
+    assert [r.rsi for r in got] == walk[1:] and [r.x for r in got] == pytest.approx(np.diff(walk).tolist())
