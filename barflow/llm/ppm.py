@@ -232,8 +232,8 @@ def escapes(counts: DataFrame, absent: DataFrame, order: int, scratch: Scratch)
     return wide.mapInArrow(run, "gram long, log double")
 
 
-def text_scores(keys: np.ndarray, logs: np.ndarray, order: int, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """(log10 of the probability of each text's n-grams among keys, its other n-grams, each as often as it is there); at most 65,536 texts a call.
+def text_scores(keys: np.ndarray, logs: np.ndarray, order: int, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+    """(log10 of the probability of each text's n-grams among keys, its other n-grams, once each, how often they are there); at most 65,536 texts a call.
 
     The text's number stands below its n-grams' bits, so that one plain sort brings equal n-grams together."""
     n = len(offsets) - 1
@@ -250,10 +250,12 @@ def text_scores(keys: np.ndarray, logs: np.ndarray, order: int, raw: np.ndarray,
         log[hit] = logs[at[hit]]
     score = np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), np.repeat(log, times), n).astype(float)
     rest = both[np.repeat(~hit, times)]
+    first = np.flatnonzero(np.append(True, rest[1:] != rest[:-1])) if len(rest) else np.zeros(0, np.int64)
+    many, rest = np.diff(np.append(first, len(rest))), rest[first]
     of = (rest & np.uint64(0xFFFF)).astype(np.int64)
     by = np.argsort(of, kind="stable")
     ends = pa.array(np.searchsorted(of[by], np.arange(n + 1)).astype(np.int32))
-    return score, pa.ListArray.from_arrays(ends, pa.array((rest[by] >> np.uint64(16)).view(np.int64)))
+    return score, pa.ListArray.from_arrays(ends, pa.array((rest[by] >> np.uint64(16)).view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(many[by].astype(np.int32)))
 
 
 def ppm_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", order: int = 5, share: float = 4e-7, word_share: float = 2.5e-7) -> DataFrame:
@@ -277,7 +279,7 @@ def ppm_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     tier_keys, tier_logs = tier["gram"].to_numpy().view(np.uint64), tier["log"].to_numpy()
     sorted_ = np.argsort(tier_keys)
     model = spark.sparkContext.broadcast((tier_keys[sorted_], tier_logs[sorted_], often_keys[by], often_n[by]))
-    out = T.StructType([own.schema[0], T.StructField("held_out", T.BooleanType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("rare_n", T.ArrayType(T.IntegerType())), T.StructField("missed", T.ArrayType(T.LongType()))])
+    out = T.StructType([own.schema[0], T.StructField("held_out", T.BooleanType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("rare_n", T.ArrayType(T.IntegerType())), T.StructField("missed", T.ArrayType(T.LongType())), T.StructField("missed_n", T.ArrayType(T.IntegerType()))])
 
     def score(batches):
         top, logs_of, keys, n = model.value
@@ -303,9 +305,9 @@ def ppm_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
                 first = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1]))) if len(rare) else np.zeros(0, np.int64)
                 ends = pa.array(np.searchsorted(rare_of[first], np.arange(rows + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (rare[first].view(np.int64), np.diff(np.append(first, len(rare))).astype(np.int32))]
-                known_score, missed = text_scores(top, logs_of, order, raw, offsets)
+                known_score, *missed = text_scores(top, logs_of, order, raw, offsets)
                 made = [np.diff(offsets), np.bincount(of, minlength=rows), np.bincount(of[hits], minlength=rows), logs, known_score]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(~batch.column(1).to_numpy(zero_copy_only=False)), *map(pa.array, made), *lists, missed], names=out.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(~batch.column(1).to_numpy(zero_copy_only=False)), *map(pa.array, made), *lists, *missed], names=out.names)
 
     scored = scratch.keep(own.mapInArrow(score, out).withColumn("__row", F.monotonically_increasing_id()))
     rare = scored.select("__row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("__row", F.col("w.rare").alias("gram"), F.col("w.rare_n").alias("times"))
@@ -314,8 +316,8 @@ def ppm_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     sums = met.groupBy("__row").agg(F.sum(F.col("times") * F.log10(c + 0.1)).alias("rare_logs"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     absent = scratch.keep(scored.filter("held_out").select(F.explode("missed").alias("gram")).distinct().join(whole_grams, "gram", "left_anti"))
     logs = whole_grams.select("gram", "log").unionByName(escapes(counts, absent, order, scratch))
-    missed = scored.select("__row", F.explode("missed").alias("gram"))
-    joined = missed.join(logs, "gram").groupBy("__row").agg(F.sum("log").alias("missed_score"))
+    missed = scored.select("__row", F.explode(F.arrays_zip("missed", "missed_n")).alias("g")).select("__row", F.col("g.missed").alias("gram"), F.col("g.missed_n").alias("times"))
+    joined = missed.join(logs, "gram").groupBy("__row").agg(F.sum(F.col("times") * F.col("log")).alias("missed_score"))
     score_ = F.col("score") + F.coalesce("missed_score", F.lit(0.0))
     z = float(np.log10(seen + 0.1 * (distinct + 1)))
     return scored.join(sums, "__row", "left").join(joined, "__row", "left").select(

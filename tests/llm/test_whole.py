@@ -126,3 +126,21 @@ def test_op5_keys_and_blocks(spark, tmp_path, monkeypatch, often, direct, block)
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
     got = linededup.line_dedup(spark.read.parquet(str(tmp_path / "t"))).collect()
     assert {x.doc_id for x in got if x["__gone"]} == want
+
+
+def test_repeated_misses_are_sent_once():
+    """A held-out text that repeats itself sends each n-gram it misses once, with how often it is there."""
+    import numpy as np
+    import pyarrow as pa
+
+    from barflow.llm.common import text_buffers
+    from barflow.llm.ppm import text_scores
+
+    texts = ["zq" * 20_000, "", "zq" * 5, "abc"]
+    raw, offsets = text_buffers(pa.array(texts))
+    none = np.zeros(0, np.uint64)
+    score, missed, times = text_scores(none, np.zeros(0), 5, raw, offsets)
+    assert score.tolist() == [0.0] * 4
+    for text, grams, n in zip(texts, missed.to_pylist(), times.to_pylist(), strict=True):
+        assert len(set(grams)) == len(grams) == len(n) and sum(n) == len(text) + 1  # and the end
+    assert len(missed[0]) < 12 and max(times[0].as_py()) > 19_000
