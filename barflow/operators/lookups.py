@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.functions.scratch import settle
 from barflow.operators.bars import resample
 
 
@@ -51,11 +52,26 @@ def floor_to_step(quantity: Column, step: float) -> Column:
     return whole * F.lit(float(step))
 
 
+def numbered(df: DataFrame, by: str, order: tuple[str, ...], out: str) -> DataFrame:
+    """Add ``out``: a row's place in its group by ``order``, from 1 on, without a group in one task.
+
+    Rows are dealt by ranges of (by, order) and written with the number of their range; places within a range are counted
+    there, and what comes before a range is the sum of the counts of those before it, a row a group and range.
+    """
+    rows = settle(df.repartitionByRange(F.col(by), *[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()))
+    counts = rows.groupBy(by, "__part").agg(F.count("*").alias("__rows"))
+    along = Window.partitionBy(by).orderBy("__part")
+    before = counts.select(F.col(by).alias("__by"), F.col("__part").alias("__at"), (F.sum("__rows").over(along) - F.col("__rows")).alias("__before"))
+    inside = Window.partitionBy(by, "__part").orderBy(*order)
+    met = rows.withColumn("__n", F.row_number().over(inside)).join(before, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__at")))
+    return met.withColumn(out, F.col("__n") + F.col("__before")).drop("__part", "__by", "__at", "__before", "__n")
+
+
 def strategy_ids(strategies: DataFrame, order: tuple[str, ...], timeframe: str = "timeframe", symbol: str = "symbol", last: dict[str, int] | None = None) -> DataFrame:
     """Add ``strategy``: sig_<timeframe>_<symbol>_<n>, n counting on by timeframe from ``last``."""
-    w = Window.partitionBy(timeframe).orderBy(*order)
     start = F.coalesce(*([F.try_element_at(F.create_map(*[F.lit(x) for kv in last.items() for x in kv]), F.col(timeframe))] if last else []), F.lit(0))
-    return strategies.withColumn("strategy", F.concat_ws("_", F.lit("sig"), F.col(timeframe), F.lower(symbol), (start + F.row_number().over(w)).cast("string")))
+    placed = numbered(strategies, timeframe, order, "__place")
+    return placed.withColumn("strategy", F.concat_ws("_", F.lit("sig"), F.col(timeframe), F.lower(symbol), (start + F.col("__place")).cast("string"))).drop("__place")
 
 
 #: How the names of parameters end that are lengths of windows.

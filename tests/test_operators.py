@@ -302,3 +302,17 @@ def test_what_is_never_differenced(spark):
     rows = [("s", START + dt.timedelta(hours=k), x, x) for k, x in enumerate(walk)]
     got = make_stationary(spark.createDataFrame(rows, "symbol string, datetime timestamp_ntz, x double, rsi double"), ["x", "rsi"]).orderBy("datetime").collect()
     assert [r.rsi for r in got] == walk[1:] and [r.x for r in got] == pytest.approx(np.diff(walk).tolist())
+
+
+def test_places_without_a_large_task(spark):
+    from barflow.operators.lookups import numbered
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k) for k in rng.sample(range(10_000), 3000)]
+    got = numbered(spark.createDataFrame(rows, "g string, k long").repartition(7), "g", ("k",), "place")
+    assert got.columns == ["g", "k", "place"]
+    by = {}
+    for g, k in sorted(rows, key=lambda r: r[1]):
+        by.setdefault(g, []).append(k)
+    assert {(r.g, r.k, r.place) for r in got.collect()} == {(g, k, n) for g, own in by.items() for n, k in enumerate(own, 1)}
+    assert numbered(got.limit(0).drop("place"), "g", ("k",), "place").count() == 0
