@@ -18,8 +18,10 @@ import pyarrow as pa
 
 from barflow.llm.common import give_back, spans_hash, text_buffers
 
-#: Chunks longer than this are encoded each time, so that a cache entry stays small.
+#: Chunks longer than this are encoded each time, never looked up: a cache entry stays small, and no long text can be made to share a hash.
 LONGEST_CACHED = 64
+#: Chunks longer than this go to the tokenizer's own library: the second one overflows its stack on a run of some million spaces.
+LONGEST_NEAR = 1 << 16
 #: The other byte sequences of Unicode white space: C2 85, C2 A0, E1 9A 80, E2 80 .., E2 81 9F, E3 80 80.
 _LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 _SURE = np.ones(256, bool)
@@ -140,7 +142,7 @@ class Encoder:
         lens, out = np.zeros(len(parts), np.int32), [None] * len(parts)
         joined, alone, far = [], [], []
         for k, p in enumerate(parts):
-            if self.near is None or max(p) >= 0xCA:
+            if self.near is None or len(p) > LONGEST_NEAR or max(p) >= 0xCA:
                 far.append(k)
             elif len(p) > 1 and p[0] == 32 and p[1] != 32 and _SURE[p[1]] and not (p[1] == 0xC2 and p[2] in (0x85, 0xA0)):
                 joined.append(k)
@@ -176,6 +178,20 @@ class Encoder:
 
     def look(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: bool, hot: tuple[np.ndarray, np.ndarray] | None):
         """(length of each chunk, its place in ``flat``, flat); hot: sorted keys and lengths of the broadcast tier."""
+        long = ends - starts > LONGEST_CACHED
+        if not long.any():
+            return self._look_short(raw, starts, ends, ids, hot)
+        lens, place = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int64)
+        lens[~long], place[~long], flat = self._look_short(raw, starts[~long], ends[~long], ids, hot)
+        n, got = self.encode_chunks(raw, starts[long], ends[long])
+        lens[long] = n
+        if ids:
+            used = self.caches[ids].used
+            place[long] = used + np.cumsum(n, dtype=np.int64) - n
+            flat = np.concatenate([flat[:used], got])
+        return lens, place, flat
+
+    def _look_short(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: bool, hot: tuple[np.ndarray, np.ndarray] | None):
         keys = spans_hash(raw, starts, ends)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         lens, place = np.zeros(len(distinct), np.int32), np.zeros(len(distinct), np.int64)
@@ -186,20 +202,17 @@ class Encoder:
             lens[hit], open_ = hot[1][at[hit]], ~hit
         cache = self.caches[ids]
         todo = np.flatnonzero(open_)
-        at, hit = cache.find(distinct[todo])
-        new = todo[~hit]
+        new = todo[~cache.find(distinct[todo])[1]]
+        if len(cache.keys) + len(new) > cache.most:  # it starts anew, and what was found in it is wanted still
+            cache.clear()
+            new = todo
         if len(new):
             n, got = self.encode_chunks(raw, starts[first[new]], ends[first[new]])
-            short = (ends - starts)[first[new]] <= LONGEST_CACHED
-            cache.add(distinct[new[short]], n[short], got[np.repeat(short, n)])
-            lens[new] = n
-        flat = cache.flat
-        at, hit = cache.find(distinct[todo])
-        lens[todo[hit]], place[todo[hit]] = cache.lens[at[hit]], cache.starts[at[hit]]
-        if ids and len(new) and not short.all():
-            place[new[~short]] = cache.used + np.cumsum(n[~short]) - n[~short]
-            flat = np.concatenate([cache.flat[: cache.used], got[np.repeat(~short, n)]])
-        return lens[back], place[back], flat
+            cache.add(distinct[new], n, got)
+        at, _ = cache.find(distinct[todo])
+        if len(todo):
+            lens[todo], place[todo] = cache.lens[at], cache.starts[at]
+        return lens[back], place[back], cache.flat
 
     def count(self, column: pa.Array, hot: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Tokens of each text; a null text has none."""

@@ -222,3 +222,24 @@ def test_chunks_encode_alike():
     n, ids = e.encode(pa.array(texts))
     want = e.library([t or "" for t in texts])
     assert ids.tolist() == [x for w in want for x in w] and n.tolist() == e.count(pa.array(texts)).tolist() == [len(w) for w in want]
+
+
+def odd_texts():
+    """Words of many scripts, more than a small cache holds, texts that a hash by powers cannot tell apart, and very long runs."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdeéß中😀　 \n'1.") for _ in range(r.randint(1, 9))) for _ in range(900)]
+    turns = [k.bit_count() % 2 for k in range(2048)]
+    same = ["".join("ab"[b] for b in turns), "".join("ba"[b] for b in turns)]
+    return [" ".join(r.choice(words) for _ in range(60)) for _ in range(120)] + same + [" " * 1_500_000 + "x", None, "", "a <|endoftext|> b"]
+
+
+def test_encoder_forgets_nothing_within_a_batch():
+    from barflow.llm.bpe import Encoder
+
+    e, texts = Encoder("byte_bpe_50k.json", cache=400), odd_texts()
+    want = e.library([t or "" for t in texts])
+    for at in (0, 40, 0, 80):  # the cache starts anew between and within batches, with chunks it knows among those it does not
+        part = pa.array(texts[at:], pa.string())
+        n, ids = e.encode(part)
+        assert n.tolist() == [len(w) for w in want[at:]]
+        assert ids.tolist() == [i for w in want[at:] for i in w]
