@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barflow.llm.bpe import encoder
+from barflow.llm.bpe import LONGEST_CACHED, encoder
 from barflow.llm.common import slices, small_batches, spans_hash, text_buffers
 
 
@@ -39,6 +39,8 @@ def hot_table(docs: DataFrame, tokenizer: str, text: str = "text", hot_rows: int
             if not e.byte_level or not len(starts):
                 continue
             ends = np.append(starts[1:], len(raw))
+            short = ends - starts <= LONGEST_CACHED
+            starts, ends = starts[short], ends[short]
             keys, first, n = np.unique(spans_hash(raw, starts, ends), return_index=True, return_counts=True)
             best = np.argsort(-n, kind="stable")[:hot_size]
             lens, _ = e.encode_chunks(raw, starts[first[best]], ends[first[best]])

@@ -243,3 +243,19 @@ def test_encoder_forgets_nothing_within_a_batch():
         n, ids = e.encode(part)
         assert n.tolist() == [len(w) for w in want[at:]]
         assert ids.tolist() == [i for w in want[at:] for i in w]
+
+
+def test_op10_counts_all_chunks(spark):
+    """Whole slices with a full cache; long chunks are not in the broadcast table."""
+    from barflow.llm import bpe
+    from barflow.llm.tokencount import hot_table, token_counts
+
+    texts = odd_texts()
+    want = [len(w) for w in bpe.encoder("byte_bpe_50k.json").library([t or "" for t in texts])]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts(docs, "byte_bpe_50k.json").collect()} == {k: (len((t or "").encode()), n) for k, (t, n) in enumerate(zip(texts, want, strict=True))}
+    e = bpe.Encoder("byte_bpe_50k.json", cache=400)
+    hot = hot_table(docs, "byte_bpe_50k.json", hot_size=200)
+    for at in (0, 40, 0, 80):
+        assert e.count(pa.array(texts[at:], pa.string()), hot).tolist() == want[at:]
+    assert not len(hot_table(docs.filter("length(text) = 2048"), "byte_bpe_50k.json")[0])
