@@ -13,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.functions.batches import BYTES as _BYTES
+from barflow.functions.batches import ROWS as _ROWS
+from barflow.functions.batches import small_batches as small_batches
+
 pa.set_memory_pool(pa.system_memory_pool())  # an own pool keeps what it has had
 _TRIM = [ctypes.CDLL(None).malloc_trim] if hasattr(ctypes.CDLL(None), "malloc_trim") else []
 if hasattr(ctypes.CDLL(None), "mallopt"):  # else the C library keeps arrays of up to 32 MB, and twice that of free memory, once it has had them
@@ -33,17 +37,6 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
-    """Whole texts can be long: hand them to Python in batches of so many rows, and about so many bytes, at most."""
-    now = int(spark.conf.get(_ROWS))
-    if now <= 0 or now > rows:
-        spark.conf.set(_ROWS, str(rows))
-    spark.conf.set(_BYTES, str(size))
-
-
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """What runs inside hands Python so many rows at once: for rows of a few numbers, where small batches cost more than they hold."""

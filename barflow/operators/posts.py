@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions import text as X
+from barflow.functions.batches import small_batches
 from barflow.functions.rounding import round_exact
 from barflow.functions.scratch import settle
 
@@ -80,6 +81,7 @@ def apply_cleaning(df: DataFrame, text: str, features: bool = False, tickers: bo
 
 def simhash(df: DataFrame, text: str, out: str = "simhash") -> DataFrame:
     """Add the SimHash of a text's words; a text without any has 0."""
+    small_batches(df.sparkSession)
     return df.withColumn(out, F.pandas_udf(X.simhash64, "long")(F.col(text)))
 
 
@@ -191,8 +193,11 @@ def _listed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """How many words of either list a text holds; words are runs of a to z of the lower-cased text."""
     up, down = frozenset(w.encode() for w in POSITIVE), frozenset(w.encode() for w in NEGATIVE)
     for part in texts:
-        words = [(t or "").lower().encode().translate(_LETTERS).split() for t in part]
-        yield pd.DataFrame({"up": [sum(w in up for w in x) for x in words], "down": [sum(w in down for w in x) for x in words]})
+        found = np.zeros((len(part), 2), np.int64)
+        for k, t in enumerate(part):
+            words = (t or "").lower().encode().translate(_LETTERS).split()  # of one text at a time
+            found[k] = len([*filter(up.__contains__, words)]), len([*filter(down.__contains__, words)])
+        yield pd.DataFrame(found, columns=["up", "down"])
 
 
 def lexicon(text: Column) -> tuple[Column, Column]:
@@ -204,6 +209,7 @@ def lexicon(text: Column) -> tuple[Column, Column]:
 
 def score(df: DataFrame, text: str, scorer: Callable[[Column], tuple[Column, Column]] = lexicon) -> DataFrame:
     """Add sentiment and sentiment_confidence. scorer: Column -> two Columns; ``plugged`` makes one of a model."""
+    small_batches(df.sparkSession)
     value, sure = scorer(F.coalesce(F.col(text), F.lit("")))
     return df.withColumns({"sentiment": value.cast("double"), "sentiment_confidence": sure})
 

@@ -157,3 +157,22 @@ def test_hamming_groups_stay_small(spark):
     keys = hamming_keys(F.xxhash64("id"), _blocks_for(n, 3, 64), 3)
     largest = spark.range(n).select(keys[0].alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
     assert len(keys) == 10 and largest <= 64
+
+
+def test_word_list_holds_one_text_at_a_time(spark):
+    """Batches to Python are bounded in bytes and rows, and words are those of one text."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from barflow.functions.batches import BYTES, ROWS
+    from barflow.operators.posts import _listed, score
+
+    score(spark.createDataFrame([("up",)], "text string"), "text")
+    assert int(spark.conf.get(ROWS)) <= 2000 and int(spark.conf.get(BYTES).rstrip("bB")) <= 4 << 20
+    part = pd.Series(["up the bear goes " * 2000] * 50)
+    tracemalloc.start()
+    got = next(_listed(iter([part])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["up"].tolist() == got["down"].tolist() == [2000] * 50 and peak < 3_000_000
