@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,12 @@ from pyspark.sql import functions as F
 
 # White space, and what a word is made of, as the rules mean them: of all scripts, spelled out so that no engine's own idea of \\s and \\b counts.
 WS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-SPACE, SOLID = f"[{WS}]", f"[^{WS}]"
+SOLID = f"[^{WS}]"
+# The same as a class that looks most characters up in a table of bits and leaves the others at once: single characters below 256, then one range around the rest.
+SPACE = r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x20\x85\xA0[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]]"
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Runs of white space that are not a single space already.
+GAP = rf"\x20{SPACE}+|[\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]]{SPACE}*"
 BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 # The patterns and words of the cleaning rules. (?iu): either case in all scripts; (?d): only \n ends a line.
@@ -34,28 +40,50 @@ ENTITIES = {
     "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–",
     "&hellip;": "…", "&rsquo;": "'", "&lsquo;": "'", "&rdquo;": '"', "&ldquo;": '"',
 }
-#: Markdown in order: pattern and replacement.
+#: Markdown in order: pattern, replacement, and the signs of which a text must hold one.
 CODE, BOLD, HEADER = r"(?s)```.*?```", r"(?d)\*{1,3}(.*?)\*{1,3}", rf"(?md)^#{{1,6}}{SPACE}+"
 MARKDOWN = (
-    (CODE, " "),
-    (r"`[^`]+`", " "),
-    (BOLD, "$1"),
-    (r"(?d)~~(.*?)~~", "$1"),
-    (HEADER, ""),
-    (rf"(?md)^>+{SPACE}?", ""),
-    (rf"(?md)^[-*_]{{3,}}{SPACE}*$", " "),
-    (r"(?md)^\|?[-| :]+\|$", " "),
+    (CODE, " ", ("```",)),
+    (r"`[^`]+`", " ", ("`",)),
+    (BOLD, "$1", ("*",)),
+    (r"(?d)~~(.*?)~~", "$1", ("~~",)),
+    (HEADER, "", ("#",)),
+    (rf"(?md)^>+{SPACE}?", "", (">",)),
+    (rf"(?md)^[-*_]{{3,}}{SPACE}*$", " ", ("-", "*", "_")),
+    (r"(?md)^\|?[-| :]+\|$", " ", ("|",)),
 )
 
 
 def strip(x: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(x, F.lit(WHITE))
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x in the expression once, however often f names it: rules one after another would else double when a filter on their result is pushed below them."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+# What a text must hold in either case for a rule to match: pieces of the rule's words without i, k and s, which have cases beyond ASCII.
+def may_be_bot(x: Column) -> Column:
+    return _once(F.lower(x), lambda low: low.contains("bot") | low.contains("automat") | low.contains("moderator") | low.contains("the mod"))
+
+
+def may_have_url(x: Column) -> Column:
+    return _once(F.lower(x), lambda low: low.contains("://") | low.contains("www."))
+
+
+def may_be_moderator(x: Column) -> Column:
+    return _once(F.lower(x), lambda low: low.startswith("rem") | low.contains("read our") | low.contains("al adv") | low.contains("not your ") | low.contains("do your own re"))
 
 
 def is_noise(x: Column) -> Column:
     """Deleted placeholders and bot notices."""
-    return x.rlike(REMOVED) | x.rlike(BOT)
+    return x.rlike(REMOVED) | (may_be_bot(x) & x.rlike(BOT))
+
+
+def has_url(x: Column) -> Column:
+    return may_have_url(x) & x.rlike(URL)
 
 
 def _each(x: Column, pattern: str, group: int, value: Callable[[Column], Column]) -> Column:
@@ -82,20 +110,24 @@ def expand_prices(x: Column) -> Column:
     return x
 
 
-def strip_markdown(x: Column) -> Column:
-    for pattern, to in MARKDOWN:
-        x = F.regexp_replace(x, pattern, to)
-    return x
+def _where(x: Column, may: Callable[[Column], Column], pattern: str, to: str) -> Column:
+    """The pattern's matches replaced in texts that may have one."""
+    return _once(x, lambda v: F.when(may(v), F.regexp_replace(v, pattern, to)).otherwise(v))
+
+
+def markdown_steps(x: Column) -> list[Column]:
+    """A stage a rule, applied where a text holds its signs."""
+    return [_where(x, lambda v, marks=marks: reduce(lambda a, b: a | b, [v.contains(m) for m in marks]), pattern, to) for pattern, to, marks in MARKDOWN]
 
 
 def collapse(x: Column) -> Column:
-    return strip(F.regexp_replace(x, f"{SPACE}+", " "))
+    return strip(F.regexp_replace(x, GAP, " "))
 
 
 def clean_steps(x: Column, tickers: bool = True, prices: bool = False) -> list[Column]:
     """The cleaning as stages for one projection after another (each names the stage before it ``__clean``)."""
     c = F.col("__clean")
-    steps = [strip(F.coalesce(x, F.lit(""))), F.when(is_noise(c), "").otherwise(c), F.regexp_replace(decode_entities(c), TAG, " "), F.regexp_replace(c, URL, "[URL]"), strip_markdown(c), F.regexp_replace(c, MODERATOR, " ")]
+    steps = [strip(F.coalesce(x, F.lit(""))), _once(c, lambda v: F.when(is_noise(v), "").otherwise(v)), F.regexp_replace(decode_entities(c), TAG, " "), _where(c, may_have_url, URL, "[URL]"), *markdown_steps(c), _where(c, may_be_moderator, MODERATOR, " ")]
     if tickers:
         steps.append(F.regexp_replace(c, TICKER, "$1"))
     if prices:

@@ -62,7 +62,7 @@ def text_features(df: DataFrame, raw: str, clean: str) -> DataFrame:
         "punct_intensity": n(c, X.INTENSE),
         "exclamations": n(c, "!"),
         "questions": n(c, r"\?"),
-        "had_url": r.rlike(X.URL),
+        "had_url": X.has_url(r),
         "had_bot": X.is_noise(r),
         "had_markdown": r.rlike(X.BOLD) | r.rlike(X.HEADER) | r.rlike(X.CODE),
         "content_hash": F.when(c == "", "").otherwise(F.md5(c.cast("binary"))),

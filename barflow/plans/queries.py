@@ -106,16 +106,18 @@ def prediction(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumns({"p": 1 / (1 + F.exp(-F.col("pred"))), "cls": (F.col("pred") > 0).cast("int"), "reg": F.col("pred")})
 
 
-def posts(spark: SparkSession, d: str) -> DataFrame:
+def posts(spark: SparkSession, d: str, made: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Documents as posts, with the time of the event of the same id. ``made`` is applied before they meet: what it drops, a text, is not exchanged."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("post_id"), F.col("source").alias("subreddit"), "text")
     times = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("post_id"), F.col("ts").cast("timestamp_ntz").alias("post_time"))
-    return docs.join(times, "post_id")
+    return made(docs).join(times, "post_id")
 
 
-def comments(spark: SparkSession, d: str) -> DataFrame:
+def comments(spark: SparkSession, d: str, made: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Turns of conversations as comments, as ``posts`` are made."""
     turns = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 100 + F.col("turn")).alias("comment_id"), F.col("conv_id").alias("post_id"), "text")
     times = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("post_id"), F.col("ts").cast("timestamp_ntz").alias("comment_time"))
-    return turns.join(times, "post_id")
+    return made(turns).join(times, "post_id")
 
 
 def plain_features(df: DataFrame, text: str) -> DataFrame:
@@ -134,11 +136,11 @@ def plain_features(df: DataFrame, text: str) -> DataFrame:
 
 
 def hourly_posts(spark, d):
-    return T.hourly_sentiment(plain_features(posts(spark, d), "text"))
+    return T.hourly_sentiment(posts(spark, d, lambda df: plain_features(df, "text").drop("text")))
 
 
 def hourly_comments(spark, d):
-    return T.hourly_sentiment(plain_features(comments(spark, d), "text"), "comment_time", "comment_id")
+    return T.hourly_sentiment(comments(spark, d, lambda df: plain_features(df, "text").drop("text")), "comment_time", "comment_id")
 
 
 def source_features(spark, d):
@@ -170,7 +172,7 @@ def _of(f: Callable[[SparkSession, str], DataFrame], *columns) -> Query:
 
 
 def q_near_dedup(spark, d):
-    return T.near_dedup(T.simhash(posts(spark, d).filter("text IS NOT NULL"), "text"), "post_id").select("post_id")
+    return T.near_dedup(posts(spark, d, lambda df: T.simhash(df.filter("text IS NOT NULL"), "text").drop("text")), "post_id").select("post_id")
 
 
 def q_coins(spark, d):
@@ -192,7 +194,7 @@ def q_random_forest(spark, d):
 def q_boosted(spark, d):
     """Which way the next bar goes, by more than a tenth of its price or neither: three classes with their chances."""
     features = ["returns", "volatility", "volume_change", "sentiment_combined", "divergence"]
-    rows = X.split_by_position(model_table(spark, d), (0.6, 0.2, 0.2)).withColumn("way", F.when(F.col("target_return") > 0.1, 1).when(F.col("target_return") < -0.1, -1).otherwise(0))
+    rows = settle(X.split_by_position(model_table(spark, d), (0.6, 0.2, 0.2)).withColumn("way", F.when(F.col("target_return") > 0.1, 1).when(F.col("target_return") < -0.1, -1).otherwise(0)))
     model = M.boosted_classes(rows.filter("part < 2"), features, "way", F.col("part") == 1, maxIter=5, maxDepth=3)
     return r6(model.transform(rows.filter("part = 2")).select("symbol", "datetime", "way", "prediction", "`p_-1`", "p_0", "p_1"))
 
@@ -433,11 +435,11 @@ QUERIES: dict[str, Query] = {
     "autoregression": _of(lambda s, d: M.autoregression(hourly(s, d), "close", 2, 3)),
     "make_stationary": _of(lambda s, d: M.make_stationary(hourly(s, d), ["close"]), "symbol", "datetime", "close"),
     "text_clean": lambda s, d: T.clean_text(posts(s, d), "text").select("post_id", "clean"),
-    "text_features": _of(lambda s, d: T.apply_cleaning(posts(s, d), "text", features=True, drop_invalid=False).drop("text", "cleaned_text", "subreddit", "post_time")),
-    "cleaned_comments": lambda s, d: T.apply_cleaning(comments(s, d), "text", features=True).select("comment_id", "cleaned_text", "spam_score", "token_count"),
-    "simhash": lambda s, d: T.simhash(posts(s, d), "text").select("post_id", "simhash"),
-    "hamming_pairs": lambda s, d: T.hamming_pairs(T.simhash(posts(s, d), "text"), "post_id"),
-    "dedup_exact": lambda s, d: T.exact_dedup(posts(s, d).withColumn("content_hash", F.md5(F.col("text").cast("binary")))).select("post_id", "content_hash"),
+    "text_features": _of(lambda s, d: posts(s, d, lambda df: T.apply_cleaning(df, "text", features=True, drop_invalid=False).drop("text", "cleaned_text")).drop("subreddit", "post_time")),
+    "cleaned_comments": lambda s, d: comments(s, d, lambda df: T.apply_cleaning(df, "text", features=True).drop("text")).select("comment_id", "cleaned_text", "spam_score", "token_count"),
+    "simhash": lambda s, d: posts(s, d, lambda df: T.simhash(df, "text").drop("text")).select("post_id", "simhash"),
+    "hamming_pairs": lambda s, d: T.hamming_pairs(posts(s, d, lambda df: T.simhash(df, "text").drop("text")), "post_id"),
+    "dedup_exact": lambda s, d: T.exact_dedup(posts(s, d, lambda df: df.withColumn("content_hash", F.md5(F.col("text").cast("binary"))).drop("text"))).select("post_id", "content_hash"),
     "dedup_near": q_near_dedup,
     "coin_filter": q_coins,
     "hourly_sentiment": _of(hourly_posts),
