@@ -434,7 +434,7 @@ QUERIES: dict[str, Query] = {
     "return_summary": _of(lambda s, d: M.return_summary(prediction(s, d).withColumn("side", F.when(F.col("volume") % 2 == 0, 1).otherwise(-1)), "side", "pred")),
     "autoregression": _of(lambda s, d: M.autoregression(hourly(s, d), "close", 2, 3)),
     "make_stationary": _of(lambda s, d: M.make_stationary(hourly(s, d), ["close"]), "symbol", "datetime", "close"),
-    "text_clean": lambda s, d: T.clean_text(posts(s, d), "text").select("post_id", "clean"),
+    "text_clean": lambda s, d: posts(s, d, lambda df: T.clean_text(df, "text").drop("text")).select("post_id", "clean"),
     "text_features": _of(lambda s, d: posts(s, d, lambda df: T.apply_cleaning(df, "text", features=True, drop_invalid=False).drop("text", "cleaned_text")).drop("subreddit", "post_time")),
     "cleaned_comments": lambda s, d: comments(s, d, lambda df: T.apply_cleaning(df, "text", features=True).drop("text")).select("comment_id", "cleaned_text", "spam_score", "token_count"),
     "simhash": lambda s, d: posts(s, d, lambda df: T.simhash(df, "text").drop("text")).select("post_id", "simhash"),
