@@ -186,7 +186,7 @@ def q_coins(spark, d):
 
 def q_random_forest(spark, d):
     features = ["returns", "volatility", "volume_change", "sentiment_combined", "divergence"]
-    parts = X.split_by_position(model_table(spark, d), (0.7, 0.3))
+    parts = settle(X.split_by_position(model_table(spark, d), (0.7, 0.3)))  # a fit reads its rows many times
     model = M.trainer("rf_classifier", features, "target", numTrees=20, maxDepth=4).fit(parts.filter("part = 0"))
     return model.transform(parts.filter("part = 1")).select("symbol", "datetime", F.col("target"), F.col("prediction").cast("int").alias("prediction"))
 
