@@ -159,6 +159,40 @@ def test_hamming_groups_stay_small(spark):
     assert len(keys) == 10 and largest <= 64
 
 
+def test_rules_are_not_passed_over(spark):
+    """What texts must hold before a rule is tried lets all its matches through, letters of other cases too; a filter on the result does not make the plan grow."""
+    from pyspark.sql import functions as F
+
+    from barflow.functions import text as X
+    from barflow.operators.posts import apply_cleaning
+
+    parts = ["I am a bot,", "contact the moderators", "modmail", "THI\u017f action wa\u017f performed automat\u0131cally", "if you have any questions", "message the mod\u017f", "bot\u3000|", "AutoModerator", "\u0130'm a BOT",
+             "HTTP\u017f://q", "wWw.abc", "[a](https://b)", "please read our", "rule\u017f", "th\u0131s is not f\u0131nancial advice", "Rem\u0131nder:", "not your \u212aeys, not your coin", "do your own re\u017fearch . DYOR", " ", "\u2003", "\n", "word"]
+    rows = spark.createDataFrame([(a + g + b,) for a in parts for b in parts for g in (" ", "\u00a0\t", "")], "text string")
+    c = F.col("text")
+    plain = {"noise": c.rlike(X.REMOVED) | c.rlike(X.BOT), "url": c.rlike(X.URL), "moderator": c.rlike(X.MODERATOR), "strip": F.regexp_replace(c, rf"^[{X.WS}]+|[{X.WS}]+\z", ""), "gaps": F.regexp_replace(c, f"[{X.WS}]+", " ")}
+    made = {"noise": X.is_noise(c), "url": X.has_url(c), "moderator": X.may_be_moderator(c) & c.rlike(X.MODERATOR), "strip": X.strip(c), "gaps": F.regexp_replace(c, X.GAP, " ")}
+    for name in plain:
+        assert not rows.filter(~plain[name].eqNullSafe(made[name])).count(), name
+    assert apply_cleaning(rows, "text", prices=True).count()
+
+
+def test_texts_are_not_exchanged_and_fits_read_a_table(spark, monkeypatch):
+    """A post's text is used up before posts meet their times; a model is fitted on a written table."""
+    from barflow.plans import queries as Q
+
+    for name in ("text_clean", "text_features", "hourly_sentiment", "alpha_features", "corr_with_target"):
+        plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        below = plan.split("Join", 1)[1]
+        assert "text#" not in plan.split("Join", 1)[0] and "text#" in below, name
+        assert not any("text#" in line.split("Project [", 1)[1].split(" AS ", 1)[0] for line in plan.splitlines() if "Project [text#" in line), name
+    read = []
+    monkeypatch.setattr(Q, "settle", lambda df: read.append(df) or df)
+    Q.q_random_forest(spark, "/root/testdata/sf0.001")
+    Q.q_gbt(spark, "/root/testdata/sf0.001")
+    assert len(read) == 2
+
+
 def test_word_list_holds_one_text_at_a_time(spark):
     """Batches to Python are bounded in bytes and rows, and words are those of one text."""
     import tracemalloc
@@ -176,21 +210,3 @@ def test_word_list_holds_one_text_at_a_time(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got["up"].tolist() == got["down"].tolist() == [2000] * 50 and peak < 3_000_000
-
-
-def test_rules_are_not_passed_over(spark):
-    """What texts must hold before a rule is tried lets all its matches through, letters of other cases too; a filter on the result does not make the plan grow."""
-    from pyspark.sql import functions as F
-
-    from barflow.functions import text as X
-    from barflow.operators.posts import apply_cleaning
-
-    parts = ["I am a bot,", "contact the moderators", "modmail", "THI\u017f action wa\u017f performed automat\u0131cally", "if you have any questions", "message the mod\u017f", "bot\u3000|", "AutoModerator", "\u0130'm a BOT",
-             "HTTP\u017f://q", "wWw.abc", "[a](https://b)", "please read our", "rule\u017f", "th\u0131s is not f\u0131nancial advice", "Rem\u0131nder:", "not your \u212aeys, not your coin", "do your own re\u017fearch . DYOR", " ", "\u2003", "\n", "word"]
-    rows = spark.createDataFrame([(a + g + b,) for a in parts for b in parts for g in (" ", "\u00a0\t", "")], "text string")
-    c = F.col("text")
-    plain = {"noise": c.rlike(X.REMOVED) | c.rlike(X.BOT), "url": c.rlike(X.URL), "moderator": c.rlike(X.MODERATOR), "strip": F.regexp_replace(c, rf"^[{X.WS}]+|[{X.WS}]+\z", ""), "gaps": F.regexp_replace(c, f"[{X.WS}]+", " ")}
-    made = {"noise": X.is_noise(c), "url": X.has_url(c), "moderator": X.may_be_moderator(c) & c.rlike(X.MODERATOR), "strip": X.strip(c), "gaps": F.regexp_replace(c, X.GAP, " ")}
-    for name in plain:
-        assert not rows.filter(~plain[name].eqNullSafe(made[name])).count(), name
-    assert apply_cleaning(rows, "text", prices=True).count()
