@@ -235,7 +235,8 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_class: i
     each = max(1, min(per_class, sample // len(classes)))
     # hashes are spread evenly over the longs, so about ``each`` of v lie below this; the smallest one always does
     below = lambda v, least: (1 << 63) - 1 if v <= each else max(least, int(-(1 << 63) + each / v * ((1 << 64) - 1024)))
-    upto = spark.createDataFrame([(c, below(*v)) for c, v in sizes.items()], "__label string, __upto long")
+    # an Arrow table stays in the JVM; from a list it would take Python workers of another environment, with a daemon of their own
+    upto = spark.createDataFrame(pa.table({"__label": pa.array(list(sizes), pa.string()), "__upto": pa.array([below(*v) for v in sizes.values()], pa.int64())}))
     drawn = own.join(F.broadcast(upto), "__label").filter("__h <= __upto").select("__label", "__h", "__text")
     made = drawn.mapInArrow(vectors("__text"), "label string, h long, at array<int>, n array<int>")
     rows = scratch.keep(made.groupBy("label", "h").agg(F.first("at").alias("at"), F.first("n").alias("n")))

@@ -46,6 +46,7 @@ DIRECT = 4096  # a larger group is met in blocks
 BLOCK = 2048
 NAMED = 4
 GATHER = 50_000  # postings that are met at once
+MATRIX = 1 << 18  # pairs of a group that are weighed at once: some ten numbers each
 SLICE = 1 << 18  # bytes of text at once: what is made of them takes some fifty times as much
 _STEPS = 4  # counters above 127 keep a quarter of an octave
 
@@ -170,7 +171,7 @@ def meet(threshold: float, wanted=None, direct: int | None = None):
     def group(p: dict[str, np.ndarray], out: list) -> None:
         n = len(p["set"])
         whole = not p["cross"][0]
-        step = max(1, (1 << 20) // n)
+        step = max(1, MATRIX // n)
         for s in range(0, n, step):
             i = np.arange(s, min(n, s + step))
             if wanted is not None:
@@ -372,12 +373,14 @@ def marked(marks: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def marks_of(rows: DataFrame) -> np.ndarray:
-    """A bit table of fixed size with all values of a long column marked (and, by chance, others)."""
+def marks_of(rows: DataFrame, made=iter) -> np.ndarray:
+    """A bit table of fixed size with all values of a long column marked (and, by chance, others).
+
+    made: batches to those whose first column is marked. It runs in the same worker: two Python steps on end would hold two workers a task."""
 
     def run(batches):
         bits = np.zeros(MARKS >> 3, np.uint8)
-        for batch in batches:
+        for batch in made(batches):
             at = (mix(batch.column(0).to_numpy().view(np.uint64).copy()) & np.uint64(MARKS - 1)).astype(np.int64)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from chunked(bits)
@@ -440,8 +443,8 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> D
     again = pairs.filter("more").select(F.col("late").alias("set")).distinct().join(gone, "set", "left_anti")
     again = scratch.keep(again)
     if not again.isEmpty():
-        keys = posting.join(again, "set", "left_semi").select(*posting.columns).mapInArrow(postings(count, threshold), POSTING).select("key")
-        all_pairs = candidates(posting, share(marks_of(keys)), share(marks_of(again)))
+        keys = marks_of(posting.join(again, "set", "left_semi").select(*posting.columns), postings(count, threshold))
+        all_pairs = candidates(posting, share(keys), share(marks_of(again)))
         late, used = verified(all_pairs)
         scratch.drop(*used)
         gone = gone.unionByName(late).distinct()
